@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versotext.llm import language, licenses, token_store, toxicity
+from versotext.llm import language, licenses, sentencepiece_scan, token_store, toxicity
 from versotext.llm.text import ensure_checkpoint_dir
 
 
@@ -31,12 +31,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's pieces and of the text decoded from them: numbers and checksums."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
+    return sentencepiece_scan.digest(encoded, model)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_license_scan, op6_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_token_store, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,6 +22,7 @@ The model file gives pieces and scores; they are read as a unigram model's.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -355,3 +356,21 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
     own = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("ids"))
     return own.mapInArrow(run, "doc_id long, text string")
+
+
+def digest(encoded: DataFrame, model: str) -> DataFrame:
+    """Of each row: n_pieces, ids_crc32 (ids as little-endian 32-bit integers), and the decoded text's n_chars and text_crc32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            ids = batch.column("ids")
+            ends, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
+            rows = []
+            for b, e in zip(ends[:-1], ends[1:], strict=True):
+                text = vocab.decode(flat[b:e])
+                rows.append((int(e - b), zlib.crc32(flat[b:e].tobytes()), len(text), zlib.crc32(text.encode("utf-8", "replace"))))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "text_crc32"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, text_crc32 long")

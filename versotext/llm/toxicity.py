@@ -65,26 +65,42 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, step
 
     Without rows of both labels the score is the share of label 1 (0.5 without rows).
     """
-    rows = [features(set(plain_words(t))) for t in texts]
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return Model({}, float(np.log(p / (1 - p))))
-    frequency = Counter(w for r in rows for w in r)
     group = {t.encode(): kind for kind, terms in IDENTITY_TERMS.items() for t in terms}
+    # every feature is kept once; a text is the numbers of its features
+    number: dict[bytes, int] = {}
+    named: list[set[bytes]] = []
+    rows = []
+    for t in texts:
+        words = set(plain_words(t))
+        named.append(words & group.keys())
+        rows.append(np.fromiter((number.setdefault(f, len(number)) for f in features(words)), dtype=np.int32))
+    lengths = np.array([len(r) for r in rows])
+    col = np.concatenate(rows)
+    frequency = np.bincount(col, minlength=len(number))
     least = 2 if len(rows) < 2000 else 4
-    vocabulary = [w for w, n in sorted(frequency.items(), key=lambda x: (-x[1], x[0])) if n >= least or w in group][:max_features]
-    place = {w: i for i, w in enumerate(vocabulary)}
-    cols = [np.fromiter((place[w] for w in r if w in place), dtype=np.int64) for r in rows]
-    lengths = np.array([len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
+    keep = frequency >= least
+    keep[[number[t] for t in group if t in number]] = True
+    names = np.array(list(number), dtype=object)
+    chosen = np.flatnonzero(keep)
+    chosen = chosen[np.lexsort((names[chosen], -frequency[chosen]))][:max_features]
+    vocabulary = names[chosen].tolist()
+    del number, names
+    place = {w: i for i, w in enumerate(vocabulary) if w in group}
+    new = np.full(len(keep), -1, dtype=np.int32)
+    new[chosen] = np.arange(len(chosen))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    col = new[col]
+    row, col = row[col >= 0], col[col >= 0]
     # swaps: a text with term a is worth as much with term b of its kind, and with no term
     pairs: Counter[tuple[int, int]] = Counter()
     alone: Counter[int] = Counter()
     by_kind = {kind: [place[t.encode()] for t in terms if t.encode() in place] for kind, terms in IDENTITY_TERMS.items()}
-    for r in rows:
-        for term in r & group.keys():
+    for terms in named:
+        for term in terms:
             if term in place:
                 alone[place[term]] += 1
                 for other in by_kind[group[term]]:
@@ -119,7 +135,7 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, step
     return Model({vocabulary[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-4)}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 2500) -> Model:
     """Fit on at most ``per_label`` rows of each label, none of those whose crc32(id) modulo ``modulus`` is ``held``.
 
     Null labels and ids are left out; a document with several labels counts as 1 if one is 1.
@@ -151,7 +167,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 4000, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 2500, threshold: float = 0.5) -> DataFrame:
     """Train on the labelled rows that aren't held out, then score all rows: doc_id, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, label_col, modulus, held, per_label)
     return score(docs, model, id_col, text_col).select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

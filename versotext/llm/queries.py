@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versotext.llm import language, licenses, sentencepiece_scan, token_store, toxicity
+from versotext.llm import jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity
 from versotext.llm.text import ensure_checkpoint_dir
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +49,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
+
+
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents where text is not null and doc_id is not null),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+classes as (select min(doc_id) as c, k from (select doc_id, list_sort(s) as k from sets where len(s) > 0) group by k),
+member as (select s.doc_id, c.c from sets s join classes c on list_sort(s.s) = c.k),
+item as (select c, len(k) as n, unnest(k) as g from classes),
+pair as (select a.c as x, b.c as y from item a join item b on a.g = b.g and a.c < b.c and b.n * 100 >= a.n * 80 and a.n * 100 >= b.n * 80
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edge as (select x, y from pair union all select y, x from pair),
+reach as (select c as x, c as y from classes union select r.x, e.y from reach r join edge e on r.y = e.x),
+part as (select x as c, min(y) as component from reach group by x)
+select d.doc_id, coalesce(len(s.s), 0)::bigint as n_shingles, coalesce(p.component, d.doc_id) as component_id, coalesce(m.c, d.doc_id) as class_id
+from documents d left join sets s using (doc_id) left join member m using (doc_id) left join part p on p.c = m.c
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard_join": OP1_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versotext.llm import jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity
+from versotext.llm import decontaminate, jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity
 from versotext.llm.text import ensure_checkpoint_dir
 
 
@@ -27,6 +27,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_store(spark, path)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op3_decontamination, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
 
 
 OP1_SQL = r"""
@@ -71,6 +75,16 @@ select d.doc_id, coalesce(len(s.s), 0)::bigint as n_shingles, coalesce(p.compone
 from documents d left join sets s using (doc_id) left join member m using (doc_id) left join part p on p.c = m.c
 """
 
+OP3_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents where doc_id is not null and text is not null),
+b as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from benchmark where item_id is not null and text is not null),
+s as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) as g from b where len(w) > 0),
+size as (select item_id, count(*) as n_item from s group by item_id),
+t as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) as g from d where len(w) > 0)
+select t.doc_id, s.item_id, count(*)::integer as n_common, any_value(z.n_item)::integer as n_item from t join s using (g) join size z using (item_id)
+group by t.doc_id, s.item_id having count(*) * 100 >= any_value(z.n_item) * 80
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op3_decontamination": OP3_SQL}

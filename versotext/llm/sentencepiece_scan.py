@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versotext.llm.text import id_and_text, pieces, raw_texts, shared_checkpoint
+from versotext.llm.text import gather, id_and_text, pieces, raw_texts, shared_checkpoint
 
 SPACE = "▁"
 NEVER = -(1 << 62)
@@ -61,6 +62,8 @@ class Vocabulary:
         for name in list(self.table):
             for n in range(1, len(name)):
                 self.table.setdefault(name[:n], (-1, 0))
+        # two characters that no piece holds side by side are always parted
+        self.joined = {n[k : k + 2] for n, (i, _) in self.table.items() if i >= 0 for k in range(len(n) - 1)}
         # a word may be encoded apart if no piece goes on after a space
         self.by_word = not any(SPACE in n.lstrip(SPACE) for n, (i, _) in self.table.items() if i >= 0)
         self.byte_of = np.full(len(self.names), -1, dtype=np.int16)
@@ -68,6 +71,7 @@ class Vocabulary:
             self.byte_of[i] = b
         self.surface = [SPACE + "⁇" + SPACE if i == self.unknown_id else "" if model.is_control(i) else n for i, n in enumerate(self.names)]
         self.memory = Words(self)
+        self.singles: dict[str, bytes] = {}
 
     def search(self, text: str, n: int, entry: list[int]) -> tuple[list[int], list[int], list[int]]:
         """Best scores at the places of ``text``, and each place's last piece: its length (0: entry) and id.
@@ -118,6 +122,12 @@ class Vocabulary:
         _, back, ids = self.search(text, len(text), [0])
         return self.trace(back, ids, len(text))[0]
 
+    def lone(self, char: str) -> bytes:
+        """Ids of a character by itself, as bytes."""
+        if char not in self.singles:
+            self.singles[char] = np.array(self.word(char), dtype=np.int32).tobytes()
+        return self.singles[char]
+
     def matrix(self, text: str, n: int) -> np.ndarray:
         """The transfer matrix of a chunk with ``n`` places where pieces begin; ``text`` reaches beyond it."""
         k = self.longest
@@ -167,6 +177,21 @@ class Vocabulary:
             units = [" " + w for w in text.split(" ")]
         return np.frombuffer(b"".join(map(self.memory.__getitem__, units)), dtype=np.int32)
 
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text of a batch; the distinct words are looked up once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, SPACE), pc.equal(texts, "")))
+        if not self.by_word or pc.any(odd).as_py():
+            return _lists([self.encode(t) for t in texts.to_pylist()])
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        known = [self.memory[" " + w] for w in coded.dictionary.to_pylist()]
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)))
+        at = np.asarray(coded.indices).astype(np.int64)
+        offsets = np.asarray(split.offsets).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(starts[at + 1] - starts[at])))[offsets - offsets[0]]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gather(np.frombuffer(b"".join(known), np.int32), starts, at)))
+
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
@@ -185,7 +210,7 @@ class Vocabulary:
 class Words(dict):
     """Ids of words as bytes; forgets all when it is full."""
 
-    FULL = 500_000
+    FULL = 800_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -193,6 +218,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.FULL:
             self.clear()
+        v = self.vocabulary
+        if len(word) > 2 and word[-2] != " " and word[-2:] not in v.joined:
+            # a mark at the end that no piece joins with what is before it
+            found = self[word] = self[word[:-1]] + v.lone(word[-1])
+            return found
         found = self[word] = np.array(self.vocabulary.word(word.replace(" ", SPACE)), dtype=np.int32).tobytes()
         return found
 
@@ -279,9 +309,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in pieces(batches, "text", 1_000_000):
-            ids = [vocab.encode(raw.decode("utf-8", "replace")) if raw else np.zeros(0, np.int32) for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+        for batch in pieces(batches, "text", 6_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vocab.encode_all(batch.column("text"))], ["doc_id", "ids"])
 
     small = own.where(f"text is null or length(text) <= {int(giant)}").mapInArrow(ordinary, "doc_id long, ids array<int>")
     return small.unionByName(_encode_giant(own.where(f"length(text) > {int(giant)}"), model, chunk))

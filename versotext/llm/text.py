@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,14 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]
     return values.cast(kind).to_pylist()
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``flat[starts[i]:starts[i + 1]]`` for each i of ``at``, one after another."""
+    n = starts[at + 1] - starts[at]
+    stops = np.cumsum(n)
+    total = int(stops[-1]) if len(stops) else 0
+    return flat[np.repeat(starts[at] - (stops - n), n) + np.arange(total)]
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns in use, under fixed names, so that other columns can't clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -17,18 +17,18 @@ a symbol (2 or 4 bytes); the rules' left and right symbols; the rules' lengths
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versotext.llm.text import id_and_text, pieces, raw_texts
+from versotext.llm.text import gather, id_and_text, pieces
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIQIIB")
@@ -157,58 +157,94 @@ class Encoder:
     remembered. A text with other runs of white space is encoded whole.
     """
 
-    ODD = re.compile(r" \s|\s ")
+    #: White space beside a space, in RE2's terms.
+    ODD = r" [\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}] "
     REMEMBER = 1_000_000
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
+        # tokens that begin with a space: in a text of words with single spaces before them, these begin a word
+        self.begins = np.zeros(self.alphabet, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.begins[i] = token.startswith("\u0120")
+        self._forget()
+
+    def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint16 if self.alphabet <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+        self.ids, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > self.REMEMBER:
-            self.place, self.ids, self.starts = {}, self.ids[:0], np.zeros(1, np.int64)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in got for i in x), self.ids.dtype, int(sizes.sum()))))
+        self.ids = np.concatenate((self.ids, ids))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, an end id after each text, and the number for each text."""
-        parts: list[list[str] | np.ndarray] = []
-        for t in texts:
-            if self.whole or self.ODD.search(t) or any(x in t for x in self.added):
-                parts.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.ids.dtype))
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of " " + word stand, for each of the distinct words."""
+        if len(self.place) > self.REMEMBER:
+            self._forget()
+        new = [w for w in words if w not in self.place]
+        if "" in new:
+            new.remove("")
+            space = self._ids(" ")
+            self._keep([""], space, np.array([len(space)]))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            ids = self._ids(" " + " ".join(part))
+            edges = np.flatnonzero(self.begins[ids])
+            if len(edges) != len(part):  # a tokenizer of another kind: one call for each word
+                each = [self._ids(" " + w) for w in part]
+                ids, sizes = np.concatenate(each), np.array(list(map(len, each)))
             else:
-                words = t.split(" ")
-                parts.append([words[0], *[" " + w for w in words[1:]]])
-        plain = [p for p in parts if isinstance(p, list)]
-        distinct = set().union(*plain) if plain else set()
-        if new := [w for w in distinct if w not in self.place]:
-            self._learn(sorted(new))
-            if left := [w for w in distinct if w not in self.place]:  # the memory was just emptied
-                self._learn(sorted(left))
-        sizes = np.diff(self.starts)
-        out, counts = [], []
-        end = np.array([end_id], dtype=self.ids.dtype)
-        for p in parts:
-            if isinstance(p, list):
-                at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
-                n = sizes[at]
-                total = int(n.sum())
-                stops = np.cumsum(n)
-                p = self.ids[np.repeat(self.starts[at] - (stops - n), n) + np.arange(total)] if total else self.ids[:0]
-            out += [p, end]
-            counts.append(len(p) + 1)
-        return (np.concatenate(out) if out else self.ids[:0]), np.array(counts, dtype=np.int64)
+                sizes = np.diff(np.append(edges, len(ids)))
+            self._keep(part, ids, sizes)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, an end id after each text, and the number for each text."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        for added in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, added))
+        odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._plain(texts, end_id)
+        ids, counts = self._plain(texts.filter(pa.array(~odd)), end_id)
+        plain = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        out = [np.append(self._ids(t), self.kind(end_id)) if o else next(plain) for t, o in zip(texts.to_pylist(), odd, strict=True)]
+        return np.concatenate(out), np.array(list(map(len, out)), dtype=np.int64)
+
+    def _plain(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return self.ids[:0], np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        offsets = np.asarray(split.offsets).astype(np.int64)
+        offsets -= offsets[0]
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        at = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        # a text's first word has no space before it
+        firsts = [self._ids(w) for w in words.take(pa.array(offsets[:-1])).to_pylist()]
+        extra = [np.array([end_id], dtype=self.kind), *firsts]
+        flat = np.concatenate((self.ids, *extra))
+        starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(list(map(len, extra)))))
+        base = len(self.starts) - 1
+        at[offsets[:-1]] = base + 1 + np.arange(len(firsts))
+        counts = np.diff(offsets)
+        with_end = np.full(len(at) + len(texts), base, dtype=np.int64)
+        with_end[np.arange(len(at)) + np.repeat(np.arange(len(texts)), counts)] = at
+        sizes = np.add.reduceat(starts[with_end + 1] - starts[with_end], np.concatenate(([0], np.cumsum(counts + 1)[:-1])))
+        return gather(flat, starts, with_end), sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -252,9 +288,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             written, ids, doc_ids, sizes, held = written + len(joined), [], [], [], 0
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in pieces(batches, "text", 1_000_000):
-            texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raw_texts(batch)]
-            got, counts = own.encode(texts, end_id)
+        for batch in pieces(batches, "text", 6_000_000):
+            got, counts = own.encode(batch.column("text"), end_id)
             keys, begin, at = batch.column("doc_id").to_pylist(), 0, 0
             stops = np.cumsum(counts)
             while begin < len(keys):

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from versotext.llm import decontaminate, jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity
+from versotext.llm import cover_tree, decontaminate, jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity, warc
 from versotext.llm.text import ensure_checkpoint_dir
 
 
@@ -39,6 +40,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records' headers, with the block and the whole record."""
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document's pieces and of the text decoded from them: numbers and checksums."""
     import public_tokenizers
@@ -53,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op3_decontamination, op5_license_scan, op6_toxicity, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op3_decontamination, op5_license_scan, op6_toxicity, op7_exact_topk, op8_warc_derivatives, op9_sentencepiece, op10_language_id)}
 
 
 OP1_SQL = r"""
@@ -85,6 +95,15 @@ select t.doc_id, s.item_id, count(*)::integer as n_common, any_value(z.n_item)::
 group by t.doc_id, s.item_id having count(*) * 100 >= any_value(z.n_item) * 80
 """
 
+OP7_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings where embedding is not null and vec_id is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
+  from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op3_decontamination": OP3_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op1_jaccard_join": OP1_SQL, "op3_decontamination": OP3_SQL}

@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from versotext.llm.components import connected_components
 from versotext.llm.text import id_and_text, pieces, raw_texts, shared_checkpoint
@@ -360,6 +361,23 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns kept, without those that a document with a smaller id stands for.
+
+    Of rows that share an id one stays, the one with the smallest text. Rows with a null id stay.
+    """
+    links = shared_checkpoint(jaccard_links(docs, id_col, text_col, n, percent))
+    gone = links.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    twice = links.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    if twice.isEmpty():
+        return kept
+    same = F.col(f"`{id_col}`") == F.col("__twice")
+    place = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`"))
+    one = kept.join(twice, same, "left_semi").withColumn("__place", place).where("__place = 1").drop("__place")
+    return kept.join(twice, same, "left_anti").unionByName(one)
+
+
 def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
     """Edges (a, b) that span the links of the classes (c, n, shingles)."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

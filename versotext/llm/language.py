@@ -173,6 +173,26 @@ def _predictor(model: Model | None):
     return run
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, whose text has letters and a language with probability ``least`` or more.
+
+    Without a model every text with letters stays.
+    """
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch.rename_columns([str(i) for i in range(len(names))])], str(place), 2_000_000):
+                texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raw_texts(part, str(place))]
+                kept = np.array([LETTER.search(t) is not None for t in texts])
+                if model is not None and kept.any():
+                    kept &= model.probabilities(texts).max(axis=1) >= least
+                yield part.filter(pa.array(kept)).rename_columns(names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held: int = 1, per_language: int = 1000) -> DataFrame:
     """Train on the rows whose crc32(id) modulo ``modulus`` isn't ``held`` and predict all rows.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versotext.llm import cover_tree, decontaminate, jaccard_join, language, licenses, sentencepiece_scan, token_store, toxicity, warc
+from versotext.llm import cover_tree, decontaminate, jaccard_join, language, licenses, quality, sentencepiece_scan, token_store, toxicity, warc
 from versotext.llm.text import ensure_checkpoint_dir
 
 
@@ -32,6 +32,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op3_decontamination, op5_license_scan, op6_toxicity, op7_exact_topk, op8_warc_derivatives, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_store, op3_decontamination, op4_quality, op5_license_scan, op6_toxicity, op7_exact_topk, op8_warc_derivatives, op9_sentencepiece, op10_language_id)}
 
 
 OP1_SQL = r"""

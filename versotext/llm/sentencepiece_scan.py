@@ -387,6 +387,20 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return own.mapInArrow(run, "doc_id long, text string")
 
 
+def with_text(encoded: DataFrame, model: str) -> DataFrame:
+    """``doc_id``, ``ids``, ``n_pieces`` and the ``text`` decoded from the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            ids = batch.column("ids")
+            ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+            texts = [vocab.decode(flat[b:e]) for b, e in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.diff(ends), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_pieces", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, text string")
+
+
 def digest(encoded: DataFrame, model: str) -> DataFrame:
     """Of each row: n_pieces, ids_crc32 (ids as little-endian 32-bit integers), and the decoded text's n_chars and text_crc32."""
 

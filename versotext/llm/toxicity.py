@@ -167,6 +167,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, whose text scores below ``threshold``; null and empty texts stay."""
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch.rename_columns([str(i) for i in range(len(names))])], str(place)):
+                kept = [not raw or model.score(set(plain_words(raw))) < threshold for raw in raw_texts(part, str(place))]
+                yield part.filter(pa.array(kept, pa.bool_())).rename_columns(names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 2500, threshold: float = 0.5) -> DataFrame:
     """Train on the labelled rows that aren't held out, then score all rows: doc_id, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, label_col, modulus, held, per_label)

@@ -91,7 +91,7 @@ def threshold(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def _spare(sizes: np.ndarray) -> np.ndarray:
     """How many shared shingles the first pass asks for: more of larger sets, 1 at least."""
-    return np.maximum(1, sizes // 16)
+    return np.maximum(1, sizes // 24)
 
 
 # --- first pass: who has a possible partner ------------------------------------
@@ -132,13 +132,14 @@ def _possible(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             yield _blobs("doc", _bucket(shared, buckets), shared, n_shared)
             one = h[begin]
             who = np.where(count > 1, np.int64(-1), d[begin])
-            yield _blobs("shingle", (one >> np.uint64(33)).astype(np.int64) % buckets, one.view(np.int64), who)
+            # 32 bits of the hash beside the bucket: two shingles taken for one only keep a document too many
+            yield _blobs("shingle", (one >> np.uint64(33)).astype(np.int64) % buckets, one.astype(np.uint32), who)
 
     def meet(group: pa.Table) -> pa.Table:
         """Of one bucket of shingles: the documents whose entry isn't the only one of its shingle."""
         if group["kind"][0].as_py() == "doc":
             return group
-        h = np.concatenate([np.frombuffer(x, np.int64) for x in group["keys"].to_pylist()])
+        h = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"].to_pylist()])
         who = np.concatenate([np.frombuffer(x, np.int64) for x in group["data"].to_pylist()])
         order = np.argsort(h, kind="stable")
         h, who = h[order], who[order]
@@ -152,7 +153,11 @@ def _possible(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         d = np.concatenate([np.frombuffer(x, np.int64) for x in group["keys"].to_pylist()])
         c = np.concatenate([np.frombuffer(x, np.int64) for x in group["data"].to_pylist()])
         keys, at = np.unique(d, return_inverse=True)
-        return pa.table({"uid": pa.array(keys[np.bincount(at, weights=c, minlength=len(keys)) >= 0], pa.int64())})
+        # what is asked for is negative; of rows that share an id the least demanding counts
+        shared = np.bincount(at, weights=np.maximum(c, 0), minlength=len(keys))
+        asked = np.full(len(keys), np.iinfo(np.int64).min)
+        np.maximum.at(asked, at[c < 0], c[c < 0])
+        return pa.table({"uid": pa.array(keys[shared >= -asked.astype(np.float64)], pa.int64())})
 
     blob = "kind string, bucket int, keys binary, data binary"
     sent = docs.select("uid", "text").mapInArrow(first, blob).groupBy("kind", "bucket").applyInArrow(meet, blob)
@@ -166,7 +171,7 @@ def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
 def _blobs(kind: str, bucket: np.ndarray, keys: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     """Keys and data packed into a row for each bucket."""
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, data = bucket[order], keys[order].astype(np.int64), data[order].astype(np.int64)
+    bucket, keys, data = bucket[order], keys[order], data[order].astype(np.int64)
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(bucket))[: len(begin)]
     return pa.RecordBatch.from_pydict({
@@ -346,9 +351,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             prints = [xxhash.xxh3_128_digest(b) for b in blobs]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(prints, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "shingles"])
 
-    # a row is known by its id and text, so that rows sharing an id are searched apart
-    nodes = own.where("doc_id is not null and text is not null").withColumn("uid", F.xxhash64("doc_id", "text"))
-    kept = nodes.join(_possible(nodes, n, percent, buckets), "uid").select("doc_id", "text").mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
+    nodes = own.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "uid")
+    kept = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text").mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
     kept = shared_checkpoint(kept)
     ones = shared_checkpoint(kept.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
     members = kept.select("print", "doc_id").join(ones.select("print", F.col("c").alias("class_id")), "print").select("doc_id", "class_id")
@@ -384,12 +388,13 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
         for batch in pieces(batches, "shingles", 1_000_000):
             h = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
             counts = [len(x) for x in h]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), counts)), pa.array(np.repeat(batch.column("n").to_numpy(), counts)), pa.array(np.concatenate(h))], ["c", "n", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), counts)), pa.array(np.concatenate(h))], ["c", "h"])
 
-    lists = ones.mapInArrow(spread, "c long, n long, h long")
+    lists = ones.select("c", "shingles").mapInArrow(spread, "c long, h long")
     lengths = lists.groupBy("h").agg(F.count("*").alias("length")).where("length > 1")
     least = F.ceil(F.col("n") * percent / 100).cast("long")
-    shared = lists.join(lengths, "h").groupBy("c", "n").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("length", "h"))).alias("by_length")).where(F.col("shared") >= least)
+    shared = lists.join(lengths, "h").groupBy("c").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("length", "h"))).alias("by_length"))
+    shared = shared.join(ones.select("c", "n"), "c").where(F.col("shared") >= least)
     # shingles of no other class come first in the order by length; of the first n - T + 1 the rest are keys
     n_keys = (F.col("shared") - least + 1).cast("int")
     keys = shared_checkpoint(shared.select("c", F.explode(F.slice("by_length", F.lit(1), n_keys)).alias("key")).select("c", F.col("key.h").alias("h")))

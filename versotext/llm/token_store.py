@@ -152,14 +152,15 @@ class Shard:
 class Encoder:
     """Ids of whole texts, as ``tokenizers`` gives them, from an encoding of the distinct words.
 
-    The byte-level pre-tokenizer always ends a token before a single space that
-    stands between two other characters, so such words can be encoded apart and
-    remembered. A text with other runs of white space is encoded whole.
+    The byte-level pre-tokenizer always ends a token before a single space between two
+    other characters, around a single line feed, and between a letter and a comma or full
+    stop. What stands between such places can be encoded apart and remembered. A
+    text with longer runs of white space is encoded whole.
     """
 
-    #: White space beside a space, in RE2's terms.
-    ODD = r" [\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}] "
-    REMEMBER = 1_000_000
+    #: Two white-space characters side by side, or the mark that stands for a line feed, in RE2's terms.
+    ODD = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}|\x01"
+    REMEMBER = 1_500_000
 
     def __init__(self, path: str):
         import os
@@ -171,44 +172,56 @@ class Encoder:
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
-        # tokens that begin with a space: in a text of words with single spaces before them, these begin a word
+        # tokens that begin with a space, or are a line feed: in a row of words parted by one of them these part the words
         self.begins = np.zeros(self.alphabet, dtype=bool)
+        self.feeds = np.zeros(self.alphabet, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.begins[i] = token.startswith("\u0120")
+            self.feeds[i] = token == "\u010a"
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        fixed = [np.zeros(0, self.kind), self._ids("\n"), self._ids(","), self._ids("."), self._ids(" ")]
+        self.ids, self.starts = np.concatenate(fixed), np.concatenate(([0], np.cumsum(list(map(len, fixed)))))
+        self.spaced[""], self.bare[""] = 4, 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+    def _keep(self, known: dict[str, int], words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        begin = len(self.starts) - 1
+        known.update(zip(words, range(begin, begin + len(words)), strict=True))
         self.ids = np.concatenate((self.ids, ids))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Where the ids of " " + word stand, for each of the distinct words."""
-        if len(self.place) > self.REMEMBER:
-            self._forget()
-        new = [w for w in words if w not in self.place]
-        if "" in new:
-            new.remove("")
-            space = self._ids(" ")
-            self._keep([""], space, np.array([len(space)]))
+    def _learn(self, known: dict[str, int], new: list[str], spaced: bool) -> None:
+        lead = " " if spaced else ""
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids = self._ids(" " + " ".join(part))
-            edges = np.flatnonzero(self.begins[ids])
-            if len(edges) != len(part):  # a tokenizer of another kind: one call for each word
-                each = [self._ids(" " + w) for w in part]
-                ids, sizes = np.concatenate(each), np.array(list(map(len, each)))
-            else:
+            ids = self._ids(lead + (lead or "\n").join(part))
+            if spaced:
+                edges = np.flatnonzero(self.begins[ids])
                 sizes = np.diff(np.append(edges, len(ids)))
-            self._keep(part, ids, sizes)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            else:
+                edges = np.flatnonzero(self.feeds[ids])
+                sizes = np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1
+                ids = ids[~self.feeds[ids]]
+            if len(sizes) != len(part) or not sizes.all():  # a tokenizer of another kind: one call for each word
+                each = [self._ids(lead + w) for w in part]
+                ids, sizes = np.concatenate(each), np.array(list(map(len, each)))
+            self._keep(known, part, ids, sizes)
+
+    def _places(self, known: dict[str, int], words: list[str], spaced: bool) -> np.ndarray:
+        new = [w for w in words if w not in known]
+        if not spaced and (odd := [w for w in new if w[0].isspace() or w[-1].isspace()]):
+            for w in odd:
+                one = self._ids(w)
+                self._keep(known, [w], one, np.array([len(one)]))
+            new = [w for w in new if w not in known]
+        self._learn(known, list(dict.fromkeys(new)), spaced)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, an end id after each text, and the number for each text."""
@@ -227,24 +240,41 @@ class Encoder:
     def _plain(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return self.ids[:0], np.zeros(0, np.int64)
-        split = pc.split_pattern(texts, " ")
+        if len(self.spaced) + len(self.bare) > self.REMEMBER:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \x01 "), " ")
         offsets = np.asarray(split.offsets).astype(np.int64)
         offsets -= offsets[0]
-        words = split.flatten()
-        coded = words.dictionary_encode()
-        at = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        # a text's first word has no space before it
-        firsts = [self._ids(w) for w in words.take(pa.array(offsets[:-1])).to_pylist()]
-        extra = [np.array([end_id], dtype=self.kind), *firsts]
-        flat = np.concatenate((self.ids, *extra))
-        starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(list(map(len, extra)))))
-        base = len(self.starts) - 1
-        at[offsets[:-1]] = base + 1 + np.arange(len(firsts))
-        counts = np.diff(offsets)
-        with_end = np.full(len(at) + len(texts), base, dtype=np.int64)
-        with_end[np.arange(len(at)) + np.repeat(np.arange(len(texts)), counts)] = at
-        sizes = np.add.reduceat(starts[with_end + 1] - starts[with_end], np.concatenate(([0], np.cumsum(counts + 1)[:-1])))
-        return gather(flat, starts, with_end), sizes
+        coded = split.flatten().dictionary_encode()
+        codes, names = np.asarray(coded.indices), coded.dictionary
+        # a word's ending mark is a piece by itself
+        marked = pc.match_substring_regex(names, r"\p{L}[,.]$")
+        cores = pc.if_else(marked, pc.utf8_slice_codeunits(names, 0, -1), names)
+        mark = np.where(marked.to_numpy(zero_copy_only=False), np.where(pc.ends_with(names, ",").to_numpy(zero_copy_only=False), 2, 3), -1)
+        feed = pc.equal(names, "\x01").to_numpy(zero_copy_only=False)[codes]
+        # the first word of a text and of a line has no space before it
+        bare = np.zeros(len(codes), dtype=bool)
+        bare[offsets[:-1]] = True
+        bare[1:] |= feed[:-1]
+        at = np.ones(len(codes), dtype=np.int64)
+        for known, own, spaced in ((self.bare, bare & ~feed, False), (self.spaced, ~bare & ~feed, True)):
+            used = np.flatnonzero(np.bincount(codes[own], minlength=len(names)))
+            place_of = np.zeros(len(names), dtype=np.int64)
+            place_of[used] = self._places(known, cores.take(pa.array(used)).to_pylist(), spaced)
+            at[own] = place_of[codes[own]]
+        second = np.where(feed, -1, mark[codes])
+        width = 1 + (second >= 0)
+        counts = np.add.reduceat(width, offsets[:-1])
+        # an end piece after each text
+        end = len(self.starts) - 1
+        pieces_at = np.full(int(width.sum()) + len(texts), end, dtype=np.int64)
+        place = np.cumsum(width) - width + np.repeat(np.arange(len(texts)), np.diff(offsets))
+        pieces_at[place] = at
+        pieces_at[place[second >= 0] + 1] = second[second >= 0]
+        starts = np.append(self.starts, self.starts[-1] + 1)
+        flat = np.append(self.ids, self.kind(end_id))
+        sizes = np.add.reduceat(starts[pieces_at + 1] - starts[pieces_at], np.concatenate(([0], np.cumsum(counts + 1)[:-1])))
+        return gather(flat, starts, pieces_at), sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -288,7 +318,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             written, ids, doc_ids, sizes, held = written + len(joined), [], [], [], 0
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in pieces(batches, "text", 6_000_000):
+        for batch in pieces(batches, "text", 10_000_000):
             got, counts = own.encode(batch.column("text"), end_id)
             keys, begin, at = batch.column("doc_id").to_pylist(), 0, 0
             stops = np.cumsum(counts)

@@ -91,7 +91,7 @@ def threshold(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def _spare(sizes: np.ndarray) -> np.ndarray:
     """How many shared shingles the first pass asks for: more of larger sets, 1 at least."""
-    return np.maximum(1, sizes // 24)
+    return np.maximum(1, sizes // 10)
 
 
 # --- first pass: who has a possible partner ------------------------------------

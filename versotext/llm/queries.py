@@ -57,9 +57,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document's pieces and of the text decoded from them: numbers and checksums."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
-    return sentencepiece_scan.digest(encoded, model)
+    return sentencepiece_scan.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -210,7 +210,7 @@ class Vocabulary:
 class Words(dict):
     """Ids of words as bytes; forgets all when it is full."""
 
-    FULL = 800_000
+    FULL = 400_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -299,21 +299,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int32()))
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 100_000, chunk: int = 16_384) -> DataFrame:
+ENCODED = "doc_id long, ids array<int>"
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 100_000, chunk: int = 16_384, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = ENCODED) -> DataFrame:
     """``doc_id`` and ``ids`` (array<int>) of every row's whole text.
 
     ``model`` is the model file's path on every machine. Null and empty texts have no
     ids; a null id stays null; repeated rows get a row each; other columns are ignored.
+    ``finish`` turns batches of these columns into batches of ``schema`` where they are made.
     """
     own = id_and_text(docs, id_col, text_col)
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in pieces(batches, "text", 6_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vocab.encode_all(batch.column("text"))], ["doc_id", "ids"])
+        for batch in pieces(batches, "text", 4_000_000):
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), vocab.encode_all(batch.column("text"))], ["doc_id", "ids"])
+            yield out if finish is None else finish(out)
 
-    small = own.where(f"text is null or length(text) <= {int(giant)}").mapInArrow(ordinary, "doc_id long, ids array<int>")
-    return small.unionByName(_encode_giant(own.where(f"length(text) > {int(giant)}"), model, chunk))
+    small = own.where(f"text is null or length(text) <= {int(giant)}").mapInArrow(ordinary, schema)
+    large = _encode_giant(own.where(f"length(text) > {int(giant)}"), model, chunk)
+    return small.unionByName(large if finish is None else large.mapInArrow(lambda batches: map(finish, batches), schema))
 
 
 def _encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -387,33 +393,29 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return own.mapInArrow(run, "doc_id long, text string")
 
 
-def with_text(encoded: DataFrame, model: str) -> DataFrame:
+def encode_with_text(docs: DataFrame, model: str, **options) -> DataFrame:
     """``doc_id``, ``ids``, ``n_pieces`` and the ``text`` decoded from the ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
-        for batch in batches:
-            ids = batch.column("ids")
-            ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-            texts = [vocab.decode(flat[b:e]) for b, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.diff(ends), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_pieces", "text"])
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vocab, ids = vocabulary(model), batch.column("ids")
+        ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+        texts = [vocab.decode(flat[b:e]) for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.diff(ends), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_pieces", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, text string")
+    return encode(docs, model, finish=finish, schema="doc_id long, ids array<int>, n_pieces long, text string", **options)
 
 
-def digest(encoded: DataFrame, model: str) -> DataFrame:
+def encode_digest(docs: DataFrame, model: str, **options) -> DataFrame:
     """Of each row: n_pieces, ids_crc32 (ids as little-endian 32-bit integers), and the decoded text's n_chars and text_crc32."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
-        for batch in batches:
-            ids = batch.column("ids")
-            ends, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
-            rows = []
-            for b, e in zip(ends[:-1], ends[1:], strict=True):
-                text = vocab.decode(flat[b:e])
-                rows.append((int(e - b), zlib.crc32(flat[b:e].tobytes()), len(text), zlib.crc32(text.encode("utf-8", "replace"))))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "text_crc32"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, text_crc32 long")
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vocab, ids = vocabulary(model), batch.column("ids")
+        ends, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
+        rows = []
+        for b, e in zip(ends[:-1], ends[1:], strict=True):
+            text = vocab.decode(flat[b:e])
+            rows.append((int(e - b), zlib.crc32(flat[b:e].tobytes()), len(text), zlib.crc32(text.encode("utf-8", "replace"))))
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "text_crc32"])
+
+    return encode(docs, model, finish=finish, schema="doc_id long, n_pieces long, ids_crc32 long, n_chars long, text_crc32 long", **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,19 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle and checkpoint files that nothing refers to any more.
+
+    Its cleaner acts on what the driver's garbage collection finds, which may not run for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -41,8 +41,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, their number, and the text decoded from them."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_scan.with_text(sentencepiece_scan.encode(docs, model), model)
+    return sentencepiece_scan.encode_with_text(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -322,6 +322,16 @@ def _pivots(sets: list[np.ndarray], order: list[int], percent: int, groups: Unio
                 left.append(i)
 
 
+def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """Shingle hashes, set sizes, each set as bytes, and a 128-bit print of each."""
+    import xxhash
+
+    h, n_of = shingle_sets(raw_texts(batch), n)
+    ends = np.cumsum(n_of)
+    blobs = [h[e - k : e].tobytes() for k, e in zip(n_of, ends, strict=True)]
+    return h, n_of, blobs, [xxhash.xxh3_128_digest(b) for b in blobs]
+
+
 # --- the join ---------------------------------------------------------------------
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
@@ -338,28 +348,22 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2_000_000):
-            _, n_of = shingle_sets(raw_texts(batch), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_of, pa.int64())], ["doc_id", "n_shingles"])
+            _, n_of, _, prints = _sets(batch, n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "n_shingles", "print"])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in pieces(batches, "text", 2_000_000):
-            h, n_of = shingle_sets(raw_texts(batch), n)
-            ends = np.cumsum(n_of)
-            blobs = [h[e - k : e].tobytes() for k, e in zip(n_of, ends, strict=True)]
-            prints = [xxhash.xxh3_128_digest(b) for b in blobs]
+            _, n_of, blobs, prints = _sets(batch, n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(prints, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "shingles"])
 
     nodes = own.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "uid")
-    kept = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text").mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
-    kept = shared_checkpoint(kept)
-    ones = shared_checkpoint(kept.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    members = kept.select("print", "doc_id").join(ones.select("print", F.col("c").alias("class_id")), "print").select("doc_id", "class_id")
-    links = _class_links(ones, percent, block)
-    edges = members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(links)
-    parts = connected_components(edges)
-    counted = own.mapInArrow(sizes, "doc_id long, n_shingles long")
+    possible = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text")
+    sets = possible.mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
+    ones = shared_checkpoint(sets.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    links = shared_checkpoint(_class_links(ones, percent, block))
+    counted = shared_checkpoint(own.mapInArrow(sizes, "doc_id long, n_shingles long, print binary"))
+    members = counted.where("doc_id is not null and n_shingles > 0").join(ones.select("print", F.col("c").alias("class_id")), "print").select("doc_id", "class_id")
+    parts = connected_components(members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(links))
     by_class = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = counted.join(by_class, "doc_id", "left").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -83,7 +83,8 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for b, e in zip(begins, ends, strict=True):
         own = np.concatenate([g[b : max(b, e - n)] for n, g in enumerate(grams)]) if e > b else np.zeros(0, np.int32)
-        out.append(np.unique(own, return_counts=True))
+        ids, tf = np.unique(own, return_counts=True)
+        out.append((ids, tf.astype(np.float32)))
     return out
 
 
@@ -92,15 +93,16 @@ def fit(texts: list[str], languages: list[str], epochs: int = 2, alpha: float =
     names = sorted(set(languages))
     if not names:
         return None
-    rows = _features(texts)
+    rows = [f for i in range(0, len(texts), 200) for f in _features(texts[i : i + 200])]
     document_frequency = np.zeros(BUCKETS)
     for ids, _ in rows:
         document_frequency[ids] += 1
-    idf = np.log((1 + len(rows)) / (1 + document_frequency)) + 1
+    idf = np.log((1 + len(texts)) / (1 + document_frequency)) + 1
     x = []
     for ids, tf in rows:
         w = tf * idf[ids]
-        x.append((ids, SCALE * w / w.sum() if len(ids) else w))
+        x.append((ids, (SCALE * w / w.sum() if len(ids) else w).astype(np.float32)))
+    del rows
     y = np.array([names.index(v) for v in languages])
     order = np.random.default_rng(seed).permutation(len(x))
     held, used = (order[::5], np.delete(order, np.s_[::5])) if len(x) >= 50 else (order, order)

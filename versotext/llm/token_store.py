@@ -43,7 +43,7 @@ def compress(ids: np.ndarray, alphabet: int, least: int = 24, rounds: int = 6, p
     ``per_round`` most frequent that occur ``least`` times or more; where two of them
     share an id, the left one of a run wins. ``rounds`` bounds how deep rules nest.
     """
-    s = np.ascontiguousarray(ids, dtype=np.int64)
+    s = np.array(ids, dtype=np.int64)  # a copy: it is changed in place
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = alphabet
@@ -160,7 +160,7 @@ class Encoder:
 
     #: Two white-space characters side by side, or the mark that stands for a line feed, in RE2's terms.
     ODD = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}|\x01"
-    REMEMBER = 1_500_000
+    REMEMBER = 900_000
 
     def __init__(self, path: str):
         import os
@@ -318,7 +318,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             written, ids, doc_ids, sizes, held = written + len(joined), [], [], [], 0
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in pieces(batches, "text", 10_000_000):
+        for batch in pieces(batches, "text", 6_000_000):
             got, counts = own.encode(batch.column("text"), end_id)
             keys, begin, at = batch.column("doc_id").to_pylist(), 0, 0
             stops = np.cumsum(counts)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versotext.llm.components import connected_components
-from versotext.llm.text import id_and_text, pieces, raw_texts, shared_checkpoint
+from versotext.llm.text import id_and_text, pieces, raw_texts, release, shared_checkpoint
 
 #: A-Z to lower case; the white space of the word pattern to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -360,7 +360,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     possible = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text")
     sets = possible.mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
     ones = shared_checkpoint(sets.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    # candidate texts and first shingles are done with
+    del sets, possible
+    release(spark)
     links = shared_checkpoint(_class_links(ones, percent, block))
+    release(spark)
     counted = shared_checkpoint(own.mapInArrow(sizes, "doc_id long, n_shingles long, print binary"))
     members = counted.where("doc_id is not null and n_shingles > 0").join(ones.select("print", F.col("c").alias("class_id")), "print").select("doc_id", "class_id")
     parts = connected_components(members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(links))
@@ -402,6 +406,8 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
     # shingles of no other class come first in the order by length; of the first n - T + 1 the rest are keys
     n_keys = (F.col("shared") - least + 1).cast("int")
     keys = shared_checkpoint(shared.select("c", F.explode(F.slice("by_length", F.lit(1), n_keys)).alias("key")).select("c", F.col("key.h").alias("h")))
+    del lists, lengths, shared
+    release(ones.sparkSession)
     heads = keys.groupBy("h").agg(F.min("c").alias("head"))
     groups = connected_components(keys.join(heads, "h").select(F.col("c").alias("a"), F.col("head").alias("b")).where("a <> b"))
     groups = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,17 +70,20 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    release(spark)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 2.5) -> None:
     """Let Spark drop shuffle and checkpoint files that nothing refers to any more.
 
     Its cleaner acts on what the driver's garbage collection finds, which may not run for long.
+    The driver learns of frames dropped in Python only after about a second.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
+    for _ in range(2):  # what has finalizers goes with the second
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -264,7 +264,7 @@ def import_faults(rows: DataFrame, now: str, date_col: str | None = None) -> Dat
     """Rows (row_id, email, ...) with a fault: email, date (not zoned or not a real day) or future."""
     fault = F.when(email_fault(F.col("email")).isNotNull(), F.lit("email"))
     if date_col:
-        stamp = F.try_to_timestamp(F.col(date_col))
+        stamp = F.try_to_timestamp(F.regexp_replace(date_col, "^(.{16})(Z|[+-])", "$1:00$2"))  # seconds may be left out
         given = F.col(date_col).isNotNull() & (F.col(date_col) != "")
         fault = fault.when(given & (~F.col(date_col).rlike(ZONED) | stamp.isNull()), "date").when(given & (stamp > F.to_timestamp(F.lit(now))), "future")
     return rows.select("row_id", fault.alias("fault")).where("fault is not null")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from versotext.functions import js
 from versotext.functions.text import route, stem_words
+from versotext.lineage import settled
 from versotext.schema import Descriptor
 
 #: Each rule's severity.
@@ -53,7 +54,8 @@ def page_fields(d: Descriptor, resolved: DataFrame) -> DataFrame:
     fields = ("title", "description", "robots", "canonical", "og_image", "og_image_alt")
     refs = pages.select("page", "locale", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"seo.{f}"))])).alias("field", "key")).where("key is not null")
     held = refs.join(texts, ["key", "locale"], "left").groupBy("page", "locale").agg(*[F.max(F.when(F.col("field") == f, F.struct("key", "text"))).alias(f) for f in fields])
-    return pages.drop("seo").join(held, ["page", "locale"], "left")
+    # every rule reads it
+    return settled(pages.drop("seo").join(held, ["page", "locale"], "left"))
 
 
 def check(d: Descriptor, snapshot: DataFrame, resolved: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:

@@ -585,3 +585,217 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line at offset 500."""
     return table(spark, sf_dir, "documents").select("doc_id", tx.line_of(F.col("text"), F.lit(500)).cast("long").alias("line"))
+
+
+# --- further operators ---------------------------------------------------------------------------------------
+
+@query("with u as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) as p from pages), c as (select page_id, regexp_replace(p, '^/+|/+$', '', 'g') as p from u) select page_id, case when p = '' then 0 else len(string_split(regexp_replace(p, '/+', '/', 'g'), '/')) end::integer as depth from c")
+def route_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O7."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.route_depth(F.coalesce(tx.path_of(F.col("url")), F.lit(""))).alias("depth"))
+
+
+@query("select 'f' || event_id as path, case when event_id % 3 = 0 then 'handEdited' when event_id % 2 = 0 then 'staleSource' else 'current' end as state from events")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3."""
+    f = table(spark, sf_dir, "events").selectExpr("'f' || event_id as path", "case when event_id % 2 = 0 then 'x' else 's' end as source_hash", "'s' as recorded_source_hash", "case when event_id % 3 = 0 then 'y' else 'c' end as content_hash", "'c' as recorded_content_hash")
+    return drift.freshness(f)
+
+
+@query(sql("snapshot") + " select key, case when key like '%4' or length(key) = 3 then 'proposed' else 'approved' end as state from snapshot_default")
+def status_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed values and keys without a status are proposed again."""
+    before = roles.snapshot(spark, sf_dir)
+    after = before.withColumn("value_json", F.when(F.col("key").endswith("4"), F.lit('"new"')).otherwise(F.col("value_json")))
+    statuses = before.where("locale = 'default' and length(key) <> 3").select("key", F.lit("approved").alias("state"), F.lit(None).cast("timestamp").alias("at"), F.lit("me").alias("by"))
+    return drift.reset_statuses(statuses, before, after).select("key", "state")
+
+
+_MARKED = sql("snapshot") + ", m as (select 'f' || (c_custkey % 20) as file, 'k' || c_custkey as key, case when c_custkey % 4 = 0 then 'edited' else c_name || ' of ' || c_mktsegment end as t from customer), d as (select m.file, m.key, case when s.key is null then 'unknown_mark' when '\"' || m.t || '\"' = s.value_json then 'current' else 'differs' end as drift from m left join snapshot_default s using (key))"
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "customer").selectExpr("'f' || (c_custkey % 20) as file", "'k' || c_custkey as key", "case when c_custkey % 4 = 0 then 'edited' else c_name || ' of ' || c_mktsegment end as text", "0 as tags")
+    return drift.document_drift(marked, role(spark, sf_dir, "snapshot_default"))
+
+
+@query(_MARKED + " select file, key, drift from d")
+def document_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10."""
+    return _drift(spark, sf_dir)
+
+
+@query(_MARKED + " select file, case when bool_and(drift = 'current') then 'current' else 'differs' end as state from d group by file")
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each file."""
+    return drift.document_states(_drift(spark, sf_dir))
+
+
+@query(sql("keys") + " select key from keys k where not exists (select 1 from orders o where 'k' || o.o_custkey = k.key and o.o_totalprice > 250000)")
+def uncarried_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G11."""
+    marked = table(spark, sf_dir, "orders").where("o_totalprice > 250000").selectExpr("'k' || o_custkey as key")
+    return drift.uncarried(role(spark, sf_dir, "keys"), marked)
+
+
+@query("with p as (select n_name as page, '/' || n_nationkey as route from nation), f as (select 'f' || s_suppkey as path, '/' || (s_nationkey * 2) as route from supplier) select p.page, p.route, f.path from p left join f using (route) union all select null, f.route, f.path from f where not exists (select 1 from p where p.route = f.route)")
+def auditable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12."""
+    pages = table(spark, sf_dir, "nation").selectExpr("n_name as page", "'/' || n_nationkey as route")
+    return drift.auditable_pages(pages, table(spark, sf_dir, "supplier").selectExpr("'f' || s_suppkey as path", "'/' || (s_nationkey * 2) as route"))
+
+
+@query("select 't' || r_regionkey as template, s as slot from region, (values ('subject'), ('body')) x(s) where not (s = 'body' and r_regionkey % 2 = 0)")
+def unread_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G13."""
+    reads = table(spark, sf_dir, "region").where("r_regionkey % 2 = 0").selectExpr("'t' || r_regionkey as template", "'body' as slot")
+    return drift.unread_slots(roles.descriptor(spark, sf_dir).templates, reads)
+
+
+@query(sql("versions") + " select id, key, state from versions where state <> 'draft' or key in ('k3', 'k30')")
+def shipped_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9."""
+    rows = roles.versions(spark, sf_dir)
+    return descriptor.shipped_scope(rows, rows.where("key in ('k3', 'k30')")).select("id", "key", "state")
+
+
+@query("select 't' || r_regionkey || '__' || s as key from region, (values ('subject'), ('body')) x(s) where r_regionkey < 3 union all select 'brand__footer_address' union all select 'k1'")
+def sibling_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10."""
+    keys = table(spark, sf_dir, "region").where("r_regionkey < 3").selectExpr("'t' || r_regionkey || '__subject' as key").unionByName(table(spark, sf_dir, "region").where("r_regionkey = 0").selectExpr("'k1' as key"))
+    return descriptor.with_siblings(roles.descriptor(spark, sf_dir), keys)
+
+
+@query("select c_custkey as el_id, 'k' || c_custkey as key from customer where c_custkey % 2 = 0 union all select c_custkey, 'hello' from customer where c_custkey % 2 = 1 union all select c_custkey, 'loose' from customer where c_custkey % 3 = 0 and c_custkey % 2 = 1")
+def text_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by equi-join, values with variables by first word."""
+    shown = F.expr("case when c_custkey % 2 = 0 then c_name when c_custkey % 3 = 0 then 'Hello  ' || c_custkey || ' end' else ' Hello ' || c_custkey end")
+    elements = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("el_id"), shown.alias("text"))
+    values = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("'k' || c_custkey as key", "c_name as text")
+    extra = spark.createDataFrame([("hello", "Hello {{n}}"), ("loose", "{{greeting}} end")], "key string, text string")
+    return texts.census(elements, values.unionByName(extra))
+
+
+@query("select r_name as doc, n_name || ' page' as key, n_name as source, '{v} — the whole office of it' as tmpl from nation join region on r_regionkey = n_regionkey where length(n_name || ' head office in town') >= 12")
+def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that holds another whole one."""
+    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.expr("r_regionkey = n_regionkey"))
+    head = n.selectExpr("r_name as doc", "n_name as key", "n_name || ' head office in town' as text")
+    page = n.selectExpr("r_name as doc", "n_name || ' page' as key", "n_name || ' head office in town — the whole office of it' as text")
+    return texts.derivations(head.unionByName(page))
+
+
+@query("select text, min(source) as doc from documents group by text having count(distinct source) = 1")
+def single_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H10."""
+    return texts.only_in_one(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "text"))
+
+
+@query("select c_custkey, 'a' || c_name || 'b c' as plain, '{' || c_mktsegment || '} {{x}}' as single_in, '{{' || c_mktsegment || '}} {{x}}' as doubled, upper(substr(lower(c_mktsegment), 1, 1)) || substr(lower(c_mktsegment), 2) || ' title' as label, c_custkey % 2 = 0 as is_copy from customer")
+def markup_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2, T5, T9, T13, T17."""
+    c = table(spark, sf_dir, "customer")
+    single = F.expr("'{' || c_mktsegment || '} {{x}}'")
+    copy = F.expr("case when c_custkey % 2 = 0 then c_name else '<1>' || (c_custkey % 10) || '</1> {{name}} !' end")
+    return c.select("c_custkey", js.collapse(tx.plain_of(F.expr("' a<1>' || c_name || '</1>b  <2/>\\nc '"))).alias("plain"), single.alias("single_in"), tx.to_double_braces(single).alias("doubled"), tx.derive_label(F.expr("'home__' || lower(c_mktsegment) || '_title'")).alias("label"), tx.qualifies_as_copy(copy).alias("is_copy"))
+
+
+@query("select page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) as size, 'error' as severity from pages where length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 40")
+def seo_over_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with its bound as a parameter; keys without a limit take the rule's severity."""
+    t = _titles(spark, sf_dir)
+    key = F.concat(F.lit("t"), F.col("page_id").cast("string"))
+    f = t.select(key.alias("page"), F.lit("default").alias("locale"), F.struct(key.alias("key"), F.col("title").alias("text")).alias("title"))
+    keys = t.select(key.alias("key"), F.lit(None).cast("struct<max:int,severity:string>").alias("limits"))
+    found = seo.over_length(roles.Descriptor(keys, keys, keys), f, "title", 40, 3, seo.severities())
+    return found.select(F.expr("cast(substr(page, 2) as long)").alias("page_id"), F.regexp_extract("message", "has ([0-9]+) char", 1).cast("long").alias("size"), "severity")
+
+
+@query("select event_id, case when event_type = 'click' then 'buy now' when event_type = 'view' then '#1' end as phrase from events")
+def sales_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first imperative in a text."""
+    text = F.expr("case event_type when 'click' then 'Act fast, BUY NOW or call now' when 'view' then 'the #1 of them' else 'buy nowhere, reorder nowadays' end")
+    return table(spark, sf_dir, "events").select("event_id", seo.imperative(text).alias("phrase"))
+
+
+@query("select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 60 when l_linenumber % 3 = 1 then 160 end as bound from lineitem")
+def head_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tightest bound over a text's roles."""
+    own = F.expr("case l_linenumber % 3 when 0 then array('meta_description', 'page_title') when 1 then array('share_description', 'text') else array('text') end")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", seo.head_limit(own).alias("bound"))
+
+
+@query(sql("keys") + " select rule, key from (select 'construct' as rule, key from keys where target = 'html-email' and shape = 'text' and key like '%2' union all select 'requires', key from keys where shape = 'text' and key like '%3')")
+def markup_and_requires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup in email copy, and required variables a text lost."""
+    d = roles.descriptor(spark, sf_dir)
+    d = roles.Descriptor(d.keys.withColumn("requires", F.when(F.col("key").endswith("3"), F.array(F.lit("name")))), d.pages, d.templates)
+    value = F.when(F.col("key").endswith("2"), F.lit('"a <b>bold</b> <brag>"')).otherwise(F.lit('"a <brag> 1 < 2 and {{nam}}"'))
+    found = rules.strings_of(d, d.keys.select("key", F.lit("default").alias("locale"), value.alias("value_json")))
+    return rules.illegal_markup(found).unionByName(rules.missing_variables(found)).select("rule", "key")
+
+
+@query("select 'k' || event_id as key, 'email,phone' as fields from events where event_id % 4 = 1")
+def contact_smell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V14."""
+    value = F.expr("""case event_id % 4 when 1 then '{"Phone": "1", "email": "x", "note": ""}' when 2 then '{"email": "x"}' else '"email phone"' end""")
+    return rules.contact_smell(table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), F.lit("default").alias("locale"), value.alias("value_json"))).select("key", "fields")
+
+
+@query("select event_id as row_id, case when event_id % 5 = 0 then 'email' when event_id % 5 = 1 then 'date' when event_id % 5 = 2 then 'future' when event_id % 5 = 3 then 'date' end as fault from events where event_id % 5 <> 4")
+def import_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, days that don't exist, dates without a zone, dates to come."""
+    email = F.expr("case when event_id % 5 = 0 then 'no address' else 'a@b.example' end")
+    at = F.expr("case event_id % 5 when 1 then '2024-02-30T10:00:00Z' when 2 then '2031-01-01T00:00:00Z' when 3 then '2024-01-01 10:00' else '2024-02-29T10:00:00+02:00' end")
+    return rules.import_faults(table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), email.alias("email"), at.alias("at")), "2030-01-01 00:00:00", "at")
+
+
+@query(sql("keys") + " select 'k' || c_custkey as gone, 'k' || (c_custkey + 10) as survivor, 'values' as reason from customer where c_custkey % 30 = 0 and c_custkey + 10 <= (select max(c_custkey) from customer) and c_custkey > 0")
+def merge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges that must be refused."""
+    d = roles.descriptor(spark, sf_dir)
+    keys = roles._as(d.keys.withColumn("shape", F.lit("text")).withColumn("target", F.lit("web")), roles.KEY_DEFS)
+    c = table(spark, sf_dir, "customer")
+    merges = c.where("c_custkey % 30 = 0 and c_custkey > 0").selectExpr("'k' || c_custkey as gone", "'k' || (c_custkey + 10) as survivor").join(c.selectExpr("'k' || c_custkey as survivor"), "survivor", "left_semi").select("gone", "survivor")
+    return descriptor.merge_faults(roles.Descriptor(keys, d.pages, d.templates), roles.snapshot(spark, sf_dir), merges)
+
+
+@query(sql("keys") + " select key, case when key = 'k7' then null else derives_from end as derives_from from keys where false or key <> 'k4'".replace("key = 'k7'", "derives_from = 'k4'"))
+def removed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What derives from a removed key stands by itself."""
+    d, snap = roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir)
+    gone = d.keys.where("key = 'k4'").select("key")
+    resolved = snap.withColumn("source", F.lit("derived"))
+    return descriptor.remove_keys(d, snap, resolved, gone)[0].keys.select("key", "derives_from")
+
+
+@query("select 'k' || event_id as key, case event_id % 3 when 0 then '\"Hi {{n}}\"' when 1 then '\"first\"' else '\"held\"' end as value_json from events where event_id % 4 <> 3")
+def imported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings, [value, meta] pairs and {value} objects; other entries are left out."""
+    entry = F.expr("""case when event_id % 4 = 3 then '7' else case event_id % 3 when 0 then '"Hi {n}"' when 1 then '["first", {"m": 1}]' else '{"value": "held", "x": 1}' end end""")
+    return descriptor.import_rows(table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), entry.alias("entry_json")), placeholders=True)
+
+
+@query(sql("snapshot") + " select key, value_json, sha256(value_json) as source_hash, case when key like '%1' then 'approved' else 'proposed' end as state from snapshot_default where key in ('k11', 'k12', 'k110')")
+def generated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: filtered values with their hash and approval."""
+    from versotext.sources import sinks
+
+    snap = role(spark, sf_dir, "snapshot_default")
+    statuses = snap.where("key like '%1'").select("key", F.lit("approved").alias("state"))
+    return sinks.generated_table(snap, spark.createDataFrame([("k11",), ("k12",), ("k110",)], "entry string"), statuses)
+
+
+@query("select 'p' || n_nationkey as page from nation where n_nationkey < 12")
+def fan_out_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages a set of keys renders on."""
+    d = roles.descriptor(spark, sf_dir)
+    keys = table(spark, sf_dir, "nation").selectExpr("n_nationkey as ord", "'k' || n_nationkey as key", "array('p' || n_nationkey, 'p' || (n_nationkey div 2)) as pages")
+    return descriptor.pages_of(roles.Descriptor(keys, d.pages, d.templates), keys.where("n_nationkey < 12" if "n_nationkey" in keys.columns else "ord < 12").select("ord", "key"))
+
+
+@query("select case when event_type = 'error' then 'error' else 'warning' end as k, count(*) as n from events group by 1")
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9."""
+    counts = seo.severity_counts(table(spark, sf_dir, "events").selectExpr("case when event_type = 'error' then 'error' else 'warning' end as severity"))
+    return counts.select(F.explode(F.map_from_arrays(F.array(F.lit("error"), F.lit("warning")), F.array("errors", "warnings"))).alias("k", "n"))

@@ -382,18 +382,25 @@ def test_scan_equals_whole_path():
             assert sentencepiece_scan.encode_scan(vocab, t, chunk).tolist() == whole
 
 
-def test_short_words_equal_library():
-    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
-    import sentencepiece
-
-    model = pb.ModelProto()
-    with open(PIECES, "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1  # the same pieces and scores, read as a unigram model
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+def test_words_have_the_best_score():
     vocab = sentencepiece_scan.Vocabulary(PIECES)
-    for word in ("hello", "tokenization", "Straße", "naïve", "theirs", "running", "xyzzy", "I", "42", "co-op"):
-        assert library.encode(word) == vocab.encode(word).tolist()
+
+    def score(parts):
+        return sum(vocab.table[p][1] if vocab.table.get(p, (-1, 0))[0] >= 0 else vocab.unknown for p in parts)
+
+    def segmentations(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if n == 1 or vocab.table.get(text[:n], (-1, 0))[0] >= 0:
+                for rest in segmentations(text[n:]):
+                    yield [text[:n], *rest]
+
+    for word in ("hello", "theirs", "Straße", "running", "xyzzy", "co-op", "42", "日本"):
+        text = sentencepiece_scan.SPACE + word
+        best = max(map(score, segmentations(text)))
+        own = [vocab.names[i] for i in vocab.encode(word)]
+        assert "".join(own) == text and score(own) == best
 
 
 def test_encode_and_decode(spark, docs, no_docs):

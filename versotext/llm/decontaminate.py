@@ -44,8 +44,9 @@ def shingle_texts(own: Column, n: int) -> Column:
 
 def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Of each item with words: item_id, n_item (shingles), partition, sketch (hashes) and shingles (text)."""
-    own = items.select(F.col(f"`{id_col}`").alias("item_id"), words(F.col(f"`{text_col}`").cast("string")).alias("w")).where("item_id is not null and size(w) > 0")
-    own = own.select("item_id", shingle_texts(F.col("w"), n).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.transform("w", lambda w: F.xxhash64(w)), n))).alias("hashes"))
+    own = items.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("item_id"), words(F.col(f"`{text_col}`").cast("string")).alias("w"))
+    own = own.select("item_id", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
+    own = own.select("item_id", shingle_texts(F.col("w"), n).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("wh"), n))).alias("hashes"))
     own = own.withColumn("n_item", F.size("shingles")).withColumn("partition", F.floor(F.log2(F.col("n_item").cast("double"))).cast("int"))
     # the largest item of the partition has 2^(p+1) - 1 shingles
     most = F.pow(F.lit(2.0), F.col("partition") + 1) - 1
@@ -65,7 +66,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     All three ways give the same result.
     """
     sketches = item_sketches(items, item_id, item_text, n, percent)
-    hashes = sketches.select(F.explode("sketch").alias("h"), "item_id")
+    # outer forms: for an inner explode the optimizer infers a filter that evaluates all of this again, for each place
+    hashes = sketches.select(F.explode_outer("sketch").alias("h"), "item_id").where("h is not null")
     size = hashes.select("h").distinct().count()
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # each step is a column of its own: several references keep the optimizer from evaluating it again for each place

@@ -254,6 +254,37 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan_licenses(no_docs).collect() == []
 
 
+def brute_templates(index, words):
+    """Every template compared at every place."""
+    out = []
+    for t, ws in enumerate(index.words):
+        total = sum(index.idf[w] for w in ws)
+        for begin in range(1 - len(ws), len(words)):
+            held = sum(index.idf[w] for j, w in enumerate(ws) if 0 <= begin + j < len(words) and words[begin + j] == w)
+            near = b" " + b" ".join(words[max(0, begin - 4) : begin + len(ws) + 8]) + b" "
+            if held >= index.share * total and all(m in near for m in index.mandatory[t]):
+                out.append((index.labels[t], max(begin, 0), held / total))
+    return sorted(out)
+
+
+def test_all_statements_in_one_file(spark):
+    r = random.Random(12)
+    statements = [t.text for t in licenses.TEMPLATES]
+    files = [" ".join(statements), " and ".join(reversed(statements)), statements[10] + " " + " ".join(statements[i] for i in (1, 8, 9, 14, 16, 17, 18))]
+    vocabulary = " ".join(statements).split()
+    for n in range(20):  # some words of each statement replaced, half of them by licence words
+        files.append(" ".join(w if r.random() > 0.01 * n else r.choice([r.choice(vocabulary), "changed"]) for w in files[n % 3].split()))
+    common = {w.encode(): 9000 if len(w) < 4 else 500 if len(w) < 8 else 20 for w in vocabulary}
+    for frequency in ({}, common, {w: 10_000 - n for w, n in common.items()}):
+        index = licenses.Index(frequency, 10_000)
+        for f in files:
+            words = f.encode().split()
+            assert index.matches(words) == brute_templates(index, words)
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(files)), "doc_id long, text string")).collect()
+    labels = {x["doc_id"]: set(x["labels"].split(",")) for x in out}
+    assert labels[0] == labels[1] == {t.label for t in licenses.TEMPLATES} and "gpl-2" in labels[2]
+
+
 # 6: toxicity -----------------------------------------------------------------------------
 
 

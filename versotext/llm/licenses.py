@@ -1,11 +1,15 @@
 """Licence scan with a positional rare-token index.
 
-Every template is a short licence statement. Its words are indexed with their
-places. For a file, only the licence words with the highest inverse document
-frequency in the whole corpus are looked up; each hit votes for the place where
-the template would have to begin (place in the file minus place in the
-template). Beginnings with enough votes are compared word by word, and the
-template's mandatory key phrases must stand in the file near that place.
+Every template is a short licence statement. Its anchors, the words with the highest
+inverse document frequency in the whole corpus, are indexed with their places. All
+anchors that stand in a file are looked up; each hit votes for the place where the
+template would have to begin (place in the file minus place in the template).
+Beginnings with enough votes are compared word by word, and the template's mandatory
+key phrases must stand in the file near that place.
+
+A template has so many anchors, and so few votes are asked for, that no place with the
+wanted share of the template's idf mass can miss them: the scan finds what a comparison
+at every place would.
 """
 
 from __future__ import annotations
@@ -69,7 +73,8 @@ class Index:
         self.mandatory = [tuple(b" " + m.encode() + b" " for m in t.mandatory) for t in templates]
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for ws in self.words for w in ws}
         # of each template the words with the highest idf are its anchors; ties by the word itself
-        self.anchors = [sorted(set(ws), key=lambda w: (-self.idf[w], w))[:rare] for ws in self.words]
+        self.anchors = [self._anchors(ws) for ws in self.words]
+        self.least = [self._least(ws, kept) for ws, kept in zip(self.words, self.anchors, strict=True)]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, ws in enumerate(self.words):
             kept = set(self.anchors[t])
@@ -80,6 +85,24 @@ class Index:
         self.base_first = {ws[min(range(len(ws)), key=lambda i: -self.idf.get(ws[i], 99.0))] for ws, _ in self.base}
         self.lookup = frozenset(self.postings) | self.base_first
 
+    def _anchors(self, ws: list[bytes]) -> list[bytes]:
+        """At least ``rare`` words, and more while a place with the wanted share could hold fewer than two of them."""
+        ranked = sorted(set(ws), key=lambda w: (-self.idf[w], w))
+        n = self.rare
+        while n < len(ranked) and self._least(ws, ranked[:n]) < 2:
+            n += 1
+        return ranked[:n]
+
+    def _least(self, ws: list[bytes], anchors: list[bytes]) -> int:
+        """How many places of anchors any place with the wanted share holds at least."""
+        total = sum(self.idf[w] for w in ws)
+        masses = sorted((self.idf[w] for w in ws if w in anchors), reverse=True)
+        held, n = total - sum(masses), 0
+        while n < len(masses) and held < (self.share - 1e-9) * total:
+            held += masses[n]
+            n += 1
+        return n
+
     def base_places(self, words: list[bytes]) -> list[tuple[int, str]]:
         found = []
         at = defaultdict(list)
@@ -93,20 +116,17 @@ class Index:
                     found.append((i - k, label))
         return found
 
-    def matches(self, words: list[bytes], present: set[bytes]) -> list[tuple[str, int, float]]:
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, float]]:
         """(label, first word, share of the template's idf mass in place) of each verified template."""
-        # the file's own highest-idf licence words
-        own = sorted(present & self.postings.keys(), key=lambda w: (-self.idf[w], w))
-        lookup = set(own[: 4 * self.rare])
         votes: Counter[tuple[int, int]] = Counter()
         for i, w in enumerate(words):
-            if w in lookup:
+            if w in self.postings:
                 for t, place in self.postings[w]:
                     votes[(t, i - place)] += 1
         found = []
         for (t, begin), n in votes.items():
             ws = self.words[t]
-            if n < max(1, math.ceil(self.share * sum(w in lookup for w in self.anchors[t]))) or n < min(2, len(self.anchors[t])):
+            if n < self.least[t]:
                 continue
             total = sum(self.idf[w] for w in ws)
             held = sum(self.idf[w] for j, w in enumerate(ws) if 0 <= begin + j < len(words) and words[begin + j] == w)
@@ -166,7 +186,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out.append((len(words), 0, None, None, "", "", 0.0, ""))
                     continue
                 places = index.base_places(words)
-                found = index.matches(words, set(present))
+                found = index.matches(words)
                 base_labels = {label for _, label in places}
                 labels = base_labels | {label for label, _, _ in found}
                 starts = [p for p, _ in places]

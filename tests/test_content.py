@@ -411,6 +411,32 @@ def test_store_changes(spark):
     assert changes[100].status == "published" and changes[100].reverted_at is not None
 
 
+def test_store_reverts_large_change(spark):
+    n = 1100
+    old = [{"id": i, "key": f"k{i}", "v": "old", "is_active": False} for i in range(1, n + 1)] + [{"id": 2000 + i, "key": f"k{i}", "v": "new", "changeset_id": 9} for i in range(1, n + 1)]
+    log = [("p", 0, "revert_change", {"change": 9}), ("p", 1, "save", {"key": "x", "value": "s"}), ("q", 2, "save", {"key": "y", "value": "t"}), ("p", 3, "revert", {"version": 2001}), ("p", 4, "open_change", {})]
+    commands = spark.createDataFrame([(project, i, verb, json.dumps(args), "e") for project, i, verb, args in log], "project string, ord long, verb string, args_json string, editor string").withColumn("at", F.to_timestamp(F.lit("2024-01-01")))
+    changes = frame(spark, CHANGESETS, [{"id": 9, "project": "p", "status": "published"}])
+    out = store.fold(stored(spark, old), changes, commands, 10_000)
+    rows = out["versions"].collect()
+    assert len({r.id for r in rows}) == len(rows) == 2 * n + n + 3
+    assert all(r.ok for r in out["answers"].collect())
+    live = {r.key: (r.value_json, r.reverted_from) for r in rows if r.is_active}
+    assert live == {f"k{i}": ('"old"', i) for i in range(2, n + 1)} | {"k1": ('"new"', 2001)}
+    assert {r.key: r.value_json for r in rows if r.state == "draft"} == {"x": '"s"', "y": '"t"'}
+    last = max(r.id for r in rows if r.reverted_from is not None and r.reverted_from <= n)
+    assert all(r.id > last for r in rows if r.key in ("x", "y") or r.reverted_from == 2001)
+
+
+def test_store_reverts_change_saved_in_log(spark):
+    log = [("open_change", {}, "a")] + [("save", {"key": f"k{i}", "value": 1}, "a") for i in range(12)] + [("publish", {"key": f"k{i}"}, "a") for i in range(12)]
+    log += [("save", {"key": f"k{i}", "value": 2, "change": 100}, "a") for i in range(12)] + [("publish_change", {"change": 100}, "a"), ("revert_change", {"change": 100}, "a"), ("save", {"key": "x", "value": 3}, "a"), ("publish", {"key": "x"}, "a")]
+    answers, rows, _, _ = run_log(spark, log)
+    assert all(ok for ok, _ in answers) and len(rows) == 37
+    assert {r.key: r.value_json for r in rows.values() if r.is_active} == {f"k{i}": "1" for i in range(12)} | {"x": "3"}
+    assert [n for _, _, n in answers[38][1]] == list(range(480, 492)) and answers[39] == (True, 500)
+
+
 def test_store_schedule(spark):
     answers, rows, changes, _ = run_log(spark, [
         ("open_change", {}, "a"), ("save", {"key": "g", "value": 1, "change": 100}, "a"), ("schedule_change", {"change": 100, "publish_at": "2024-01-01T00:00:05"}, "a"), ("save", {"key": "s", "value": 2, "publish_at": "2024-01-01T00:00:03"}, "a"),

@@ -6,7 +6,10 @@ applied in order by one task; it gets only the rows that the commands name (by k
 or by change), all other rows pass by. A fold is serial, so the conflicts that only races
 cause can't occur.
 
-A command makes at most ``block`` rows; they get the ids first_id + ord * block + 0, 1, ...
+``ord`` is unique in the log and ``first_id`` lies above all ids in use. A command's rows get
+the ids first_id + ord * block + 0, 1, ... Only the reversal of a change can make more than
+``block`` rows: it is given as many blocks as it can fill, and all later commands' ids move
+up by these, so that ids stay distinct and in the order of the log.
 
 Set forms for bulk work without conflicts (publish, publish due, seed) stand beside the fold.
 """
@@ -14,6 +17,8 @@ Set forms for bulk work without conflicts (publish, publish due, seed) stand bes
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -36,14 +41,21 @@ class Refused(Exception):
 class State:
     """One project's rows as plain dicts, and the verbs."""
 
-    def __init__(self, project: str, versions: list[dict], changes: list[dict], first_id: int, block: int):
+    def __init__(self, project: str, versions: list[dict], changes: list[dict], first_id: int, block: int, wide: list[tuple[int, int]]):
         self.project, self.block, self.first = project, block, first_id
+        # commands with more than one block, in order, and the numbers of blocks added up to each
+        self.wide, self.added = [o for o, _ in wide], [0, *accumulate(n for _, n in wide)]
         self.versions = {v["id"]: v for v in versions}
         self.changes = {c["id"]: c for c in changes}
         self.renames: list[dict] = []
-        self.following = 0
+        self.following = self.end = 0
+
+    def begin(self, ord_: int) -> int:
+        return self.first + (ord_ + self.added[bisect_left(self.wide, ord_)]) * self.block
 
     def new_id(self) -> int:
+        if self.following >= self.end:
+            raise OverflowError(f"a command of {self.project} makes more rows than it has ids")
         self.following += 1
         return self.following - 1
 
@@ -207,7 +219,7 @@ class State:
         return out
 
     def apply(self, ord_: int, verb: str, args: dict, editor: str | None, at: str) -> tuple[bool, str | None, Any]:
-        self.following = self.first + ord_ * self.block
+        self.following, self.end = self.begin(ord_), self.begin(ord_ + 1)
         if verb not in VERBS:
             return False, f"unknown_verb:{verb}", None
         try:
@@ -224,12 +236,25 @@ def _packed(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("project", F.lit(kind).alias("kind"), F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"}).alias("body"))
 
 
+def _wide(versions: DataFrame, asked: DataFrame, block: int) -> list[tuple[int, int]]:
+    """Commands that can make more than ``block`` rows, with the blocks they need besides the first.
+
+    A reversal makes at most a row for each version that is in the change or that the log saves into it.
+    """
+    reverts = asked.where("verb = 'revert_change' and changeset_id is not null").select("project", "changeset_id", "ord")
+    held = versions.where("changeset_id is not null").select("project", "changeset_id").unionByName(asked.where("verb = 'save' and changeset_id is not null").select("project", "changeset_id"))
+    sizes = held.join(reverts.select("project", "changeset_id").distinct(), ["project", "changeset_id"], "left_semi").groupBy("project", "changeset_id").agg(F.count("*").alias("n"))
+    # one row for each reversal of a change above the block
+    rows = reverts.join(sizes.where(F.col("n") > block), ["project", "changeset_id"]).select("ord", "n").collect()
+    return sorted((r["ord"], -(-r["n"] // block) - 1) for r in rows)
+
+
 def fold(versions: DataFrame, changes: DataFrame, commands: DataFrame, first_id: int, block: int = BLOCK) -> dict[str, DataFrame]:
     """``versions``, ``changesets``, ``renames`` (new ones) and ``answers`` after the commands."""
     args = F.from_json("args_json", "map<string,string>")
     named = commands.select("project", F.explode(F.array(F.element_at(args, F.lit("key")), F.element_at(args, F.lit("old_key")), F.element_at(args, F.lit("new_key")))).alias("key")).where("key is not null")
     by_version = commands.select("project", F.element_at(args, F.lit("version")).cast("long").alias("id")).where("id is not null").join(versions.select("project", "id", "key"), ["project", "id"]).select("project", "key")
-    asked = commands.select("project", F.element_at(args, F.lit("change")).cast("long").alias("changeset_id"), "verb", "at")
+    asked = commands.select("project", F.element_at(args, F.lit("change")).cast("long").alias("changeset_id"), "verb", "at", "ord")
     by_change = versions.join(asked.where("changeset_id is not null").select("project", "changeset_id").distinct(), ["project", "changeset_id"], "left_semi").select("project", "key")
     due_at = asked.where("verb = 'publish_due'").groupBy("project").agg(F.max("at").alias("due"))
     by_due = versions.join(due_at, "project").where("state = 'draft' and publish_at <= due").select("project", "key", "changeset_id")
@@ -242,10 +267,12 @@ def fold(versions: DataFrame, changes: DataFrame, commands: DataFrame, first_id:
     own_changes = changes.join(busy, "project", "left_semi").select(changes.columns)
     packed = _packed(inside, "version").unionByName(_packed(own_changes, "changeset")).unionByName(_packed(commands, "command"))
 
+    wide = _wide(versions, asked, block)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         project = pdf["project"].iloc[0]
         bodies = {k: [json.loads(b) for b in own] for k, own in pdf.groupby("kind")["body"]}
-        state = State(project, bodies.get("version", []), bodies.get("changeset", []), first_id, block)
+        state = State(project, bodies.get("version", []), bodies.get("changeset", []), first_id, block, wide)
         out: list[tuple[str, str]] = []
         for c in sorted(bodies.get("command", []), key=lambda c: c["ord"]):
             ok, error, result = state.apply(c["ord"], c["verb"], json.loads(c["args_json"] or "{}"), c["editor"], c["at"])

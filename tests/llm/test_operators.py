@@ -393,6 +393,14 @@ def test_warc(spark):
     assert {r["record_id"] for r in warc.derivatives(frame).collect()} == {r["record_id"] for r in out}
 
 
+@pytest.mark.parametrize("icon", ['<svg class="i"/>', "<svg/>", "<SVG data-x='a>b' />", "<svg width=1 title=it's />", "<svg width=1/>", '<svg class="i"><path d="M0"/>gone</svg>', '<svg viewBox="0"><svg/><b>gone</b></svg>', '<svg-icon name="x"></svg-icon>', "<template-part></template-part>"])
+def test_text_after_icons_is_kept(icon):
+    page = f'<p>a{icon}</p><p>it\'s b</p><br/><a href="/x">c</a>{icon}<title>T</title><p>d</p>'
+    assert warc.page_text(page) == "a\nit's b\nc\nd"
+    assert warc.page_links(page) == [{"path": "A@/href", "url": "/x"}]
+    assert '"Title": "T"' in warc.derive(1, "u", "d", page.encode(), [])[0][-2]
+
+
 # 9: SentencePiece ----------------------------------------------------------------------------
 
 

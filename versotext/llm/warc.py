@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from versotext.llm.text import pieces, raw_texts
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I)
+#: A self-closed svg ends at once; of the other elements HTML ignores the slash.
+HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[\s/]+|[^\s/>=<]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s><]*))*+(?<=/)>"
+    r"|<(script|style|noscript|template|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I,
+)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>")
 BLOCK = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())

@@ -1,5 +1,6 @@
 """Each corpus operator on edge cases and against a plain version of itself."""
 
+import json
 import random
 import zlib
 
@@ -401,6 +402,26 @@ def test_text_after_icons_is_kept(icon):
     assert '"Title": "T"' in warc.derive(1, "u", "d", page.encode(), [])[0][-2]
 
 
+def test_warc_source_headers(spark):
+    own = ("<urn:uuid:8a1f3c52-0000-4000-8000-000000000001>", "2024-05-06T07:08:09Z", 404, [("Server", "x"), ("Set-Cookie", "a=1"), ("set-cookie", "b=2")], "sha1:GIVEN")
+    rows = [(1, "u", "<p>a", *own), (1, "u", "<p>a", own[0][:-2] + "2>", *own[1:]), (2, "u", "<p>a", None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, rid string, at string, code int, http array<struct<k:string,v:string>>, sha string")
+    names = {"record_id_col": "rid", "date_col": "at", "status_col": "code", "headers_col": "http", "digest_col": "sha"}
+    out = warc.derivatives(frame, **names).collect()
+    assert len({r["record_id"] for r in out}) == 6
+    for r in out:
+        head = dict(line.split(": ", 1) for line in r["record"].split("\r\n\r\n")[0].split("\r\n")[1:])
+        assert (head["WARC-Refers-To"], head["WARC-Date"], head["WARC-Source-Payload-Digest"]) == (r["refers_to"], r["warc_date"], r["source_digest"])
+    first = [r for r in out if r["refers_to"] == own[0]]
+    assert len(first) == 2 and all((r["warc_date"], r["source_digest"]) == (own[1], own[4]) for r in first)
+    envelope = json.loads(next(r["block"] for r in first if r["record_type"] == "metadata"))["Envelope"]
+    assert envelope["HTTP-Response"] == {"Status": "404", "Headers": {"Server": "x", "Set-Cookie": ["a=1", "b=2"]}} and envelope["WARC-Header"]["WARC-Record-ID"] == own[0]
+    plain = {tuple(r) for r in warc.derivatives(frame.where("page_id = 2")).collect()}
+    assert {tuple(r) for r in out if r["page_id"] == 2} == plain
+    mapped = warc.derivatives(frame.withColumn("http", F.create_map(F.lit("Server"), F.lit("y"))), headers_col="http").where("record_type = 'metadata'").collect()
+    assert all(json.loads(r["block"])["Envelope"]["HTTP-Response"]["Headers"] == {"Server": "y"} for r in mapped)
+
+
 # 9: SentencePiece ----------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ For each response a ``metadata`` record (headers, digest, links, title) and a
 ``conversion`` record (the page's visible text) are made. Both name the response
 in ``WARC-Refers-To`` and repeat its target, date and payload digest. Record ids are
 version-5 UUIDs of the response's id and the record's kind, so that a task run
-twice writes the same records.
+twice writes the same records. The response's record id, date, status, HTTP headers and
+payload digest are carried over where columns hold them, and made up where none does.
 """
 
 from __future__ import annotations
@@ -71,40 +72,62 @@ def render(headers: list[tuple[str, str]], block: bytes) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n" + block.decode("utf-8") + "\r\n\r\n"
 
 
-def derive(page_id: int | None, url: str, date: str, raw: bytes, http: list[tuple[str, str]]) -> list[tuple]:
+def fields(http: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """HTTP headers by name; a name that stands more than once, in whatever case, keeps all its values in order."""
+    names: dict[str, str] = {}
+    values: dict[str, list[str]] = {}
+    for name, value in http:
+        values.setdefault(names.setdefault(name.lower(), name), []).append(value)
+    return {name: own[0] if len(own) == 1 else own for name, own in values.items()}
+
+
+def derive(page_id: int | None, url: str, date: str, raw: bytes, http: list[tuple[str, str]], status: str = "200", source_id: str | None = None, source_digest: str | None = None) -> list[tuple]:
     """The response's two records as rows of ``RECORDS``."""
     source = raw.decode("utf-8", "replace")
-    response, payload = record_id(url, str(page_id), "response"), digest(raw)
+    response, payload = source_id or record_id(url, str(page_id), "response"), source_digest or digest(raw)
     title = TITLE.search(HIDDEN.sub(" ", source))
     links = page_links(source)
-    meta = {"Envelope": {"WARC-Header": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload}, "HTTP-Response": {"Status": "200", "Headers": dict(http)}, "HTML": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": links}, "Payload-Length": len(raw)}}
+    meta = {"Envelope": {"WARC-Header": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload}, "HTTP-Response": {"Status": status, "Headers": fields(http)}, "HTML": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": links}, "Payload-Length": len(raw)}}
     out = []
     for kind, content_type, text in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", page_text(source))):
         block = text.encode("utf-8", "replace")
-        own = record_id(url, str(page_id), kind)
+        own = record_id(source_id, kind) if source_id else record_id(url, str(page_id), kind)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", response), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
         out.append((page_id, kind, own, response, url, date, content_type, payload, digest(block), digest(block), len(block), len(links), block.decode("utf-8"), render(headers, block)))
     return out
 
 
-def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", record_id_col: str | None = None, date_col: str | None = None, status_col: str | None = None, headers_col: str | None = None, digest_col: str | None = None) -> DataFrame:
     """Two rows for each response: its metadata record and its conversion record.
 
     ``record`` holds the whole record as text, ``block`` its content; the other columns
-    repeat the headers. ``date`` is the responses' WARC-Date, a parameter as the pages carry none.
+    repeat the headers.
+
+    The optional columns hold what the responses' own records say: record id, WARC-Date and
+    payload digest as they stand there, HTTP status, and HTTP headers as an array of (name,
+    value) or a map. Without a column, or where it is null: an id made of url and page id,
+    ``date``, the digest of the page, 200, and a Content-Type of UTF-8 HTML with the page's length.
 
     A null page counts as an empty payload, a null url as the empty url and a null id
     stays null. Repeated rows give records with equal ids. Other columns are ignored.
     """
-    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    given = [F.col(f"`{c}`").cast("string").alias(name) for name, c in (("record", record_id_col), ("date", date_col), ("status", status_col), ("digest", digest_col)) if c]
+    if headers_col:
+        headers = F.col(f"`{headers_col}`")
+        headers = F.map_entries(headers) if pages.select(headers).schema[0].dataType.typeName() == "map" else headers
+        given.append(headers.cast("array<struct<name:string,value:string>>").alias("headers"))
+    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"), *given)
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.int64() if c.endswith("long") else pa.string() for c in RECORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 2_000_000):
             rows = []
-            for page_id, url, raw in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), raw_texts(batch, "html"), strict=True):
-                rows += derive(page_id, url, date, raw, [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(raw)))])
+            nulls = [None] * batch.num_rows
+            sources = [batch.column(name).to_pylist() if name in batch.schema.names else nulls for name in ("record", "date", "status", "digest", "headers")]
+            for page_id, url, raw, source_id, stamp, status, sum_, sent in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), raw_texts(batch, "html"), *sources, strict=True):
+                http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(raw)))] if sent is None else [(h["name"] or "", h["value"] or "") for h in sent if h]
+                rows += derive(page_id, url, stamp or date, raw, http, status or "200", source_id, sum_)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return own.mapInArrow(run, RECORDS)

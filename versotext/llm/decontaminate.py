@@ -8,6 +8,10 @@ one, taken for the largest item of the partition. A document that holds the item
 one of them, so the search loses nothing; a hit is verified by counting the item's shingles in
 the document, compared as text.
 
+An item of fewer than ``n`` words is a single shingle, its whole sequence, and a document of
+``n`` or more words has no shingle so short: such an item is found only in a document that
+is nothing but the item, never inside a longer one.
+
 Everything is DataFrame operations. The document side is one narrow pass: hashes
 of the words, of each n of them, their intersection with all sketches. Only
 documents that were hit go on.

@@ -499,6 +499,26 @@ def test_language(spark, docs, no_docs):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()}.isdisjoint({5, 6, 7, 12})
 
 
+def test_language_counts_all_rows_and_samples_all_ids(spark, monkeypatch):
+    r = random.Random(15)
+    rows = [(i, " ".join(r.choice(["der", "und", "the", "straße", "日本", f"w{i}"]) for _ in range(r.randint(0, 9))), "a" if i % 3 else "b") for i in range(900)] + [(None, "x y", "a"), (900, None, "a"), (901, "no language", None)]
+    got = {}
+    monkeypatch.setattr(language, "fit", lambda texts, languages, **more: got.update(texts=texts, languages=languages, **more))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.expr("doc_id is null or doc_id % 10 <> 0"), per_language=100)
+    eligible = [(i, t) for i, t, lang in rows if t is not None and lang is not None and (i is None or i % 10)]
+    expected = np.zeros(language.BUCKETS)
+    for ids, _ in language._features([t for _, t in eligible]):
+        expected[ids] += 1
+    frequency, documents = got["corpus"]
+    assert documents == len(eligible) and (frequency == expected).all()
+    assert got["languages"].count("a") == 100
+    places = {}
+    for i, t in eligible:
+        places.setdefault(t, i)
+    last = [t for t, lang in zip(got["texts"], got["languages"], strict=True) if lang == "a" and (places[t] or 0) >= 750]
+    assert len(last) >= 5
+
+
 def test_calibration_is_a_probability():
     r = random.Random(7)
     texts = ["".join(r.choice("ab" if i % 2 else "bc") for _ in range(12)) for i in range(300)]

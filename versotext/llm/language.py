@@ -26,6 +26,8 @@ from versotext.llm.text import bounded_sample, id_and_text, pieces, raw_texts, r
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 15
 BUCKETS = 3 << BITS
+#: Counts of all buckets are added up in parts of so many buckets.
+PART = 1024
 #: TF-IDF vectors are divided by their sum; this factor brings weights to a usual range.
 SCALE = 40.0
 
@@ -88,16 +90,20 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(texts: list[str], languages: list[str], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> Model | None:
-    """FTRL-proximal on the rows; every fifth row is held back for the temperature. None without rows."""
+def fit(texts: list[str], languages: list[str], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7, corpus: tuple[np.ndarray, int] | None = None) -> Model | None:
+    """FTRL-proximal on the rows; every fifth row is held back for the temperature. None without rows.
+
+    ``corpus`` has the document frequency of each bucket and the number of documents counted; without it the rows are counted.
+    """
     names = sorted(set(languages))
     if not names:
         return None
     rows = [f for i in range(0, len(texts), 200) for f in _features(texts[i : i + 200])]
-    document_frequency = np.zeros(BUCKETS)
-    for ids, _ in rows:
-        document_frequency[ids] += 1
-    idf = np.log((1 + len(texts)) / (1 + document_frequency)) + 1
+    document_frequency, documents = corpus or (np.zeros(BUCKETS), len(texts))
+    if corpus is None:
+        for ids, _ in rows:
+            document_frequency[ids] += 1
+    idf = np.log((1 + documents) / (1 + document_frequency)) + 1
     x = []
     for ids, tf in rows:
         w = tf * idf[ids]
@@ -137,16 +143,46 @@ def fit(texts: list[str], languages: list[str], epochs: int = 2, alpha: float =
     return Model(names, np.hstack([w * idf[:, None], idf[:, None]]).astype(np.float32), bias, best)
 
 
+def _document_frequency(rows: DataFrame) -> np.ndarray:
+    """In how many of the rows the n-grams of each bucket stand; each task counts its own rows, in vectors of fixed length."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
+        for batch in pieces(batches, "text", 2_000_000):
+            codes, begins, ends = _codes([raw.decode("utf-8", "replace") if raw else "" for raw in raw_texts(batch)])
+            grams = _grams(codes)
+            for b, e in zip(begins, ends, strict=True):
+                for n, g in enumerate(grams):
+                    own[g[b : max(b, e - n)]] = True
+                ids = np.flatnonzero(own)
+                seen[ids] += 1
+                own[ids] = False
+        parts = [(i, part.tobytes()) for i, part in enumerate(seen.reshape(-1, PART)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["part", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(n, np.int64) for n in group.column("n").to_pylist())
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((BUCKETS // PART, PART))
+    for r in rows.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    return out.reshape(-1)
+
+
 def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> Model | None:
-    """Fit on at most ``per_language`` rows of each language among the rows where ``eligible`` holds."""
+    """Fit on at most ``per_language`` rows of each language among the rows where ``eligible`` holds.
+
+    The rows are chosen by a hash of the id. Document frequencies are counted over all rows where ``eligible`` holds.
+    """
     rows = docs.where(eligible).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    sample = bounded_sample(rows, F.col("doc_id"), counts, "lang", per_language).select("text", "lang", "doc_id").collect()
+    sample = bounded_sample(rows, F.col("doc_id"), counts, "lang", per_language).select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
     kept: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])):
+    for r in sorted(sample, key=lambda r: (r["h"] % (1 << 24), r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         kept.setdefault(r["lang"], []).append(r["text"])
     pairs = [(t, lang) for lang, texts in sorted(kept.items()) for t in texts[:per_language]]
-    return fit([t for t, _ in pairs], [lang for _, lang in pairs])
+    return fit([t for t, _ in pairs], [lang for _, lang in pairs], corpus=(_document_frequency(rows), sum(counts.values()))) if pairs else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -161,6 +161,27 @@ def test_repair_random_access():
     assert len(token_store.compress(np.tile(np.arange(100), 500), 50_257)) < 100 * 500 // 4
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(2)
+    for ids in (np.full(1 << 16, 7), np.tile(r.integers(0, 50_000, 4096), 64), r.integers(0, 9, 30_000)):
+        blob = token_store.compress(ids, 50_257)
+        _, alphabet, n, rules, symbols, width = token_store.HEAD.unpack_from(blob)
+        s = np.frombuffer(blob, f"<u{width}", symbols, len(blob) - symbols * width).astype(np.int64)
+        kept = {}
+        at = -2
+        last = None
+        for i, pair in enumerate(zip(s[:-1].tolist(), s[1:].tolist(), strict=True)):
+            if pair != last or i != at + 1:  # of overlapping pairs one counts
+                kept[pair] = kept.get(pair, 0) + 1
+                last, at = pair, i
+            else:
+                last = None
+        assert max(kept.values(), default=0) < 24 and (token_store.Shard(blob).all() == ids).all()
+        for _ in range(10):
+            b, e = sorted(r.integers(0, n + 1, 2))
+            assert (token_store.Shard(blob).read(b, e) == ids[b:e]).all()
+
+
 # 3: decontamination ------------------------------------------------------------------
 
 

@@ -36,20 +36,19 @@ HEAD = struct.Struct("<4sIQIIB")
 
 # --- Re-Pair -----------------------------------------------------------------
 
-def compress(ids: np.ndarray, alphabet: int, least: int = 24, rounds: int = 6, per_round: int = 4096) -> bytes:
+def compress(ids: np.ndarray, alphabet: int, least: int = 24, per_round: int = 4096) -> bytes:
     """The shard blob of ``ids``.
 
     A round counts all neighbouring pairs and gives a nonterminal to each of the
     ``per_round`` most frequent that occur ``least`` times or more; where two of them
-    share an id, the left one of a run wins. ``rounds`` bounds how deep rules nest.
+    share an id, the left one of a run wins. Rounds go on until no pair occurs so often;
+    each makes the sequence shorter.
     """
     s = np.array(ids, dtype=np.int64)  # a copy: it is changed in place
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = alphabet
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
+    while len(s) > least:
         keys = (s[:-1] << 32) | s[1:]
         # a pair as frequent as asked for falls in a slot at least as frequent: count the slots first
         slots = ((keys * np.int64(-7046029254386353131)) >> np.int64(44)) & np.int64((1 << 20) - 1)

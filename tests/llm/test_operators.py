@@ -459,8 +459,25 @@ def test_scan_equals_whole_path():
     for t in texts:
         whole = plain_path(vocab, t)
         assert vocab.encode(t).tolist() == whole and vocab.decode(vocab.encode(t)) == t
-        for chunk in (1, 17, 40, 100):
-            assert sentencepiece_scan.encode_scan(vocab, t, chunk).tolist() == whole
+        for chunk, block in ((1, 1), (17, 3), (40, 64), (100, 2)):
+            assert sentencepiece_scan.encode_scan(vocab, t, chunk, block).tolist() == whole
+
+
+def test_long_words():
+    """Unspaced texts of several scripts: no recursion, time in proportion, memory bounded."""
+    import pyarrow as pa
+
+    vocab = sentencepiece_scan.Vocabulary(PIECES)
+    r = random.Random(4)
+    scripts = ["".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(50_000)), "".join(chr(r.randrange(0xE01, 0xE3A)) for _ in range(50_000)), "".join(chr(r.randrange(0x3041, 0x3094)) for _ in range(50_000)), "!" * 50_000, "ab" * 25_000, "\U0001f600" * 50_000]
+    for t in scripts:
+        assert vocab.encode(t).tolist() == plain_path(vocab, t)
+        assert vocab.encode_all(pa.array([t, "x"]))[0].as_py() == plain_path(vocab, t)
+        assert vocab.decode(vocab.encode(t)) == t
+    assert max(map(len, vocab.memory)) <= vocab.memory.LONGEST and vocab.memory.held < vocab.memory.FULL
+    vocab.memory.FULL = 50_000
+    words = ["".join(r.choice("abcdefgh,.!") for _ in range(r.randint(1, 70))) for _ in range(2000)]
+    assert all(vocab.encode(w).tolist() == plain_path(vocab, w) for w in words) and vocab.memory.held < 50_000
 
 
 def test_words_have_the_best_score():
@@ -486,7 +503,7 @@ def test_words_have_the_best_score():
 
 def test_encode_and_decode(spark, docs, no_docs):
     vocab = sentencepiece_scan.Vocabulary(PIECES)
-    for options in ({}, {"giant": 60, "chunk": 20}):
+    for options in ({}, {"giant": 60, "chunk": 20}, {"giant": 60, "chunk": 20, "block": 3}):
         out = sentencepiece_scan.encode(docs, PIECES, **options)
         rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: key((r[0], r[1] or "")))
         expected = sorted(((i, vocab.encode(t).tolist() if t else []) for i, t in rows), key=str)
@@ -495,7 +512,8 @@ def test_encode_and_decode(spark, docs, no_docs):
         assert sorted(((r["doc_id"], r["text"]) for r in back), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
         both = sentencepiece_scan.encode_with_text(docs, PIECES, **options).collect()
         assert all(r["n_pieces"] == len(r["ids"]) for r in both) and len(both) == len(rows)
-        assert sentencepiece_scan.encode_digest(docs, PIECES, **options).count() == len(rows)
+        digests = [(i, len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), len(t or ""), zlib.crc32((t or "").encode())) for i, t in rows for ids in [plain_path(vocab, t)]]
+        assert sorted(map(tuple, sentencepiece_scan.encode_digest(docs, PIECES, **options).collect()), key=str) == sorted(digests, key=str)
         assert sentencepiece_scan.encode(no_docs, PIECES, **options).collect() == []
 
 

@@ -6,10 +6,11 @@ for a character that is no piece by itself an edge worth less than any piece,
 written as byte pieces. A document longer than ``giant`` characters is cut into
 chunks. A chunk gives a transfer matrix in max-plus algebra: entry i, j is the best
 score from a boundary i characters after its begin to a boundary j characters
-after its end, i and j below the length of the longest piece. Matrices are
-combined associatively, which gives the scores at each chunk's begin; each chunk
-then tells which entry leads to each exit, these maps are composed from the right,
-and every chunk is traced back by itself.
+after its end, i and j below the length of the longest piece. Blocks of matrices
+are combined associatively, each in a task of its own; a scan over the blocks'
+products gives the scores at each block's begin, one inside each block those at each
+chunk's begin. Each chunk then tells which entry leads to each exit, these maps are
+composed from the right, and every chunk is traced back by itself.
 
 Scores are whole numbers (fixed point), so chunked and unchunked paths agree
 exactly. Where two paths are worth the same, the longer last piece wins. Pieces
@@ -208,24 +209,39 @@ class Vocabulary:
 
 
 class Words(dict):
-    """Ids of words as bytes; forgets all when it is full."""
+    """Ids of words as bytes; forgets all when it holds about ``FULL`` bytes, and keeps no word longer than ``LONGEST``."""
 
-    FULL = 400_000
+    FULL = 96 << 20
+    LONGEST = 64
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.FULL:
-            self.clear()
         v = self.vocabulary
-        if len(word) > 2 and word[-2] != " " and word[-2:] not in v.joined:
-            # a mark at the end that no piece joins with what is before it
-            found = self[word] = self[word[:-1]] + v.lone(word[-1])
-            return found
-        found = self[word] = np.array(self.vocabulary.word(word.replace(" ", SPACE)), dtype=np.int32).tobytes()
+        text = word.replace(" ", SPACE)
+        # no piece goes over the place between two characters that none holds side by side: the marks
+        # at the end that no piece joins with what is before them are words by themselves
+        end = len(text)
+        while end > 2 and text[end - 2 : end] not in v.joined:
+            end -= 1
+        if end < len(text):
+            head = self[word[:end]] if end <= self.LONGEST else self.ids(text[:end])
+            found = head + b"".join(map(v.lone, text[end:]))
+        else:
+            found = self.ids(text)
+        if len(word) <= self.LONGEST:
+            self.held += 4 * len(word) + len(found) + 200
+            if self.held > self.FULL:
+                self.clear()
+                self.held = 0
+            self[word] = found
         return found
 
+    def ids(self, text: str) -> bytes:
+        return np.array(self.vocabulary.word(text), dtype=np.int32).tobytes()
+
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -243,31 +259,31 @@ def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(out > NEVER // 2, out, NEVER)
 
 
-def entries(matrices: list[np.ndarray], block: int = 64) -> np.ndarray:
-    """Best scores at the begin of each chunk, up to a number for each chunk.
+def shifted(m: np.ndarray) -> np.ndarray:
+    """Scores with the best as 0, which changes no comparison and keeps numbers small."""
+    top = m.max()
+    return np.where(m > NEVER // 2, m - top, NEVER) if top > NEVER // 2 else m
 
-    Blocks of matrices are combined first, in a tree; the scan over blocks gives each
-    block's first scores. Scores are shifted so that the best is 0, which changes no comparison.
-    """
-    def shifted(m: np.ndarray) -> np.ndarray:
-        top = m.max()
-        return np.where(m > NEVER // 2, m - top, NEVER) if top > NEVER // 2 else m
 
-    def tree(ms: list[np.ndarray]) -> np.ndarray:
-        while len(ms) > 1:
-            ms = [shifted(plus(ms[i], ms[i + 1])) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
-        return ms[0]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrix of several chunks in a row, combined in a tree."""
+    while len(matrices) > 1:
+        matrices = [shifted(plus(matrices[i], matrices[i + 1])) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
 
-    k = matrices[0].shape[0]
-    first = np.full(k, NEVER, dtype=np.int64)
+
+def start_of(longest: int) -> np.ndarray:
+    """Best scores at the begin of a text."""
+    first = np.full(longest, NEVER, dtype=np.int64)
     first[0] = 0
-    out = np.empty((len(matrices), k), dtype=np.int64)
-    for begin in range(0, len(matrices), block):
-        own, v = matrices[begin : begin + block], first
-        for c, m in enumerate(own):
-            out[begin + c] = v
-            v = shifted(plus(v, m))
-        first = shifted(plus(first, tree(own))) if begin + block < len(matrices) else v
+    return first
+
+
+def entries(matrices: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    """Best scores at the begin of each chunk, those at the begin of the first given."""
+    out = [first]
+    for m in matrices[:-1]:
+        out.append(shifted(plus(out[-1], m)))
     return out
 
 
@@ -280,12 +296,15 @@ def _chunked(text: str, size: int, longest: int) -> list[tuple[str, int]]:
     return [(normal[b : e + longest - 1], e - b) for b, e in zip(starts, starts[1:], strict=False)]
 
 
-def encode_scan(vocab: Vocabulary, text: str, chunk: int) -> np.ndarray:
+def encode_scan(vocab: Vocabulary, text: str, chunk: int, block: int = 64) -> np.ndarray:
     """Ids of one text by the chunked scan, in one process: what the distributed plan does step by step."""
     if not text:
         return np.zeros(0, np.int32)
     parts = _chunked(text, chunk, vocab.longest)
-    at = entries([vocab.matrix(t, n) for t, n in parts])
+    matrices = [vocab.matrix(t, n) for t, n in parts]
+    blocks = [matrices[b : b + block] for b in range(0, len(matrices), block)]
+    begins = entries([product(own) for own in blocks], start_of(vocab.longest))
+    at = [v for own, first in zip(blocks, begins, strict=True) for v in entries(own, first)]
     found = [vocab.search(t, n, at[c].tolist()) for c, (t, n) in enumerate(parts)]
     end, out = 0, []
     for (_, n), (_, back, ids) in zip(reversed(parts), reversed(found), strict=True):
@@ -302,7 +321,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 ENCODED = "doc_id long, ids array<int>"
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 100_000, chunk: int = 16_384, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = ENCODED) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 100_000, chunk: int = 16_384, block: int = 64, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = ENCODED) -> DataFrame:
     """``doc_id`` and ``ids`` (array<int>) of every row's whole text.
 
     ``model`` is the model file's path on every machine. Null and empty texts have no
@@ -318,11 +337,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield out if finish is None else finish(out)
 
     small = own.where(f"text is null or length(text) <= {int(giant)}").mapInArrow(ordinary, schema)
-    large = _encode_giant(own.where(f"length(text) > {int(giant)}"), model, chunk)
+    large = _encode_giant(own.where(f"length(text) > {int(giant)}"), model, chunk, block)
     return small.unionByName(large if finish is None else large.mapInArrow(lambda batches: map(finish, batches), schema))
 
 
-def _encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
+def _encode_giant(docs: DataFrame, model: str, chunk: int, block: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = vocabulary(model).longest
         for batch in batches:
@@ -336,10 +355,23 @@ def _encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
             found = [vocab.matrix(t, n).tobytes() for t, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("c"), pa.array(found, pa.binary())], ["uid", "c", "matrix"])
 
+    def opened(group: pa.Table) -> list[np.ndarray]:
+        k = vocabulary(model).longest
+        return [np.frombuffer(m, np.int64).reshape(k, k) for m in group["matrix"].to_pylist()]
+
+    def combine(group: pa.Table) -> pa.Table:
+        group = group.sort_by("c")
+        return pa.table({"uid": group["uid"][:1], "block": group["block"][:1], "matrix": pa.array([product(opened(group)).tobytes()], pa.binary())})
+
     def scan(group: pa.Table) -> pa.Table:
+        """Of one document's blocks: the scores at the begin of each."""
+        group = group.sort_by("block")
+        at = entries(opened(group), start_of(vocabulary(model).longest))
+        return pa.table({"uid": group["uid"], "block": group["block"], "first": pa.array([v.tobytes() for v in at], pa.binary())})
+
+    def within(group: pa.Table) -> pa.Table:
         group = group.sort_by("c")
-        k = vocabulary(model).longest
-        at = entries([np.frombuffer(m, np.int64).reshape(k, k) for m in group["matrix"].to_pylist()])
+        at = entries(opened(group), np.frombuffer(group["first"][0].as_py(), np.int64))
         return pa.table({"uid": group["uid"], "c": group["c"], "entry": pa.array([v.tobytes() for v in at], pa.binary())})
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +402,11 @@ def _encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
     chunks = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(cut, "uid long, doc_id long, c int, part string, n int")
     # one document's chunks go to many tasks
     chunks = shared_checkpoint(chunks.repartition(F.xxhash64("uid", "c")))
-    at = chunks.select("uid", "c", "part", "n").mapInArrow(matrices, "uid long, c int, matrix binary").groupBy("uid").applyInArrow(scan, "uid long, c int, entry binary")
+    made = chunks.select("uid", "c", "part", "n").mapInArrow(matrices, "uid long, c int, matrix binary").withColumn("block", F.floor(F.col("c") / block).cast("int"))
+    made = shared_checkpoint(made)
+    # blocks of matrices are combined in tasks of their own; only a product for each block meets in a document's task
+    begins = made.groupBy("uid", "block").applyInArrow(combine, "uid long, block int, matrix binary").groupBy("uid").applyInArrow(scan, "uid long, block int, first binary")
+    at = made.join(begins, ["uid", "block"]).groupBy("uid", "block").applyInArrow(within, "uid long, c int, entry binary")
     found = shared_checkpoint(chunks.join(at, ["uid", "c"]).mapInArrow(forward, "uid long, doc_id long, c int, n int, leads array<int>, back binary, ids binary"))
     ends = found.select("uid", "c", "leads").groupBy("uid").applyInArrow(exits, "uid long, c int, exit int")
     traced = found.drop("leads").join(ends, ["uid", "c"]).mapInArrow(trace, "uid long, doc_id long, c int, ids array<int>")

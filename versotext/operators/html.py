@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,8 @@ INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd mark q
 COPY_ATTRIBUTES = ("alt", "aria-label", "title", "placeholder")
 COPY_METAS = ("description", "og:title", "og:description", "og:image:alt", "twitter:title", "twitter:description")
 
-TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BEGIN = re.compile(r"<(/?)[a-zA-Z]")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\r\n\f]+")
 
@@ -58,6 +60,56 @@ def decode(text: str) -> str:
     return ENTITY.sub(decode_entity, text)
 
 
+class Tags:
+    """The tags of a source, in order. What looks like one but never closes is text.
+
+    A first failure to close reads the places of brackets and quotes once. From then on a place from
+    which no bracket is reached is never tried again, so all the reading takes time in proportion to the source.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.marks: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, whether it closes, name, what follows the name) of the first tag from ``at`` on."""
+        while m := BEGIN.search(self.source, at):
+            if self.marks is None:
+                if found := TAG.match(self.source, m.start()):
+                    return m.start(), found.end(), bool(m[1]), found["name"], found["rest"]
+                self._read()
+            if (end := self._end(m.end())) > 0:
+                name = self._first(self.ends, m.end() - 1)
+                return m.start(), end, bool(m[1]), self.source[m.end() - 1 : name], self.source[name : end - 1]
+            at = m.end()
+        return None
+
+    def _read(self) -> None:
+        self.marks = [x.start() for x in re.finditer("[>\"']", self.source)]
+        self.quotes = {q: [x for x in self.marks if self.source[x] == q] for q in "\"'"}
+        self.ends = [x.start() for x in re.finditer(r"[\s/>]", self.source)]
+
+    @staticmethod
+    def _first(places: list[int], at: int) -> int:
+        n = bisect_left(places, at)
+        return places[n] if n < len(places) else -1
+
+    def _end(self, at: int) -> int:
+        """The place after the bracket that ends a tag, 0 if none does; quotes count after the name."""
+        at, tried = self._first(self.ends, at - 1), []
+        while at >= 0:
+            mark = self._first(self.marks, at)
+            if mark < 0 or mark in self.dead:
+                break
+            if self.source[mark] == ">":
+                return mark + 1
+            tried.append(mark)
+            at = self._first(self.quotes[self.source[mark]], mark + 1) + 1 or -1
+        self.dead.update(tried)
+        return 0
+
+
 @dataclass
 class Element:
     el_id: int
@@ -91,40 +143,42 @@ def scan(source: str) -> list[Element]:
     clean = blank(source)
     elements: list[Element] = []
     stack: list[Element] = []
-    at = 0
+    standing: Counter[str] = Counter()  # the names on the stack
+    tags, at = Tags(clean), 0
 
     def put(text: str) -> None:
         if stack and text:
             stack[-1].items.append(text)
 
-    while m := TAG.search(clean, at):
-        put(clean[at : m.start()])
-        at = m.end()
-        name = m["name"].lower()
-        if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name), None)
-            if depth is None:
+    while tag := tags.next(at):
+        begin, end, closes, name, rest = tag
+        put(clean[at:begin])
+        at, name = end, name.lower()
+        if closes:
+            if not standing[name]:
                 if stack:
                     stack[-1].fault = stack[-1].fault or f"stray </{name}>"
                 continue
-            for left in stack[depth + 1 :]:
-                left.fault = left.fault or f"unclosed <{left.tag}>"
-            stack[depth].closed = True
-            del stack[depth:]
+            while (last := stack.pop()).tag != name:
+                last.fault = last.fault or f"unclosed <{last.tag}>"
+                standing[last.tag] -= 1
+            last.closed = True
+            standing[name] -= 1
             continue
-        e = Element(len(elements), stack[-1] if stack else None, name, attributes(m["rest"]), m.start())
+        e = Element(len(elements), stack[-1] if stack else None, name, attributes(rest), begin)
         elements.append(e)
         if stack:
             stack[-1].items.append(e)
-        if name in VOID or m["rest"].endswith("/"):
+        if name in VOID or rest.endswith("/"):
             e.closed = True
         elif name in TEXT_ONLY:
-            end = re.compile(rf"</{name}\s*>", re.I).search(clean, at)
-            e.items.append(clean[at : end.start() if end else len(clean)])
-            e.closed, e.fault = bool(end), None if end else f"unclosed <{name}>"
-            at = end.end() if end else len(clean)
+            stop = re.compile(rf"</{name}\s*+>", re.I).search(clean, at)
+            e.items.append(clean[at : stop.start() if stop else len(clean)])
+            e.closed, e.fault = bool(stop), None if stop else f"unclosed <{name}>"
+            at = stop.end() if stop else len(clean)
         else:
             stack.append(e)
+            standing[name] += 1
     put(clean[at:])
     for left in stack:
         left.fault = left.fault or f"unclosed <{left.tag}>"

@@ -84,8 +84,9 @@ def resolve(d: Descriptor, snapshot: DataFrame, versions: DataFrame, requests: D
     warning. A derivation takes its source's resolution in the same locale; a key met
     twice on the way falls back to the snapshot of that key, with a warning.
 
-    Derivation walks all requests at once, a join for each step; chains are as long
-    as the descriptor makes them, and longer than ``deepest`` raises. Versions are one project's rows.
+    Requests with a value of their own end at once; the others walk together, a join for each step, and
+    what a step leaves is settled, so no step is computed twice and the plan doesn't grow with the depth.
+    Chains are as long as the descriptor makes them, and longer than ``deepest`` raises. Versions are one project's rows.
     """
     # sources of requested keys may be any declared key, in the requested locales
     wanted = requests.select("key", "locale").distinct()
@@ -97,6 +98,8 @@ def resolve(d: Descriptor, snapshot: DataFrame, versions: DataFrame, requests: D
     done = None
     for _ in range(deepest):
         at = state.join(step, ["cur", "locale"], "left")
+        if done is not None:  # the first step reads what is settled already
+            at = settled(at)
         walked = F.concat("warnings", F.coalesce("own_warnings", F.array().cast(NO_WARNINGS)))
         cycle = F.array_contains("seen", F.col("cur"))
         goes = F.col("stored").isNull() & F.col("derives_from").isNotNull() & ~cycle

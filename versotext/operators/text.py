@@ -9,9 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from versotext.functions import js
 from versotext.functions.text import word_bounded
+from versotext.lineage import settled
 from versotext.schema import Descriptor
 
 #: A phrase must have so many characters to be looked for inside texts, a derivation's source as well.
@@ -144,29 +146,46 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 def census(elements: DataFrame, values: DataFrame) -> DataFrame:
     """``el_id, key``: which value each element shows: the same collapsed text, or a value with ``{{x}}`` whose fixed parts fit.
 
-    Whole texts meet by equi-join; values with variables are tried on elements with the same first
-    word, and only those that begin with a variable on every element.
+    Whole texts meet by equi-join. A value with variables is tried only on elements that hold its anchor:
+    its longest fixed word, without one its first fixed character; a value of nothing but variables fits any text.
     """
-    e = elements.select("el_id", js.collapse(F.col("text")).alias("text")).withColumn("w", F.regexp_extract("text", "^[^ ]+", 0))
+    e = elements.select("el_id", js.collapse(F.col("text")).alias("text"))
     v = values.select("key", js.collapse(F.col("text")).alias("value"))
-    plain = v.where(~F.col("value").rlike(js.VARIABLE))
-    exact = e.join(plain, F.col("text") == F.col("value")).select("el_id", "key")
+    exact = e.join(v.where(~F.col("value").rlike(js.VARIABLE)), F.col("text") == F.col("value")).select("el_id", "key")
     quoted = F.concat(F.lit("^\\Q"), F.regexp_replace(F.replace(F.col("value"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), js.VARIABLE, "\\\\E(.+)\\\\Q"), F.lit("\\E$"))
-    vary = v.where(F.col("value").rlike(js.VARIABLE)).withColumn("pattern", quoted).withColumn("w", F.regexp_extract("value", "^[^ {]+(?= )", 0))
-    anchored = e.join(vary.where("w <> ''"), "w").where(F.expr("text rlike pattern")).select("el_id", "key")
-    loose = e.drop("w").join(vary.where("w = ''").drop("w"), F.expr("text rlike pattern")).select("el_id", "key")
-    return exact.unionByName(anchored).unionByName(loose).distinct()
+    vary = v.where(F.col("value").rlike(js.VARIABLE)).withColumn("pattern", quoted).withColumn("fixed", F.regexp_replace("value", js.VARIABLE, "\u0001"))
+    words = F.filter(F.split("fixed", " "), lambda w: (w != "") & ~w.contains("\u0001"))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    first = F.substring(F.regexp_replace("fixed", "[\u0001 ]", ""), 1, 1)
+    anchored = vary.select("key", "pattern", F.coalesce(F.concat(F.lit("w"), longest), F.concat(F.lit("c"), first)).alias("anchor"))
+    held = F.array_union(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w"), w)), F.array_append(F.transform(F.split(F.replace("text", F.lit(" "), F.lit("")), ""), lambda c: F.concat(F.lit("c"), c)), F.lit("c")))
+    # only anchors that some value has go on, with the text joined back in the row itself
+    places = e.where("text <> ''").select("el_id", "text", F.explode(held).alias("anchor"))
+    fits = places.join(anchored, "anchor").where(F.expr("text rlike pattern")).select("el_id", "key")
+    return exact.unionByName(fits).distinct()
 
 
 def number_names(places: DataFrame, taken: DataFrame) -> DataFrame:
     """``name`` of each place (ord, base): its base if it's free, else ``base_1``, ``base_2`` ... past those taken.
 
-    Order within a base is ``ord``. Bases meet in each other's numbers (``a`` and ``a_1``), so all
-    bases with the same stem are numbered together.
+    Order within a base is ``ord``. Bases meet in each other's numbers (``a`` and ``a_1``), so the bases of
+    a stem are numbered together, one stem after the other, where several of them or taken numbers meet. All other bases are numbered
+    by ranges of (base, ord): a range knows how many places of its first base come before it, so a frequent base isn't one task's.
     """
     stem = F.regexp_replace("base", "(_[0-9]+)+$", "")
     own = places.select("ord", "base", stem.alias("stem"), F.lit(None).cast("string").alias("name"))
     held = taken.select(F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("string").alias("base"), F.regexp_replace("name", "(_[0-9]+)+$", "").alias("stem"), "name")
+    stems = own.groupBy("stem").agg(F.min("base").alias("one"), F.max("base").alias("other"))
+    near = held.join(stems, "stem").groupBy("stem").agg(F.bool_or(F.col("name") != F.col("one")).alias("numbers"), F.bool_or(F.col("name") == F.col("one")).alias("is_taken"))
+    stems = settled(stems.join(near, "stem", "left").select("stem", ((F.col("one") != F.col("other")) | F.coalesce("numbers", F.lit(False))).alias("mixed"), F.coalesce("is_taken", F.lit(False)).alias("is_taken")))
+    ranges = own.join(stems.where("not mixed"), "stem").select("ord", "base", "is_taken").repartitionByRange("base", "ord")
+    ranges = settled(ranges.withColumn("part", F.spark_partition_id()))
+    counts = ranges.groupBy("base", "part").agg(F.count("*").alias("n"))
+    before = counts.select("base", "part", F.coalesce(F.sum("n").over(Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("base", "part").orderBy("ord")) - 1
+    simple = ranges.withColumn("place", place).join(before, ["base", "part"]).withColumn("n", F.col("before") + F.col("place") + F.col("is_taken").cast("int"))
+    simple = simple.select("ord", "base", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))).alias("name"))
+    mixed = stems.where("mixed").select("stem")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         used = set(pdf.loc[pdf["ord"] < 0, "name"])
@@ -184,7 +203,8 @@ def number_names(places: DataFrame, taken: DataFrame) -> DataFrame:
             out.append((row.ord, row.base, name))
         return pd.DataFrame(out, columns=["ord", "base", "name"])
 
-    return own.unionByName(held.join(own.select("stem").distinct(), "stem", "left_semi").select(own.columns)).groupBy("stem").applyInPandas(number, "ord long, base string, name string")
+    rest = own.unionByName(held).join(mixed, "stem", "left_semi").select(own.columns)
+    return simple.unionByName(rest.groupBy("stem").applyInPandas(number, "ord long, base string, name string"))
 
 
 def only_in_one(texts: DataFrame) -> DataFrame:

@@ -365,6 +365,50 @@ def test_texts(spark):
     assert [r["keys"] for r in texts.duplicate_texts(d, s).collect()] == [["a", "b"]]
 
 
+def test_loose_patterns_meet_by_anchor(spark):
+    shown = {1: "5 items left", 2: "total: 7%", 3: "7%", 4: "a-b", 5: "Hello Ann Lee", 6: "", 7: "left items 5", 8: "\\Q.x"}
+    values = {"n": "{{n}} items left", "p": "{{ n }}%", "d": "{{a}}-{{b}}", "any": "{{x}}", "h": "{{g}} Ann {{s}}", "t": "total: {{n}}%", "q": "\\Q{{x}}x"}
+    import re
+
+    pattern = lambda v: "^" + "(.+)".join(map(re.escape, re.split(r"\{\{\s*[a-zA-Z0-9_]+\s*\}\}", v))) + "$"
+    expected = {(i, k) for i, t in shown.items() for k, v in values.items() if re.match(pattern(v), t)}
+    e, v = spark.createDataFrame(list(shown.items()), "el_id int, text string"), spark.createDataFrame(list(values.items()), "key string, text string")
+    out = texts.census(e, v)
+    assert {tuple(r) for r in out.collect()} == expected and (5, "h") in expected and (8, "q") in expected
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_numbers_of_names(spark):
+    """Against the rule itself, place by place, with bases that meet each other's numbers and one very frequent base."""
+    import random
+
+    r = random.Random(3)
+    bases = ["hot"] * 300 + [r.choice(["a", "a_1", "b", "c", "c_2", "d", "e_x"]) for _ in range(120)]
+    r.shuffle(bases)
+    taken = ["b", "d_1", "a_3", "zz", "hot"]
+    used, expected = set(taken), {}
+    for i, base in enumerate(bases):
+        name, n = base, 0
+        while name in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name)
+        expected[i] = name
+    out = texts.number_names(spark.createDataFrame(list(enumerate(bases)), "ord long, base string"), spark.createDataFrame([(t,) for t in taken], "name string"))
+    assert {x.ord: x.name for x in out.collect()} == expected
+
+
+def test_long_pages_are_scanned_in_proportion():
+    import time
+
+    for page in ("<a " * 350_000, '<a href="' * 100_001, "<a<a" * 200_000, "<a<a/ " * 150_000 + '"', "<p x='y\" " * 100_000, "<b></i>" * 100_000, "<title>" * 100_000, "<script " * 100_000, "</script " * 100_000):
+        begin = time.process_time()
+        html.scan(page)
+        assert time.process_time() - begin < 4, page[:12]
+    assert [(e.tag, e.attrs) for e in html.scan('<a <b x="1"> <i "> <u>')] == [("a", {"<b": "", "x": "1"}), ("u", {})]
+
+
 # --- versions and the store ----------------------------------------------------------------------------------------
 
 
@@ -437,6 +481,28 @@ def test_store_reverts_change_saved_in_log(spark):
     assert [n for _, _, n in answers[38][1]] == list(range(480, 492)) and answers[39] == (True, 500)
 
 
+def test_units_agree_with_one_task_a_project(spark):
+    """Random logs: folded by connected keys and changes, and with a scheduler's turn that does nothing, which makes the project one unit."""
+    import random
+
+    r = random.Random(8)
+    log, changes = [], []
+    for i in range(58):
+        key = f"k{r.randrange(12)}"
+        verb = r.choice(["save", "save", "save", "publish", "publish", "discard", "revert", "rename", "open_change", "schedule_change", "publish_change", "abandon_change", "revert_change", "nonsense"])
+        change = r.choice(changes) if changes else 7
+        args = {"save": {"key": key, "value": i, "force": r.random() < 0.5} | ({"change": r.choice([change, None, -1])} if r.random() < 0.6 else {}), "publish": {"key": key}, "discard": {"key": key}, "revert": {"version": 100 + 10 * r.randrange(58) if r.random() < 0.7 else r.randrange(1, 9)}, "rename": {"old_key": key, "new_key": f"n{r.randrange(20)}"}, "open_change": {}, "nonsense": {}}.get(verb, {"change": change})
+        if verb == "schedule_change":
+            args["publish_at"] = r.choice([None, "2024-01-01T00:05:00"])
+        if verb == "open_change":
+            changes.append(100 + 10 * i)
+        log.append((verb, args, r.choice(["ann", "bob"])))
+    old = [{"id": n, "key": f"k{n}", "v": n} for n in range(1, 9)]
+    parts, whole = run_log(spark, log, old), run_log(spark, [*log, ("publish_due", {}, "clock")], old)
+    assert parts[0] == whole[0][:-1] and whole[0][-1] == (True, []) and sum(ok for ok, _ in parts[0]) > 20
+    assert parts[1] == whole[1] and parts[2] == whole[2] and sorted(parts[3]) == sorted(whole[3])
+
+
 def test_store_schedule(spark):
     answers, rows, changes, _ = run_log(spark, [
         ("open_change", {}, "a"), ("save", {"key": "g", "value": 1, "change": 100}, "a"), ("schedule_change", {"change": 100, "publish_at": "2024-01-01T00:00:05"}, "a"), ("save", {"key": "s", "value": 2, "publish_at": "2024-01-01T00:00:03"}, "a"),

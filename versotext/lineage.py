@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and read back from the shared checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a folder under the warehouse is used. The copy is a reliable one: lost executors don't lose it.
+    The folder is the cluster's ``spark.checkpoint.dir``; only in a local session without it, as in tests,
+    a folder under the warehouse is used, and any other session fails. The copy is a reliable one: lost executors don't lose it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)

@@ -1,10 +1,11 @@
 """State changes: an ordered command log folded into version, change and rename tables.
 
-A command is (project, ord, verb, args_json, editor, at); ``ord`` orders the log. Commands of
-one project may touch each other's rows through changes, so a project's commands are
-applied in order by one task; it gets only the rows that the commands name (by key
-or by change), all other rows pass by. A fold is serial, so the conflicts that only races
-cause can't occur.
+A command is (project, ord, verb, args_json, editor, at); ``ord`` orders the log. Commands that
+share a key or a change, also through the rows that stand in a change, through renames or through a
+reverted version, belong to one unit; a unit's commands are applied in order by one task. It gets
+only the rows that the commands name, all other rows pass by. Only two cases make a whole project one
+unit: a log that runs its scheduler, which is about all of its drafts, and a log with a reversal of more than ``block``
+rows. A fold is serial, so the conflicts that only races cause can't occur.
 
 ``ord`` is unique in the log and ``first_id`` lies above all ids in use. A command's rows get
 the ids first_id + ord * block + 0, 1, ... Only the reversal of a change can make more than
@@ -17,7 +18,8 @@ Set forms for bulk work without conflicts (publish, publish due, seed) stand bes
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from collections import defaultdict
 from itertools import accumulate
 from typing import Any
 
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from versotext.components import connected_components
+from versotext.lineage import settled
 from versotext.operators.versions import due_drafts
 from versotext.schema import CHANGESETS, VERSIONS
 
@@ -39,13 +43,20 @@ class Refused(Exception):
 
 
 class State:
-    """One project's rows as plain dicts, and the verbs."""
+    """A unit's rows as plain dicts, indexed by identity and by change, and the verbs."""
 
     def __init__(self, project: str, versions: list[dict], changes: list[dict], first_id: int, block: int, wide: list[tuple[int, int]]):
         self.project, self.block, self.first = project, block, first_id
         # commands with more than one block, in order, and the numbers of blocks added up to each
         self.wide, self.added = [o for o, _ in wide], [0, *accumulate(n for _, n in wide)]
-        self.versions = {v["id"]: v for v in versions}
+        self.versions: dict[int, dict] = {}
+        self.by_key: dict[str, dict[int, dict]] = defaultdict(dict)
+        self.by_change: dict[int, dict[int, dict]] = defaultdict(dict)
+        self.drafts: dict[tuple[str, str], dict[int, dict]] = defaultdict(dict)
+        self.lives: dict[tuple[str, str], dict[int, dict]] = defaultdict(dict)
+        self.published: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for v in sorted(versions, key=lambda v: v["id"]):
+            self.put(v)
         self.changes = {c["id"]: c for c in changes}
         self.renames: list[dict] = []
         self.following = self.end = 0
@@ -59,19 +70,45 @@ class State:
         self.following += 1
         return self.following - 1
 
-    # reading
-
-    def rows(self, key: str, locale: str) -> list[dict]:
-        return [v for v in self.versions.values() if v["key"] == key and v["locale"] == locale]
+    # rows and their indexes
+
+    def put(self, v: dict) -> None:
+        n, identity = v["id"], (v["key"], v["locale"])
+        self.versions[n] = self.by_key[v["key"]][n] = v
+        if v["changeset_id"] is not None:
+            self.by_change[v["changeset_id"]][n] = v
+        if v["state"] == "draft":
+            self.drafts[identity][n] = v
+        if v["is_active"]:
+            self.lives[identity][n] = v
+        if v["state"] == "published":
+            insort(self.published[identity], n)
+
+    def drop(self, v: dict) -> None:
+        n, identity = v["id"], (v["key"], v["locale"])
+        for index in (self.versions, self.by_key[v["key"]], self.by_change[v["changeset_id"]], self.drafts[identity], self.lives[identity]):
+            index.pop(n, None)
+        if v["state"] == "published":
+            own = self.published[identity]
+            del own[bisect_left(own, n)]
+
+    def update(self, v: dict, fields: dict) -> None:
+        self.drop(v)
+        v |= fields
+        self.put(v)
 
     def draft(self, key: str, locale: str) -> dict | None:
-        return next((v for v in self.rows(key, locale) if v["state"] == "draft"), None)
+        return next(iter(self.drafts[key, locale].values()), None)
 
     def active(self, key: str, locale: str) -> dict | None:
-        return next((v for v in self.rows(key, locale) if v["is_active"]), None)
+        return next(iter(self.lives[key, locale].values()), None)
+
+    def retire(self, key: str, locale: str) -> None:
+        for v in list(self.lives[key, locale].values()):
+            self.update(v, {"is_active": False})
 
-    def members(self, change: int) -> list[dict]:
-        return sorted((v for v in self.versions.values() if v["changeset_id"] == change and v["state"] == "draft"), key=lambda v: v["id"])
+    def members(self, change: int, state: str = "draft") -> list[dict]:
+        return sorted((v for v in self.by_change[change].values() if v["state"] == state), key=lambda v: v["id"])
 
     def change(self, n: int, statuses: tuple[str, ...] = ("open", "scheduled")) -> dict:
         found = self.changes.get(n)
@@ -100,10 +137,10 @@ class State:
         if held:
             if held["editor"] != editor and not a.get("force"):
                 raise Refused(f"draft_held:{held['editor'] or ''}")
-            held |= fields
+            self.update(held, fields)
             return held["id"]
         new = self.blank(key, locale, at) | fields | {"state": "draft", "is_active": False}
-        self.versions[new["id"]] = new
+        self.put(new)
         return new["id"]
 
     def blank(self, key: str, locale: str, at: str) -> dict:
@@ -114,11 +151,8 @@ class State:
         held = self.draft(key, locale)
         if held is None:
             raise Refused(f"no_draft:{key} ({locale})")
-        for v in self.rows(key, locale):
-            v["is_active"] = False
-        held |= {"state": "published", "is_active": True, "published_by": editor, "publish_at": None, "published_at": at}
-        if not keep_change:
-            held["changeset_id"] = None
+        self.retire(key, locale)
+        self.update(held, {"state": "published", "is_active": True, "published_by": editor, "publish_at": None, "published_at": at, "changeset_id": held["changeset_id"] if keep_change else None})
         return held["id"]
 
     def publish(self, a: dict, editor: str | None, at: str) -> Any:
@@ -128,7 +162,7 @@ class State:
         held = self.draft(a["key"], a.get("locale", "default"))
         if held is None:
             raise Refused(f"no_draft:{a['key']} ({a.get('locale', 'default')})")
-        del self.versions[held["id"]]
+        self.drop(held)
         return held["id"]
 
     def revert(self, a: dict, editor: str | None, at: str) -> Any:
@@ -142,18 +176,17 @@ class State:
         live = self.active(source["key"], source["locale"])
         if a.get("expect_active") is not None and (live or {}).get("id") != a["expect_active"]:
             raise Refused(f"stale_active:{source['key']}")
-        for v in self.rows(source["key"], source["locale"]):
-            v["is_active"] = False
+        self.retire(source["key"], source["locale"])
         new = self.blank(source["key"], source["locale"], at) | {"target": source["target"], "value_json": source["value_json"], "editor": editor, "published_by": editor, "published_at": at, "reverted_from": source["id"], "state": "published", "is_active": True}
-        self.versions[new["id"]] = new
+        self.put(new)
         return new["id"]
 
     def rename(self, a: dict, editor: str | None, at: str) -> Any:
-        if any(v["key"] == a["new_key"] for v in self.versions.values()):
+        if self.by_key[a["new_key"]]:
             raise Refused(f"key_taken:{a['new_key']}")
-        moved = [v for v in self.versions.values() if v["key"] == a["old_key"]]
+        moved = list(self.by_key[a["old_key"]].values())
         for v in moved:
-            v["key"] = a["new_key"]
+            self.update(v, {"key": a["new_key"]})
         self.renames.append({"id": self.new_id(), "project": self.project, "old_key": a["old_key"], "new_key": a["new_key"], "editor": editor, "renamed_at": at})
         return len(moved)
 
@@ -169,7 +202,7 @@ class State:
             raise Refused(f"no_members:{a['change']}")
         change |= {"publish_at": stamp, "status": "scheduled" if stamp is not None else "open"}
         for v in members:
-            v["publish_at"] = stamp
+            self.update(v, {"publish_at": stamp})
         return len(members)
 
     def publish_change(self, a: dict, editor: str | None, at: str) -> Any:
@@ -185,20 +218,21 @@ class State:
         self.change(a["change"])
         members = self.members(a["change"])
         for v in members:
-            del self.versions[v["id"]]
+            self.drop(v)
         del self.changes[a["change"]]
         return len(members)
 
     def revert_change(self, a: dict, editor: str | None, at: str) -> Any:
         change = self.change(a["change"], ("published",))
         out = []
-        for v in sorted((v for v in list(self.versions.values()) if v["changeset_id"] == a["change"] and v["state"] == "published"), key=lambda v: v["id"]):
-            before = max((x["id"] for x in self.rows(v["key"], v["locale"]) if x["state"] == "published" and x["id"] < v["id"]), default=None)
-            if before is None:
+        for v in self.members(a["change"], "published"):
+            own = self.published[v["key"], v["locale"]]
+            place = bisect_left(own, v["id"])
+            if not place:
                 out.append([v["key"], v["locale"], "no_prior_version"])
                 continue
             try:
-                out.append([v["key"], v["locale"], self.revert({"version": before, "expect_active": v["id"]}, editor, at)])
+                out.append([v["key"], v["locale"], self.revert({"version": own[place - 1], "expect_active": v["id"]}, editor, at)])
             except Refused as e:
                 out.append([v["key"], v["locale"], str(e).split(":")[0]])
         change["reverted_at"] = at
@@ -231,9 +265,29 @@ class State:
 VERBS = ("save", "publish", "discard", "revert", "rename", "open_change", "schedule_change", "publish_change", "abandon_change", "revert_change", "publish_due")
 
 
-def _packed(rows: DataFrame, kind: str) -> DataFrame:
-    stamped = [F.date_format(c.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c.name) if c.dataType.typeName() == "timestamp" else F.col(c.name) for c in rows.schema]
-    return rows.select("project", F.lit(kind).alias("kind"), F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"}).alias("body"))
+def _packed(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    stamped = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if rows.schema[c].dataType.typeName() == "timestamp" else F.col(c) for c in columns]
+    return rows.select("project", "unit", F.lit(kind).alias("kind"), F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def _node(kind: str, value: str) -> Column:
+    """A node of the graph of units; two nodes taken for one only make a unit larger."""
+    return F.xxhash64(F.lit(kind), "project", F.col(value).cast("string"))
+
+
+def _units(commands: DataFrame, named: DataFrame, by_version: DataFrame, inside: DataFrame, first_id: int, block: int) -> DataFrame:
+    """``node, component``: keys, changes and commands that must be folded together."""
+    arg = lambda name: F.element_at(F.from_json("args_json", "map<string,string>"), F.lit(name)).cast("long")
+    asked = commands.select("project", "ord", "verb", arg("change").alias("change"), arg("version").alias("version"))
+    made = asked.where("verb = 'open_change'").withColumn("change", F.lit(first_id) + F.col("ord") * block)
+    later = asked.where(F.col("version") >= first_id).withColumn("maker", F.floor((F.col("version") - first_id) / block).cast("long"))
+    own = _node("command", "ord").alias("a")
+    return connected_components(
+        named.unionByName(by_version).select(own, _node("key", "key").alias("b"))
+        .unionByName(asked.where("change is not null and change <> -1").unionByName(made).select(own, _node("change", "change").alias("b")))
+        .unionByName(later.select(own, _node("command", "maker").alias("b")))
+        .unionByName(inside.where("changeset_id is not null").select(_node("key", "key").alias("a"), _node("change", "changeset_id").alias("b")).distinct())
+    )
 
 
 def _wide(versions: DataFrame, asked: DataFrame, block: int) -> list[tuple[int, int]]:
@@ -252,22 +306,32 @@ def _wide(versions: DataFrame, asked: DataFrame, block: int) -> list[tuple[int,
 def fold(versions: DataFrame, changes: DataFrame, commands: DataFrame, first_id: int, block: int = BLOCK) -> dict[str, DataFrame]:
     """``versions``, ``changesets``, ``renames`` (new ones) and ``answers`` after the commands."""
     args = F.from_json("args_json", "map<string,string>")
-    named = commands.select("project", F.explode(F.array(F.element_at(args, F.lit("key")), F.element_at(args, F.lit("old_key")), F.element_at(args, F.lit("new_key")))).alias("key")).where("key is not null")
-    by_version = commands.select("project", F.element_at(args, F.lit("version")).cast("long").alias("id")).where("id is not null").join(versions.select("project", "id", "key"), ["project", "id"]).select("project", "key")
+    named = commands.select("project", "ord", F.explode(F.array(F.element_at(args, F.lit("key")), F.element_at(args, F.lit("old_key")), F.element_at(args, F.lit("new_key")))).alias("key")).where("key is not null")
+    by_version = commands.select("project", "ord", F.element_at(args, F.lit("version")).cast("long").alias("id")).where("id is not null").join(versions.select("project", "id", "key"), ["project", "id"]).select("project", "ord", "key")
     asked = commands.select("project", F.element_at(args, F.lit("change")).cast("long").alias("changeset_id"), "verb", "at", "ord")
     by_change = versions.join(asked.where("changeset_id is not null").select("project", "changeset_id").distinct(), ["project", "changeset_id"], "left_semi").select("project", "key")
     due_at = asked.where("verb = 'publish_due'").groupBy("project").agg(F.max("at").alias("due"))
     by_due = versions.join(due_at, "project").where("state = 'draft' and publish_at <= due").select("project", "key", "changeset_id")
     with_due = versions.join(by_due.where("changeset_id is not null").select("project", "changeset_id").distinct(), ["project", "changeset_id"], "left_semi").select("project", "key")
     # a rename of a key that is named, or a draft saved to a held change, needs no further rows
-    touched = named.unionByName(by_version).unionByName(by_change).unionByName(by_due.select("project", "key")).unionByName(with_due).distinct()
+    touched = named.unionByName(by_version).select("project", "key").unionByName(by_change).unionByName(by_due.select("project", "key")).unionByName(with_due).distinct()
+    touched = settled(touched)
     inside = versions.join(touched, ["project", "key"], "left_semi").select(versions.columns)
     outside = versions.join(touched, ["project", "key"], "left_anti").select(versions.columns)
-    busy = commands.select("project").distinct()
-    own_changes = changes.join(busy, "project", "left_semi").select(changes.columns)
-    packed = _packed(inside, "version").unionByName(_packed(own_changes, "changeset")).unionByName(_packed(commands, "command"))
-
     wide = _wide(versions, asked, block)
+    # where the scheduler runs, or ids don't tell which command made them, the project is the unit
+    whole = commands.select("project").distinct() if wide else due_at.select("project")
+    whole = whole.withColumn("__whole", F.xxhash64("project"))
+    units = settled(_units(commands, named, by_version, inside, first_id, block))
+
+    def placed(rows: DataFrame, kind: str, value: str) -> DataFrame:
+        """The rows with their unit, null for what no command has to do with."""
+        joined = rows.withColumn("node", _node(kind, value)).join(units, "node", "left").join(whole, "project", "left")
+        return joined.withColumn("unit", F.coalesce("__whole", F.col("component")))
+
+    own_changes = placed(changes, "change", "id")
+    told = placed(commands, "command", "ord").withColumn("unit", F.coalesce("unit", "node"))
+    packed = _packed(placed(inside, "key", "key"), "version", versions.columns).unionByName(_packed(own_changes.where("unit is not null"), "changeset", changes.columns)).unionByName(_packed(told, "command", commands.columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         project = pdf["project"].iloc[0]
@@ -280,10 +344,10 @@ def fold(versions: DataFrame, changes: DataFrame, commands: DataFrame, first_id:
         out += [("version", json.dumps(v)) for v in state.versions.values()] + [("changeset", json.dumps(v)) for v in state.changes.values()] + [("rename", json.dumps(v)) for v in state.renames]
         return pd.DataFrame(out, columns=["kind", "body"])
 
-    folded = packed.groupBy("project").applyInPandas(run, "kind string, body string")
+    folded = settled(packed.groupBy("project", "unit").applyInPandas(run, "kind string, body string"))
     unpack = lambda kind, schema: folded.where(F.col("kind") == kind).select(F.from_json("body", schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}).alias("r")).select("r.*")
     return {
-        "versions": outside.unionByName(unpack("version", VERSIONS).select(versions.columns)), "changesets": changes.join(busy, "project", "left_anti").select(changes.columns).unionByName(unpack("changeset", CHANGESETS).select(changes.columns)),
+        "versions": outside.unionByName(unpack("version", VERSIONS).select(versions.columns)), "changesets": own_changes.where("unit is null").select(changes.columns).unionByName(unpack("changeset", CHANGESETS).select(changes.columns)),
         "renames": unpack("rename", RENAMES), "answers": unpack("answer", ANSWERS),
     }
 

@@ -552,8 +552,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "site" / "i.html").write_text("<p>")
     (tmp_path / "site" / "x" / "j.html").write_text("<b>")
     assert {r.path for r in files.documents(spark, str(tmp_path / "site")).collect()} == {"i.html", "x/j.html"}
-    sinks.write_all({"one": sinks.snapshot_text(s), "two/deep": sinks.registry_lines(d.keys).select("text")}, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out" / "two" / "deep")).count() == 2 and not (tmp_path / "out" / "_staging").exists()
+    out, lines = str(tmp_path / "out"), sinks.registry_lines(d.keys).select("text")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, out, "one")
+    sinks.write_all({"one": sinks.snapshot_text(s), "two/deep": lines}, out)
+    assert spark.read.text(sinks.current(spark, out, "two/deep")).count() == 2
+    fails = lines.select(F.raise_error(F.lit("no")).cast("string").alias("text"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_all({"one": lines, "two/deep": fails}, out)
+    assert spark.read.text(sinks.current(spark, out, "one")).count() == 1  # none has changed
+    for n in (1, 2, 3):
+        sinks.write_all({"one": lines.limit(n)}, out)
+    assert spark.read.text(sinks.current(spark, out, "one")).count() == 2 and len(list((tmp_path / "out").glob("v-*"))) == 2
     assert all(t.count() == 0 for t in files.empty_store(spark))
     table = sinks.generated_table(s.where("locale = 'default'"), spark.createDataFrame([("a",)], "entry string"), spark.createDataFrame([("a", "approved")], "key string, state string")).collect()
     assert [(r.key, r.state) for r in table] == [("a", "approved")]

@@ -81,3 +81,13 @@ def to_json_string(c: Column) -> Column:
 def iso_utc(ts: Column) -> Column:
     """ISO form with milliseconds and Z; the session's zone is expected to be UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def string_map(c: Column) -> Column:
+    """A JSON object's text fields as a map; fields of any other kind are left out, and what is no object gives null."""
+    return F.transform_values(F.map_filter(json_object(c), lambda _, v: v.startswith('"')), lambda _, v: json_string(v))
+
+
+def short_date(ts: Column) -> Column:
+    """A day and a time of day for people: 4 Mar 2024 09:05."""
+    return F.date_format(ts, "d MMM yyyy HH:mm")

@@ -283,7 +283,7 @@ def role(tag: Column) -> Column:
 
 def section(ancestors: Column) -> Column:
     """The nearest landmark above an element; null if there is none."""
-    return F.element_at(F.filter(ancestors, lambda a: a.isin(*LANDMARKS)), 1)
+    return F.get(F.filter(ancestors, lambda a: a.isin(*LANDMARKS)), F.lit(0))
 
 
 def ordered_marks(marks: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ from versotext.operators.versions import due_drafts
 from versotext.schema import CHANGESETS, VERSIONS
 
 BLOCK = 1000
+BUNDLE = 2000
 COMMANDS = "project string, ord long, verb string, args_json string, editor string, at timestamp"
 ANSWERS = "project string, ord long, verb string, ok boolean, error string, result_json string"
 RENAMES = "id long, project string, old_key string, new_key string, editor string, renamed_at timestamp"
@@ -333,18 +334,25 @@ def fold(versions: DataFrame, changes: DataFrame, commands: DataFrame, first_id:
     told = placed(commands, "command", "ord").withColumn("unit", F.coalesce("unit", "node"))
     packed = _packed(placed(inside, "key", "key"), "version", versions.columns).unionByName(_packed(own_changes.where("unit is not null"), "changeset", changes.columns)).unionByName(_packed(told, "command", commands.columns))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        project = pdf["project"].iloc[0]
-        bodies = {k: [json.loads(b) for b in own] for k, own in pdf.groupby("kind")["body"]}
-        state = State(project, bodies.get("version", []), bodies.get("changeset", []), first_id, block, wide)
+    def one(project: str, bodies: dict[str, list[dict]]) -> list[tuple[str, str]]:
+        state = State(project, bodies["version"], bodies["changeset"], first_id, block, wide)
         out: list[tuple[str, str]] = []
-        for c in sorted(bodies.get("command", []), key=lambda c: c["ord"]):
+        for c in sorted(bodies["command"], key=lambda c: c["ord"]):
             ok, error, result = state.apply(c["ord"], c["verb"], json.loads(c["args_json"] or "{}"), c["editor"], c["at"])
             out.append(("answer", json.dumps({"project": project, "ord": c["ord"], "verb": c["verb"], "ok": ok, "error": error, "result_json": json.dumps(result)})))
-        out += [("version", json.dumps(v)) for v in state.versions.values()] + [("changeset", json.dumps(v)) for v in state.changes.values()] + [("rename", json.dumps(v)) for v in state.renames]
-        return pd.DataFrame(out, columns=["kind", "body"])
+        return out + [("version", json.dumps(v)) for v in state.versions.values()] + [("changeset", json.dumps(v)) for v in state.changes.values()] + [("rename", json.dumps(v)) for v in state.renames]
 
-    folded = settled(packed.groupBy("project", "unit").applyInPandas(run, "kind string, body string"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: dict[tuple[str, int], dict[str, list[dict]]] = defaultdict(lambda: {"version": [], "changeset": [], "command": []})
+        for project, unit, kind, body in zip(pdf["project"], pdf["unit"], pdf["kind"], pdf["body"], strict=True):
+            found[project, unit][kind].append(json.loads(body))
+        return pd.DataFrame([r for (project, _), bodies in found.items() for r in one(project, bodies)], columns=["kind", "body"])
+
+    packed = settled(packed)
+    # a task folds many small units, about BUNDLE rows in all
+    bundles = -(-packed.count() // BUNDLE) + 1
+    packed = packed.withColumn("bundle", F.pmod(F.xxhash64("project", "unit"), F.lit(bundles)))
+    folded = settled(packed.groupBy("bundle").applyInPandas(run, "kind string, body string"))
     unpack = lambda kind, schema: folded.where(F.col("kind") == kind).select(F.from_json("body", schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}).alias("r")).select("r.*")
     return {
         "versions": outside.unionByName(unpack("version", VERSIONS).select(versions.columns)), "changesets": own_changes.where("unit is null").select(changes.columns).unionByName(unpack("changeset", CHANGESETS).select(changes.columns)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +20,52 @@ def snapshot_text(snapshot: DataFrame) -> DataFrame:
     return parts.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("locale", "text"))), lambda x: x["text"]), ","), F.lit("}")).alias("text"))
 
 
+#: The file that names the version in force of the files below a folder.
+POINTER = "current"
+
+
 def write_all(outputs: dict[str, DataFrame], folder: str) -> None:
-    """Write texts (one column ``text``) to several paths below a folder: all of them appear, or none.
+    """Write texts (one column ``text``) to several paths below a folder: all of them change, or none.
 
-    Everything is written to a staging folder first; only then are the parts renamed.
+    Everything goes to a new version's folder first. Then the pointer file that names the version in force is
+    replaced, in one rename; a failure before that leaves all files as they were. See :func:`current`.
+    Versions before the last one are removed.
     """
     spark: SparkSession = next(iter(outputs.values())).sparkSession
-    jvm, staging = spark._jvm, f"{folder.rstrip('/')}/_staging"
-    root = jvm.org.apache.hadoop.fs.Path(staging)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        for name, rows in outputs.items():
-            rows.select("text").coalesce(1).write.mode("overwrite").text(f"{staging}/{name}")
-        for name in outputs:
-            target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-            fs.delete(target, True)
-            fs.mkdirs(target.getParent())
-            if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staging}/{name}"), target):
-                raise OSError(f"can't move {name} into place")
-    finally:
-        fs.delete(root, True)
+    root, version = folder.rstrip("/"), f"v-{uuid.uuid4().hex}"
+    for name, rows in outputs.items():
+        rows.select("text").coalesce(1).write.text(f"{root}/{version}/{name}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path, conf = hadoop.Path, spark._jsc.hadoopConfiguration()
+    before = _version(spark, root)
+    fs = path(root).getFileSystem(conf)
+    new = path(f"{root}/_{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(path(f"{root}/{POINTER}")), over)
+    for status in fs.listStatus(path(root)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _version(spark: SparkSession, root: str) -> str | None:
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.text(f"{root}/{POINTER}").first()["value"]
+
+
+def current(spark: SparkSession, folder: str, name: str) -> str:
+    """Where the files that :func:`write_all` wrote last under a name stand."""
+    root = folder.rstrip("/")
+    version = _version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"nothing was written to {folder}")
+    return f"{root}/{version}/{name}"
 
 
 def registry_lines(keys: DataFrame) -> DataFrame:
@@ -45,6 +73,17 @@ def registry_lines(keys: DataFrame) -> DataFrame:
     return keys.select("key", F.concat_ws("\t", "key", "shape", "target").alias("text")).orderBy("key")
 
 
+def defaults_lines(keys: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The declared keys' default values: key and canonical JSON, in order."""
+    own = snapshot.where("locale = 'default'").join(keys.select("key"), "key", "left_semi")
+    return own.orderBy("key").select(F.concat_ws("\t", "key", js.canonical_json(F.col("value_json"))).alias("text"))
+
+
+def resolved_lines(resolved: DataFrame) -> DataFrame:
+    """Resolved values: key, locale and canonical JSON, in order."""
+    return resolved.where("value_json is not null").orderBy("key", "locale").select(F.concat_ws("\t", "key", "locale", js.canonical_json(F.col("value_json"))).alias("text"))
+
+
 def generated_table(resolved: DataFrame, entries: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
     """``key, value_json, source_hash, state``: resolved values, filtered by entries, with their approval where statuses are given."""
     own = resolved if entries is None else by_entries(resolved, entries)

@@ -443,6 +443,59 @@ def test_warc_source_headers(spark):
     assert all(json.loads(r["block"])["Envelope"]["HTTP-Response"]["Headers"] == {"Server": "y"} for r in mapped)
 
 
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    pages = ["<a " * 350_000, "<a href=\"" * 100_000, "<script " * 130_000, "<title>" * 150_000, "<!-- " * 200_000, "<a t=\"x>\" " * 100_000 + "u=\"", "<svg " * 200_000, "<" * 1_000_000, "<! " * 330_000, "</script " * 110_000, "<a x='>" * 140_000, "<p " + "a" * 1_000_000, "<a href" + " " * 1_000_000 + "x", "<a" + " href" * 200_000 + ">", "<script>" + "</script " * 100_000]
+    for page in pages:
+        begin = time.process_time()
+        warc.derive(1, "u", "d", page.encode(), [])
+        assert time.process_time() - begin < 2, page[:20]
+
+
+def test_unclosed_quotes_and_odd_tags():
+    page = 'a <b title="x>y">bold</b> 1 < 2 <a href="/one">one</a> <a title=it\'s href=/two>two</a><a data-href="/no" title="href=/no" href=\'/three\'>three</a> <i class="open>rest</i> <a href=/four>four</a> end'
+    assert warc.page_text(page) == "a bold 1 < 2 one twothree rest four end"
+    assert [x["url"] for x in warc.page_links(page)] == ["/one", "/two", "/three", "/four"]
+    assert warc.page_text("<title>no end <p>x") == "no end\nx"
+
+
+def test_warc_repeated_rows_and_links(spark, tmp_path):
+    import gzip
+
+    rows = [(1, "u", "<p>a<p>b"), (1, "u", "<p>a<p>b"), (2, "v", "x" * 1_000_000 + "<p>é")]
+    out = warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = out.collect()
+    assert len(got) == 6 and len({r["record_id"] for r in got}) == 4
+    by = {r["record_id"]: r for r in got}
+    assert all(by[r["concurrent_to"]]["concurrent_to"] == r["record_id"] and by[r["concurrent_to"]]["record_type"] != r["record_type"] for r in got)
+    warc.write_warc(out.coalesce(1), f"{tmp_path}/warc")
+    (file,) = tmp_path.glob("warc/*.gz")
+    raw, records = gzip.decompress(file.read_bytes()), []
+    while raw:  # by the lengths that the records themselves give
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        n = int(dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])[b"Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        records.append((head + b"\r\n\r\n" + rest[: n + 4]).decode())
+        raw = rest[n + 4 :]
+    assert sorted(records) == sorted(r["record"] for r in got)
+
+
+def test_derivatives_of_response_records(spark):
+    body = "<title>T</title><p>é"
+    http = "HTTP/1.1 404 Not Found\r\nServer: x\r\nSet-Cookie: a=1\r\nSet-Cookie: b: 2\r\n\r\n" + body
+    record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nWARC-Target-URI: http://a.example/\r\nWARC-Payload-Digest: sha1:GIVEN\r\nContent-Length: {len(http.encode())}\r\n\r\n{http}\r\n\r\n".encode()
+    rows = [(record,), (record.replace(b"\r\n", b"\n").replace(b"uuid:1", b"uuid:2"),), (b"",), (b"WARC/1.1\r\n\r\n<p>bare",), (None,)]
+    found = warc.responses(spark.createDataFrame(rows, "record binary"))
+    out = warc.derivatives(found, **warc.SOURCE).collect()
+    assert len(out) == 8
+    first = {r["record_type"]: r for r in out if r["refers_to"] == "<urn:uuid:1>"}
+    assert first["conversion"]["block"] == "é" and (first["metadata"]["warc_date"], first["metadata"]["source_digest"], first["metadata"]["target_uri"]) == ("2024-05-06T07:08:09Z", "sha1:GIVEN", "http://a.example/")
+    envelope = json.loads(first["metadata"]["block"])["Envelope"]
+    assert envelope["HTTP-Response"] == {"Status": "404", "Headers": {"Server": "x", "Set-Cookie": ["a=1", "b: 2"]}} and envelope["HTML"]["Title"] == "T"
+    assert "bare" in {r["block"] for r in out} and warc.responses(found.limit(0).select(F.lit(b"").alias("record"))).collect() == []
+
+
 # 9: SentencePiece ----------------------------------------------------------------------------
 
 

@@ -2,9 +2,9 @@
 
 For each response a ``metadata`` record (headers, digest, links, title) and a
 ``conversion`` record (the page's visible text) are made. Both name the response
-in ``WARC-Refers-To`` and repeat its target, date and payload digest. Record ids are
-version-5 UUIDs of the response's id and the record's kind, so that a task run
-twice writes the same records. The response's record id, date, status, HTTP headers and
+in ``WARC-Refers-To`` and each other in ``WARC-Concurrent-To``, and repeat the response's
+target, date and payload digest. Record ids are version-5
+UUIDs of the response's id and the record's kind, so that a task run twice writes the same records. The response's record id, date, status, HTTP headers and
 payload digest are carried over where columns hold them, and made up where none does.
 """
 
@@ -25,18 +25,17 @@ from pyspark.sql import functions as F
 from versotext.llm.text import pieces, raw_texts
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
-#: A self-closed svg ends at once; of the other elements HTML ignores the slash.
-HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[\s/]+|[^\s/>=<]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s><]*))*+(?<=/)>"
-    r"|<(script|style|noscript|template|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I,
-)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>")
+#: A tag's name, and its attributes up to the bracket that ends it: a quote opens a value only after an equals sign.
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: Elements whose content is no text; an svg that closes itself ends at once, of the others HTML ignores the slash.
+HIDDEN = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "noscript", "template", "svg")}
+TITLE_END = re.compile(r"</title\s*+>", re.I)
 BLOCK = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
 LINK = {"a": ("href", "A@/href"), "link": ("href", "LINK@/href"), "img": ("src", "IMG@/src"), "script": ("src", "SCRIPT@/src"), "iframe": ("src", "IFRAME@/src"), "form": ("action", "FORM@/action")}
-ATTRIBUTE = {name: re.compile(rf"(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I) for name in ("href", "src", "action")}
 
-RECORDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_digest string, payload_digest string, block_digest string, content_length long, n_links long, block string, record string"
+RECORDS = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, source_digest string, block_digest string, content_length long, n_links long, block string, record string"
 
 
 def digest(payload: bytes) -> str:
@@ -47,24 +46,97 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(31).join(parts))}>"
 
 
-def page_text(source: str) -> str:
-    """The visible text: block elements start new lines, white space is collapsed, entities are decoded, empty lines go."""
+class Page:
+    """A page's visible text, links and title, read in one pass whose time is in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.title: str | None = None
+        self.links: list[dict[str, str]] = []
+        self.parts: list[str] = []
+        self._read()
+        lines = html.unescape("".join(self.parts)).split("\n")
+        self.text = "\n".join(line for line in (" ".join(line.split()) for line in lines) if line)
+
+    def _read(self) -> None:
+        source, at, size = self.source, 0, len(self.source)
+        # what was once looked for in vain up to the end isn't looked for again
+        self.strict = self.lasting = self.titled = True
+        while at < size:
+            begin = source.find("<", at)
+            if begin < 0:
+                break
+            self._text(at, begin)
+            if source.startswith("<!--", begin):
+                at = self._after("-->", begin + 4)
+            elif source.startswith("<![CDATA[", begin):
+                at = self._after("]]>", begin + 9)
+            elif (m := NAME.match(source, begin)) and (end := self._tag_end(m.end(), begin)) > 0:
+                at = self._tag(m, end)
+            elif source[begin + 1 : begin + 2] in ("!", "?") and (end := self._bracket(begin)) > 0:
+                at = end
+            else:
+                self.parts.append("<")
+                at = begin + 1
+        self._text(at, size)
+
+    def _text(self, begin: int, end: int) -> None:
+        if begin < end:
+            self.parts.append(re.sub(r"\s+", " ", self.source[begin:end]))
+
+    def _after(self, mark: str, at: int) -> int:
+        self.parts.append(" ")
+        end = self.source.find(mark, at)
+        return end + len(mark) if end >= 0 else len(self.source)
+
+    def _bracket(self, at: int) -> int:
+        """The place after the next closing bracket, 0 without one."""
+        if not self.lasting:
+            return 0
+        end = self.source.find(">", at) + 1
+        self.lasting = end > 0
+        return end
 
-    def cut(m: re.Match) -> str:
-        return "\n" if m[2] and m[2].lower() in BLOCK else ""
+    def _tag_end(self, at: int, begin: int) -> int:
+        """Where a tag ends. After a quote that never closes any bracket ends a tag, in the rest of the page."""
+        if self.strict:
+            if m := REST.match(self.source, at):
+                return m.end()
+            self.strict = False
+        return self._bracket(begin)
 
-    bare = re.sub(r"\s+", " ", HIDDEN.sub(" ", source))
-    lines = html.unescape(TAG.sub(cut, TITLE.sub(" ", bare))).split("\n")
-    return "\n".join(line for line in (" ".join(line.split()) for line in lines) if line)
+    def _tag(self, m: re.Match, end: int) -> int:
+        name, closing = m[1].lower(), self.source[m.start() + 1] == "/"
+        inside = self.source[m.end() : end - 1]
+        if not closing and name in LINK:
+            kind, path = LINK[name]
+            value = next((a for a in ATTRIBUTE.finditer(inside) if a[1].lower() == kind), None)
+            if value and (url := value[2] or value[3] or value[4]):
+                self.links.append({"path": path, "url": html.unescape(url)})
+        if not closing and name in HIDDEN and not (name == "svg" and inside.endswith("/")):
+            self.parts.append(" ")
+            stop = HIDDEN[name].search(self.source, end)
+            return stop.end() if stop else len(self.source)
+        if not closing and name == "title" and (stop := TITLE_END.search(self.source, end) if self.titled else None):
+            if self.title is None:
+                self.title = " ".join(html.unescape(self.source[end : stop.start()]).split())
+            self.parts.append(" ")
+            return stop.end()
+        if not closing and name == "title":
+            self.titled = False
+        if name in BLOCK:
+            self.parts.append("\n")
+        return end
+
+
+def page_text(source: str) -> str:
+    """The visible text: block elements start new lines, white space is collapsed, entities are decoded, empty lines go."""
+    return Page(source).text
 
 
 def page_links(source: str) -> list[dict[str, str]]:
     """Links in order, with the element and attribute that holds each."""
-    found = []
-    for m in TAG.finditer(HIDDEN.sub(lambda h: h[0][: h[0].find(">") + 1] if h[0][:7].lower() == "<script" else " ", source)):
-        if m[2] and not m[1] and (known := LINK.get(m[2].lower())) and (a := ATTRIBUTE[known[0]].search(m[3])):
-            found.append({"path": known[1], "url": html.unescape(a[1] or a[2] or a[3] or "")})
-    return found
+    return Page(source).links
 
 
 def render(headers: list[tuple[str, str]], block: bytes) -> str:
@@ -85,15 +157,16 @@ def derive(page_id: int | None, url: str, date: str, raw: bytes, http: list[tupl
     """The response's two records as rows of ``RECORDS``."""
     source = raw.decode("utf-8", "replace")
     response, payload = source_id or record_id(url, str(page_id), "response"), source_digest or digest(raw)
-    title = TITLE.search(HIDDEN.sub(" ", source))
-    links = page_links(source)
-    meta = {"Envelope": {"WARC-Header": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload}, "HTTP-Response": {"Status": status, "Headers": fields(http)}, "HTML": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": links}, "Payload-Length": len(raw)}}
+    page = Page(source)
+    links = page.links
+    # the two records name each other
+    made = {kind: record_id(source_id, kind) if source_id else record_id(url, str(page_id), kind) for kind in ("metadata", "conversion")}
+    meta = {"Envelope": {"WARC-Header": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload}, "HTTP-Response": {"Status": status, "Headers": fields(http)}, "HTML": {"Title": page.title, "Links": links}, "Payload-Length": len(raw)}}
     out = []
-    for kind, content_type, text in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", page_text(source))):
+    for kind, other, content_type, text in (("metadata", "conversion", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True)), ("conversion", "metadata", "text/plain", page.text)):
         block = text.encode("utf-8", "replace")
-        own = record_id(source_id, kind) if source_id else record_id(url, str(page_id), kind)
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", response), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
-        out.append((page_id, kind, own, response, url, date, content_type, payload, digest(block), digest(block), len(block), len(links), block.decode("utf-8"), render(headers, block)))
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", made[kind]), ("WARC-Refers-To", response), ("WARC-Concurrent-To", made[other]), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+        out.append((page_id, kind, made[kind], response, made[other], url, date, content_type, payload, digest(block), len(block), len(links), block.decode("utf-8"), render(headers, block)))
     return out
 
 
@@ -131,3 +204,56 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return own.mapInArrow(run, RECORDS)
+
+
+#: What ends a record in a WARC file.
+END = "\r\n\r\n"
+
+
+def write_warc(derived: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write the records of :func:`derivatives` as WARC files, one for each partition, committed by Spark."""
+    records = derived.select(F.expr(f"substring(record, 1, char_length(record) - {len(END)})"))
+    records.write.option("lineSep", END).option("compression", compression).text(path)
+
+
+def parse_response(raw: bytes) -> dict:
+    """A WARC response record's id, date, url, status, HTTP headers (name and value, in order), payload digest and payload.
+
+    Header lines end with a line feed, with or without a carriage return; what a record lacks is None.
+    """
+    def headers(lines: list[bytes]) -> list[tuple[str, str]]:
+        pairs = [line.decode("utf-8", "replace").partition(":") for line in lines]
+        return [(name.strip(), value.strip()) for name, mark, value in pairs if mark]
+
+    def parted(data: bytes) -> tuple[list[bytes], bytes]:
+        m = re.search(rb"\r?\n\r?\n", data)
+        return re.split(rb"\r?\n", data[: m.start()] if m else data), data[m.end() :] if m else b""
+
+    head, block = parted(raw)
+    own = {name.lower(): value for name, value in headers(head[1:])}
+    if own.get("content-length", "").isdigit():
+        block = block[: int(own["content-length"])]
+    first, payload = parted(block)
+    status = re.match(rb"HTTP/\S+ (\d{3})", first[0])
+    if not status:
+        first, payload = [b""], block
+    return {"record_id": own.get("warc-record-id"), "date": own.get("warc-date"), "url": own.get("warc-target-uri"), "digest": own.get("warc-payload-digest"), "status": status[1].decode() if status else None, "headers": headers(first[1:]) if status else None, "html": payload.decode("utf-8", "replace")}
+
+
+def responses(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """Columns for :func:`derivatives` (see ``SOURCE``) of WARC response records given as binary or text, a row each; null records are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "record", 2_000_000):
+            found = [parse_response(raw) for raw in raw_texts(batch, "record")]
+            kinds = [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])) if n == "headers" else pa.string() for n in RESPONSE]
+            columns = [[[{"name": k, "value": v} for k, v in r[n]] if n == "headers" and r[n] is not None else r[n] for r in found] for n in RESPONSE]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(RESPONSE))
+
+    own = records.select(F.col(f"`{record_col}`").cast("binary").alias("record")).where("record is not null")
+    return own.mapInArrow(run, "record_id string, date string, url string, digest string, status string, headers array<struct<name:string,value:string>>, html string").withColumn("page_id", F.lit(None).cast("long"))
+
+
+RESPONSE = ("record_id", "date", "url", "digest", "status", "headers", "html")
+#: How the columns of :func:`responses` are handed to :func:`derivatives`.
+SOURCE = {"record_id_col": "record_id", "date_col": "date", "status_col": "status", "headers_col": "headers", "digest_col": "digest"}

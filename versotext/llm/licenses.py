@@ -1,9 +1,12 @@
 """Licence scan with a positional rare-token index.
 
-Every template is a short licence statement. Its anchors, the words with the highest
+Every template is a licence statement or a licence's text. Its anchors, the words with the highest
 inverse document frequency in the whole corpus, are indexed with their places. All
 anchors that stand in a file are looked up; each hit votes for the place where the
-template would have to begin (place in the file minus place in the template).
+template would have to begin (place in the file minus place in the template). Places
+are intersected with some slack, more for longer templates, so that words put in or left out
+don't part a template from its votes: a template word counts at a beginning b if it stands in the
+file at b plus its place or up to ``slack`` words later.
 Beginnings with enough votes are compared word by word, and the template's mandatory
 key phrases must stand in the file near that place.
 
@@ -58,6 +61,17 @@ TEMPLATES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
     Template("proprietary", "all rights reserved no part of this work may be reproduced", ("all rights reserved",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("permission is hereby granted free of charge", "sublicense and or sell copies")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages", ("redistribution and use in source and binary forms", "must reproduce the above copyright notice")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", ("with or without fee is hereby granted",)),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license version 2", "distributed on an as is basis")),
+    Template("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license as published", "version 2 of the license")),
+    Template("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license as published", "version 3 of the license")),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", ("gnu lesser general public license as published",)),
+    Template("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu affero general public license as published",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software released into the public domain", "compile sell or distribute")),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented", ("the origin of this software must not be misrepresented",)),
+    Template("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so", ("person or organization obtaining a copy", "prepare derivative works")),
 )
 
 OUTPUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches string"
@@ -69,6 +83,7 @@ class Index:
     def __init__(self, frequency: dict[bytes, int], documents: int, templates=TEMPLATES, base=BASE_PHRASES, rare: int = 6, share: float = 0.7):
         self.share, self.rare = share, rare
         self.words = [t.text.encode().split() for t in templates]
+        self.slack = [2 + len(ws) // 20 for ws in self.words]
         self.labels = [t.label for t in templates]
         self.mandatory = [tuple(b" " + m.encode() + b" " for m in t.mandatory) for t in templates]
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for ws in self.words for w in ws}
@@ -86,10 +101,11 @@ class Index:
         self.lookup = frozenset(self.postings) | self.base_first
 
     def _anchors(self, ws: list[bytes]) -> list[bytes]:
-        """At least ``rare`` words, and more while a place with the wanted share could hold fewer than two of them."""
+        """At least ``rare`` words, and more while a place with the wanted share could hold fewer than two of them, or less than half of that share in them."""
         ranked = sorted(set(ws), key=lambda w: (-self.idf[w], w))
+        total = sum(self.idf[w] for w in ws)
         n = self.rare
-        while n < len(ranked) and self._least(ws, ranked[:n]) < 2:
+        while n < len(ranked) and (self._least(ws, ranked[:n]) < 2 or sum(self.idf[w] for w in ws if w in ranked[n:]) > self.share / 2 * total):
             n += 1
         return ranked[:n]
 
@@ -117,26 +133,80 @@ class Index:
         return found
 
     def matches(self, words: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, first word, share of the template's idf mass in place) of each verified template."""
-        votes: Counter[tuple[int, int]] = Counter()
+        """(label, first word, share of the template's idf mass in place) of each verified template.
+
+        Of neighbouring beginnings of a template that all hold it, the one with the largest share counts, then the smallest.
+        """
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(words):
             if w in self.postings:
                 for t, place in self.postings[w]:
-                    votes[(t, i - place)] += 1
+                    hits[t].append((i - place, place))
         found = []
-        for (t, begin), n in votes.items():
-            ws = self.words[t]
-            if n < self.least[t]:
-                continue
-            total = sum(self.idf[w] for w in ws)
-            held = sum(self.idf[w] for j, w in enumerate(ws) if 0 <= begin + j < len(words) and words[begin + j] == w)
-            if held < self.share * total:
-                continue
-            near = b" " + b" ".join(words[max(0, begin - 4) : begin + len(ws) + 8]) + b" "
-            if all(m in near for m in self.mandatory[t]):
-                found.append((self.labels[t], max(begin, 0), held / total))
+        for t, own in hits.items():
+            if len(own) >= self.least[t]:
+                held = [(b, *self.compare(t, b, words)) for b in self._beginnings(t, sorted(own))]
+                found += self.best(t, [(b, share, first) for b, share, first in held if share >= self.share and self.certain(t, b, words)])
         return sorted(found)
 
+    def _beginnings(self, t: int, own: list[tuple[int, int]]) -> list[int]:
+        """Beginnings with votes enough of different places, the hits (offset, place) being sorted."""
+        ws, anchors = self.words[t], set(self.anchors[t])
+        out, seen = [], Counter()
+        left = right = 0
+        at = own[0][0] - self.slack[t]
+        # the share that the votes of different places leave possible
+        total = sum(self.idf[w] for w in ws)
+        possible = sum(self.idf[w] for w in ws if w not in anchors)
+        while left < len(own):
+            while right < len(own) and own[right][0] <= at + self.slack[t]:
+                seen[own[right][1]] += 1
+                if seen[own[right][1]] == 1:
+                    possible += self.idf[ws[own[right][1]]]
+                right += 1
+            while left < right and own[left][0] < at:
+                seen[own[left][1]] -= 1
+                if not seen[own[left][1]]:
+                    del seen[own[left][1]]
+                    possible -= self.idf[ws[own[left][1]]]
+                left += 1
+            if left == right:  # no hit in reach: on to the next one
+                if right == len(own):
+                    break
+                at = own[right][0] - self.slack[t]
+                continue
+            if len(seen) >= self.least[t] and possible > (self.share - 1e-6) * total:
+                out.append(at)
+            at += 1
+        return out
+
+    def compare(self, t: int, begin: int, words: list[bytes]) -> tuple[float, int]:
+        """The share of a template's idf mass that stands at a beginning, and the first place of it."""
+        held, first, total = 0.0, len(words), 0.0
+        for j, w in enumerate(self.words[t]):
+            total += self.idf[w]
+            near = words[max(0, begin + j) : max(0, begin + j + self.slack[t] + 1)]
+            if w in near:
+                held += self.idf[w]
+                first = min(first, max(0, begin + j) + near.index(w))
+        return held / total, first
+
+    def certain(self, t: int, begin: int, words: list[bytes]) -> bool:
+        """Whether all mandatory phrases stand near."""
+        near = b" " + b" ".join(words[max(0, begin - 4) : max(0, begin + len(self.words[t]) + self.slack[t] + 8)]) + b" "
+        return all(m in near for m in self.mandatory[t])
+
+    def best(self, t: int, held: list[tuple[int, float, int]]) -> list[tuple[str, int, float]]:
+        """Of each run of beginnings (begin, share, first place) no further apart than the slack, the best one."""
+        out, run = [], []
+        for k, (begin, share, first) in enumerate(held):
+            run.append((-share, begin, first))
+            if k + 1 == len(held) or held[k + 1][0] - begin > self.slack[t] + 1:
+                share, _, first = min(run)
+                out.append((self.labels[t], first, -share))
+                run = []
+        return out
+
 
 def _document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many documents each template word stands, over all documents; the vocabulary is fixed and small."""

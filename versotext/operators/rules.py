@@ -17,8 +17,9 @@ from versotext.functions import js
 from versotext.functions.text import plain_of, variables
 from versotext.schema import Descriptor
 
+#: Fixed value: the form of a colour.
 HEX_COLOR = "^#([0-9a-fA-F]{3}|[0-9a-fA-F]{4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"
-#: Promotional wording; "off" alone isn't.
+#: Fixed value: promotional wording; "off" alone isn't.
 PROMOTIONAL = "(?i)([0-9]+[" + js.SPACES + "]*%|" + js.whole_word("discount") + "|" + js.whole_word("sale") + ")"
 #: Average characters in a line, by target and device.
 CHARS_PER_LINE = {"web": {"desktop": 40, "mobile": 20}, "html-email": {"desktop": 37, "mobile": 20}}
@@ -29,6 +30,7 @@ HTML_TAGS = (
     "optgroup option output p param picture pre progress q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody td template "
     "textarea tfoot th thead time title tr track tt u ul var video wbr"
 ).split()
+#: Fixed value: what counts as markup: one of these elements, or a name with a hyphen.
 ILLEGAL_MARKUP = "(?i)<(?:" + "|".join(HTML_TAGS) + "|[a-z][a-z0-9]*-[a-z0-9-]*)(?=[\\s/>])"
 
 
@@ -138,7 +140,7 @@ def template_of(keys: DataFrame, templates: DataFrame) -> DataFrame:
 def subject_lines(d: Descriptor, texts: DataFrame) -> DataFrame:
     own = texts.join(template_of(texts.select("key").distinct(), d.templates), "key")
     rows = own.where((F.col("key") == F.concat("template", F.lit("__subject"))) & F.col("text").rlike("[\\r\\n]"))
-    return _findings(rows, "subject", F.lit("error"), 5, F.col("path"), F.lit("An email subject fits on one line. Remove the line break."))
+    return _findings(rows, "subject", F.lit("error"), 5, F.col("path"), F.concat("path", F.lit(": a subject with a line break")))
 
 
 def class_rules(d: Descriptor, siblings: DataFrame) -> DataFrame:

@@ -234,3 +234,40 @@ def copy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2, H3, H5-H7: a document for each page; what is copy in it, with its line and tags."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_COPY).alias("html"))
     return html.proposals(html.elements(pages)).select("page_id", "line", "place", "tags", "text")
+
+
+@query("""
+    with b as (select distinct event_type as base from events),
+    free as (select base, n, row_number() over (partition by base order by n) as r from b, range(0, 200000) t(n) where n not in (3, 10) and not (n = 0 and base = 'click')),
+    p as (select event_id, event_type as base, row_number() over (partition by event_type order by event_id) as r from events)
+    select event_id, case when n = 0 then base else base || '_' || n end as name from p join free using (base, r)
+""")
+def clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are taken are passed over, and so is a name that is taken itself."""
+    events = table(spark, sf_dir, "events")
+    taken = events.select(F.explode(F.expr("array(event_type || '_3', event_type || '_10', if(event_type = 'click', event_type, event_type || '_3'))")).alias("name")).distinct()
+    return texts.number_names(events.selectExpr("event_id as ord", "event_type as base"), taken).select(F.col("ord").alias("event_id"), "name")
+
+
+_PHRASES = "repeat('x ', cast(c_custkey % 5 as int)) || 'so fresh bread here daily too, fresh bread hereby, fresh bread here'"
+
+
+@query("select c_custkey as text_id, phrase_id, (2 * (c_custkey % 5) + p.place)::integer as place from customer, (values (2, 3), (1, 51)) p(phrase_id, place)")
+def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where known phrases stand: leftmost, then longest, none over another, none touched by a letter."""
+    known = spark.createDataFrame([(1, "fresh bread here"), (2, "fresh bread here daily"), (3, "bread here daily too"), (4, "short")], "id long, text string")
+    return texts.contained_phrases(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_PHRASES).alias("text")), known).withColumnRenamed("at", "place")
+
+
+_TREE = "'<div id=\"d' || page_id || '\"><p>One</p>\n<P class=x>Two <b>x</b></div></em>\n<ul><li>a<br/>b</li></i></ul><i>open'"
+
+
+@query("""
+    select page_id, e.el_id, e.parent_id, e.tag, e.line, e.fault, case when e.tag = 'div' then 'd' || page_id end as id, e.above from pages, (values
+      (0, null, 'div', 1, null, ''), (1, 0, 'p', 1, null, 'div'), (2, 0, 'p', 2, 'unclosed <p>', 'div'), (3, 2, 'b', 2, null, 'p,div'), (4, null, 'ul', 3, 'stray </i>', ''),
+      (5, 4, 'li', 3, null, 'ul'), (6, 5, 'br', 3, null, 'li,ul'), (7, null, 'i', 3, 'unclosed <i>', '')) e(el_id, parent_id, tag, line, fault, above)
+""")
+def element_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1, H4: a document for each page: its elements, what is above them, and what can't be paired."""
+    e = html.elements(table(spark, sf_dir, "pages").select("page_id", F.expr(_TREE).alias("html")))
+    return e.select("page_id", "el_id", "parent_id", "tag", "line", "fault", F.element_at("attrs", F.lit("id")).alias("id"), F.array_join("ancestors", ",").alias("above"))

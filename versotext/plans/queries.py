@@ -412,12 +412,6 @@ def html_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.proposals(html.elements(table(spark, sf_dir, "pages")))
 
 
-@query()
-def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accessibility findings of pages by rule."""
-    return seo.document_rules(html.elements(table(spark, sf_dir, "pages"))).groupBy("rule", "severity").agg(F.count("*").alias("n"))
-
-
 # --- drift -------------------------------------------------------------------------------------------
 
 @query(sql("keys", "snapshot") + " select 'missing' as side, key from keys k where derives_from is null and not exists (select 1 from snapshot_default s where s.key = k.key)")
@@ -547,13 +541,6 @@ def near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.near_windows(short, role(spark, sf_dir, "documents_text"))
 
 
-@query("with p as (select p_partkey as id, string_split(lower(p_name), ' ') as w from part where len(string_split(lower(p_name), ' ')) >= 4), q as (select o_orderkey as id from orders where false) select a.id as left_id, b.id as right_id from p a join p b on a.id < b.id and len(a.w) = len(b.w) where list_sum(list_transform(range(1, len(a.w) + 1), lambda i: (a.w[i] <> b.w[i])::integer)) = 1")
-def near_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names one word apart."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return texts.near_repeats(parts, parts, same=True)
-
-
 @query("select event_id, event_type || '_' || (row_number() over (partition by event_type order by event_id) - 1) as name from events qualify row_number() over (partition by event_type order by event_id) > 1 union all select event_id, event_type from events qualify row_number() over (partition by event_type order by event_id) = 1")
 def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, A15 with nothing taken."""

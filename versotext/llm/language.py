@@ -5,14 +5,13 @@ Sparse multinomial logistic regression on TF-IDF weights of character n-grams
 elastic-net penalties; a temperature fitted on held-back rows calibrates the
 probabilities.
 
-The classifier, its inverse document frequencies included, is fitted on a bounded
-sample of labelled rows (``per_language`` rows of each language). Prediction
-runs over all rows and whole texts without a shuffle.
+The classifier is fitted on a bounded sample of labelled rows (``per_language`` rows
+of each language); its inverse document frequencies are counted over all of them.
+Prediction runs over all rows and whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versotext.llm.text import bounded_sample, id_and_text, pieces, raw_texts, remainder
+from versotext.llm.text import bounded_sample, has_letter, id_and_text, pieces, raw_texts, remainder
 
-LETTER = re.compile(r"[^\W\d_]")
 BITS = 15
 BUCKETS = 3 << BITS
 #: Counts of all buckets are added up in parts of so many buckets.
@@ -173,16 +171,13 @@ def _document_frequency(rows: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> Model | None:
     """Fit on at most ``per_language`` rows of each language among the rows where ``eligible`` holds.
 
-    The rows are chosen by a hash of the id. Document frequencies are counted over all rows where ``eligible`` holds.
+    The rows are chosen by a hash of id and text, equal rows counted once; the bound holds in the plan.
+    Document frequencies are counted over all rows where ``eligible`` holds.
     """
     rows = docs.where(eligible).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    sample = bounded_sample(rows, F.col("doc_id"), counts, "lang", per_language).select("text", "lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
-    kept: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["h"] % (1 << 24), r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
-        kept.setdefault(r["lang"], []).append(r["text"])
-    pairs = [(t, lang) for lang, texts in sorted(kept.items()) for t in texts[:per_language]]
-    return fit([t for t, _ in pairs], [lang for _, lang in pairs], corpus=(_document_frequency(rows), sum(counts.values()))) if pairs else None
+    chosen, counts = bounded_sample(rows, "lang", per_language)
+    pairs = sorted((r["lang"], r["place"], r["text"]) for r in chosen.select("lang", "place", "text").collect())
+    return fit([t for _, _, t in pairs], [lang for lang, _, _ in pairs], corpus=(_document_frequency(rows), sum(counts.values()))) if pairs else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +194,7 @@ def _predictor(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2_000_000):
             texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raw_texts(batch)]
-            lettered = np.array([LETTER.search(t) is not None for t in texts])
+            lettered = np.array([has_letter(t) for t in texts])
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if model is not None and lettered.any():
                 p = model.probabilities(texts)
@@ -223,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, te
         for batch in batches:
             for part in pieces([batch.rename_columns([str(i) for i in range(len(names))])], str(place), 2_000_000):
                 texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raw_texts(part, str(place))]
-                kept = np.array([LETTER.search(t) is not None for t in texts])
+                kept = np.array([has_letter(t) for t in texts])
                 if model is not None and kept.any():
                     kept &= model.probabilities(texts).max(axis=1) >= least
                 yield part.filter(pa.array(kept)).rename_columns(names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versotext.llm.text import bounded_sample, id_and_text, pieces, raw_texts
+from versotext.llm.text import first_places, id_and_text, pieces, raw_texts, sample_place, sample_rates
 
 GOOD, NONE, BAD = "+", "0", "-"
 LABELLERS = ("symbols", "variety", "lines", "capitals", "word_length", "top_word", "endings", "marked_words", "tables")
@@ -149,8 +149,8 @@ def fit(texts: list[bytes], posterior: list[float], steps: int = 120, l2: float
 def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, threshold: float = 0.5) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1, higher is better), ``keep`` (score >= threshold), ``posterior`` and ``votes`` of every row.
 
-    The scorer is fitted on at most ``sample`` rows of each likelier class; vote patterns are
-    counted over all rows. Null and empty texts get the votes all bad and are scored like
+    The scorer is fitted on at most ``sample`` rows of each likelier class, chosen by a hash of id and
+    text, equal rows counted once; vote patterns are counted over all rows. Null and empty texts get the votes all bad and are scored like
     any other. A null id stays null; repeated rows get a row each; other columns are ignored.
     """
     own = id_and_text(docs, id_col, text_col)
@@ -168,21 +168,19 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for votes, n in patterns.items():
         classes[posterior[votes] >= 0.5] += n
 
+    # a class's rows are taken up to a place that its size sets, so few texts leave their tasks; the bound holds in the plan
+    stops = sample_rates(classes, sample)
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             p = [posterior[measure(raw or b"")[0]] for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text")), pa.array(p, pa.float64()), pa.array([x >= 0.5 for x in p], pa.bool_())], ["doc_id", "text", "p", "good"])
-
-    # the sample is cut by a hash first, so that few texts leave their tasks
-    rate = min(1.0, 3 * sample / max(min(classes.values(), default=1), 1))
-    labelled = own.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)))).mapInArrow(label, "doc_id long, text string, p double, good boolean")
-    chosen = bounded_sample(labelled, F.col("doc_id"), {k: max(n * rate, 1) for k, n in classes.items()}, "good", sample).collect() if classes else []
-    kept: dict[bool, list] = {True: [], False: []}
-    for r in sorted(chosen, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])):
-        if len(kept[r["good"]]) < sample:
-            kept[r["good"]].append((r["text"].encode("utf-8", "replace"), r["p"]))
-    rows = kept[False] + kept[True]
-    model = fit([t for t, _ in rows], [p for _, p in rows])
+            taken = [place < stops[x >= 0.5] for x, place in zip(p, batch.column("place").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("text"), pa.array(p, pa.float64()), pa.array([x >= 0.5 for x in p], pa.bool_())], ["place", "text", "p", "good"]).filter(pa.array(taken, pa.bool_()))
+
+    placed = own.where("text is not null").withColumn("place", sample_place()).where(F.col("place") < F.lit(max(stops.values(), default=0)))
+    chosen = first_places(placed.mapInArrow(label, "place long, text string, p double, good boolean"), "good", sample)
+    rows = sorted((r["good"], r["place"], r["text"].encode("utf-8", "replace"), r["p"]) for r in chosen.collect())
+    model = fit([t for _, _, t, _ in rows], [p for *_, p in rows])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

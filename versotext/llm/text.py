@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ``bytes.translate`` table: A-Z to lower case, other ASCII that is neither digit nor letter to a space.
 WORD_TABLE = bytes(
@@ -52,6 +53,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts[at] - (stops - n), n) + np.arange(total)]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's letter categories stands in the text; number signs such as Ⅷ or ½ are none."""
+    return any(map(str.isalpha, text))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns in use, under fixed names, so that other columns can't clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -65,8 +71,8 @@ def remainder(id_column: Column, modulus: int) -> Column:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as
-    in tests on one machine, a folder under the warehouse is used.
+    ``spark.checkpoint.dir`` is read from the session. Only in a local session without it, as
+    in tests, a folder under the warehouse is used; any other session fails.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -91,20 +97,51 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         current = context.getCheckpointDir()
     return named or current
 
 
-def bounded_sample(df: DataFrame, key: Column, counts: dict, by: str, each: int) -> DataFrame:
-    """At most about ``2 * each`` rows for each value of ``by``, chosen by a hash of ``key``; the caller cuts to ``each``.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of written files, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Hashes of rows are places among so many.
+PLACES = 1 << 40
+
+
+def sample_place(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """A row's place among ``PLACES``: a hash of its id and its text, so that rows with a null or a repeated id are spread too."""
+    return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column), F.col(text_column)), F.lit(PLACES))
+
+
+def sample_rates(sizes: dict, each: int) -> dict:
+    """Of each value the first place that is no longer taken, so that about ``1.5 * each`` rows are."""
+    return {value: min(PLACES, int(1.5 * each / max(n, 1) * PLACES)) for value, n in sizes.items()}
+
+
+def first_places(df: DataFrame, by: str, each: int, place: str = "place") -> DataFrame:
+    """At most ``each`` rows of each value of ``by``: those of the smallest places, rows of one place counted once.
+
+    The bound holds in the plan: a task hands on a place once, and no more than ``each`` rows of a value.
+    """
+    one = df.groupBy(by, place).agg(*(F.first(c).alias(c) for c in df.columns if c not in (by, place)))
+    best = Window.partitionBy(by).orderBy(place)
+    return one.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= each).drop("__rank")
+
+
+def bounded_sample(df: DataFrame, by: str, each: int) -> tuple[DataFrame, dict]:
+    """At most ``each`` distinct rows (doc_id, text) of each value of ``by``, with their ``place``; and each value's number of rows.
 
-    ``counts`` holds the number of rows of each value, so the rate falls as the table grows.
+    All rows are counted; those taken are the ones of the smallest hashes, whatever the ids are.
     """
-    if not counts:
-        return df.limit(0)
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 24)) / float(1 << 24)
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, 1.5 * each / max(n, 1)))).otherwise(rate)
-    return df.where(place < rate)
+    placed = df.withColumn("place", sample_place())
+    counted = placed.groupBy(by).agg(F.count("*").alias("n"), F.approx_count_distinct("place", 0.02).alias("d")).collect()
+    limit = F.lit(0)
+    for value, stop in sample_rates({r[by]: r["d"] for r in counted}, each).items():
+        limit = F.when(F.col(by) == F.lit(value), F.lit(stop)).otherwise(limit)
+    return first_places(placed.where(F.col("place") < limit), by, each), {r[by]: r["n"] for r in counted}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versotext.llm.text import bounded_sample, id_and_text, pieces, plain_words, raw_texts, remainder
+from versotext.llm.text import bounded_sample, first_places, id_and_text, pieces, plain_words, raw_texts, remainder, sample_place
 
 #: Group terms that may be swapped for one another, by kind.
 IDENTITY_TERMS = {
@@ -140,21 +140,19 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, step
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held: int = 0, per_label: int = 2500) -> Model:
-    """Fit on at most ``per_label`` rows of each label, none of those whose crc32(id) modulo ``modulus`` is ``held``.
+    """Fit on at most ``per_label`` rows of each label, chosen by a hash of the id, none of those whose crc32(id) modulo ``modulus`` is ``held``.
 
     Null labels and ids are left out; a document with several labels counts as 1 if one is 1.
     """
     rows = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     rows = rows.where("doc_id is not null and y in (0, 1)").where(remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = bounded_sample(rows, F.col("doc_id"), counts, "y", per_label)
-    # at most 3 * per_label rows of two integers: small whatever the size of the corpus
-    sample = id_and_text(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    kept: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"])):
-        if len(kept[r["y"]]) < per_label:
-            kept[r["y"]].append(r["text"].encode("utf-8", "replace"))
-    return fit(kept[0] + kept[1], [0] * len(kept[0]) + [1] * len(kept[1]))
+    chosen, _ = bounded_sample(rows.withColumn("text", F.lit("")), "y", per_label)
+    # at most per_label rows of each label, of two integers: small whatever the size of the corpus
+    own = id_and_text(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    # an id may stand in many rows of documents: the bound holds again for its texts
+    sample = first_places(own.select("y", "text", sample_place().alias("place")), "y", per_label)
+    kept = sorted((r["y"], r["place"], r["text"].encode("utf-8", "replace")) for r in sample.collect())
+    return fit([t for *_, t in kept], [y for y, *_ in kept])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

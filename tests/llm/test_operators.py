@@ -370,16 +370,88 @@ def test_toxicity(spark, docs, no_docs):
     assert toxicity.score_toxicity(no_docs, labels).collect() == []
 
 
-def test_swapped_terms_change_little():
-    rows = _toxic_rows(800, 2)
-    texts, y = [t.encode() for _, t, _ in rows], [v for _, _, v in rows]
-    plain, fair = toxicity.fit(texts, y, swap=0.0), toxicity.fit(texts, y, swap=5.0)
-
-    def change(model):
-        return np.mean([abs(model.score(set(plain_words(t.replace(b"women", b"men")))) - model.score(set(plain_words(t)))) for t in texts if b"women" in t])
-
-    assert change(fair) < change(plain) or change(plain) < 1e-3
-    assert fair.score(set(b"women stand here".split())) < 0.5
+def test_fewer_false_positives_on_neutral_mentions():
+    """Toxic rows name one group far more often than others do: only without the penalty the group itself looks toxic."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("aeinrstlo") for _ in range(5)) for _ in range(300)]
+    for group, others in ((b"women", [b"men", b"girls", b"boys"]), (b"muslime", [b"christen", b"juden"]), (b"judios".replace(b"i", "í".encode()), [b"ateos"]), (b"africains", [b"noirs"])):
+        rows = []
+        for i in range(800):
+            words = [r.choice(vocabulary) for _ in range(25)]
+            if i % 4 == 0:
+                # a third is toxic by words of its own that the fit sees once, so that the group term is what it can hold on to
+                words[3] = r.choice(["idiot", "scum", "moronic", f"slur{i}"])
+                words[5] = group.decode()
+            elif i % 40 == 1:
+                words[5] = group.decode()
+            elif i % 40 == 2:
+                words[5] = r.choice(others).decode()
+            rows.append((" ".join(words).encode(), int(i % 4 == 0)))
+        texts, y = [t for t, _ in rows], [v for _, v in rows]
+        plain, fair = toxicity.fit(texts, y, swap=0.0), toxicity.fit(texts, y, swap=5.0)
+        neutral = [" ".join([*(r.choice(vocabulary) for _ in range(20)), group.decode()]).encode() for _ in range(200)]
+
+        def wrong(model, rows=neutral):
+            return np.mean([model.score(set(plain_words(t))) >= 0.5 for t in rows])
+
+        def change(model, group=group, others=others, rows=neutral):
+            return np.mean([abs(model.score(set(plain_words(t.replace(group, others[0])))) - model.score(set(plain_words(t)))) for t in rows])
+
+        assert wrong(plain) > 0.15 and wrong(fair) < 0.02
+        assert change(fair) < 0.1 * change(plain)
+        toxic = [t for t, v in rows if v and b"slur" not in t]
+        assert wrong(fair, toxic) > 0.95
+
+
+def test_swapped_copies():
+    own = set("the women and the muslim baker".encode().split())
+    copies = toxicity.swapped_copies(own, 12)
+    assert copies[0] == {b"the", b"and", b"baker"} and all(len(c & toxicity.TERMS) == 2 for c in copies[1:])
+    assert {b"the", b"and", b"baker", b"men", b"jew"} in copies and len(copies) == 11
+    assert toxicity.swapped_copies({b"no", b"group"}, 12) == []
+    assert len(toxicity.swapped_copies(own, 3)) == 4
+
+
+def test_toxicity_edges_with_a_fitted_model(docs):
+    rows = _toxic_rows(400, 5)
+    model = toxicity.fit([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    assert model.words
+    out = toxicity.score(docs, model).collect()
+    expected = [(r["doc_id"], model.score(set(plain_words((r["text"] or "").encode())))) for r in docs.collect()]
+    assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)
+    bias = float(1 / (1 + np.exp(-model.bias)))
+    assert all(abs(r["score"] - bias) < 1e-12 for r in out if r["doc_id"] in (5, 6, 7))
+
+
+# one sampler for 4, 6 and 10 --------------------------------------------------------------
+
+
+def test_samples_are_bounded(spark):
+    """A million rows without an id, classes of 1 to 1000, an id that stands in very many rows: the bound holds in the plan."""
+    from versotext.llm import text as helpers
+
+    big = spark.range(1_000_000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text", "if(id % 1000 = 0, 'rare', 'big') as c")
+    taken, counts = helpers.bounded_sample(big, "c", 300)
+    rows = taken.collect()
+    assert counts == {"rare": 1000, "big": 999_000}
+    assert [sum(r["c"] == c for r in rows) for c in ("rare", "big")] == [300, 300]
+    low = sum(int(r["text"][1:]) < 500_000 for r in rows if r["c"] == "big")
+    assert 90 < low < 210
+    same = spark.range(200_000).selectExpr("cast(5 as long) as doc_id", "if(id < 50, concat('t', id), 'same') as text", "'c' as c")
+    rows = helpers.bounded_sample(same, "c", 30)[0].collect()
+    assert len(rows) == 30 and len({r["text"] for r in rows}) == 30
+    assert helpers.bounded_sample(big.limit(0), "c", 30)[0].collect() == []
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Two classes of very different size, all ids null: no more than the bound reaches the fit, of either class."""
+    good = "\n".join(" ".join(["morning", "birds", "sang", "over", "quiet", "fields", "again", "today"]) + f" {k}." for k in range(5))
+    rows = spark.range(60_000).selectExpr("cast(null as long) as doc_id", f"if(id % 600 = 0, concat(repeat('&&&### ', 60), id), concat('{good}', id, '.')) as text")
+    got = {}
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, posterior, **more: (got.update(p=posterior), real(texts, posterior, **more))[1])
+    quality.classify_quality(rows, sample=50)
+    assert sum(p >= 0.5 for p in got["p"]) == 50 and sum(p < 0.5 for p in got["p"]) == 50
 
 
 # 7: top k --------------------------------------------------------------------------------
@@ -623,6 +695,15 @@ def test_language(spark, docs, no_docs):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()}.isdisjoint({5, 6, 7, 12})
 
 
+def test_number_signs_are_no_letters(spark):
+    rows = [(i, t) for i, t in enumerate(["½", "²", "Ⅷ", "①", "१२३", "_", "a", "é", "日", "ª", "42 m", ""])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = language.fit(["ab cd", "xy z"] * 30, ["u", "v"] * 30)
+    out = {x["doc_id"]: x["lang_pred"] for x in language.predict(frame, model).collect()}
+    assert [i for i in out if out[i] != "und"] == [6, 7, 8, 9, 10]
+    assert {x["doc_id"] for x in language.keep_identified(frame, model, 0.0).collect()} == {6, 7, 8, 9, 10}
+
+
 def test_language_counts_all_rows_and_samples_all_ids(spark, monkeypatch):
     r = random.Random(15)
     rows = [(i, " ".join(r.choice(["der", "und", "the", "straße", "日本", f"w{i}"]) for _ in range(r.randint(0, 9))), "a" if i % 3 else "b") for i in range(900)] + [(None, "x y", "a"), (900, None, "a"), (901, "no language", None)]

@@ -1,12 +1,12 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 Logistic regression on the words that stand in a text and on how they begin
-(4 to 7 bytes), which catches inflected forms. For each labelled text
-that names a group, copies with the group's term swapped for each other term of
-the same kind are made, and the squared change of the score is a penalty; so is
-the score a group term adds by itself, since swapping it for no group must not
-change the score either. Neutral mentions then stay neutral even if group terms
-stand more often in toxic rows.
+(4 to 7 bytes), which catches inflected forms. Of each labelled text that names a
+group, copies are made in which each group term is swapped for another one of the
+same kind, number and language, and one in which the terms are taken out. The squared
+change of the linear score from the text to its copies is a penalty of the fit, so what
+a text says about a group weighs, not which group it is or that one is named: neutral
+mentions stay neutral even if group terms stand more often in toxic rows.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_label`` of
 each label); scoring runs over all rows and whole texts without a shuffle.
@@ -14,7 +14,6 @@ each label); scoring runs over all rows and whole texts without a shuffle.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +23,41 @@ from pyspark.sql import functions as F
 
 from versotext.llm.text import bounded_sample, first_places, id_and_text, pieces, plain_words, raw_texts, remainder, sample_place
 
-#: Group terms that may be swapped for one another, by kind.
-IDENTITY_TERMS = {
-    "gender": ("women", "men", "woman", "man", "girls", "boys", "female", "male", "transgender", "nonbinary"),
-    "religion": ("christian", "christians", "muslim", "muslims", "jewish", "jews", "hindu", "hindus", "buddhist", "atheist", "catholic", "sikh"),
-    "ethnicity": ("black", "white", "asian", "latino", "african", "arab", "european", "indigenous", "roma"),
-    "orientation": ("gay", "lesbian", "straight", "bisexual", "queer", "heterosexual"),
-    "nationality": ("american", "mexican", "chinese", "german", "french", "spanish", "russian", "indian", "turkish", "polish"),
-    "ability": ("deaf", "blind", "disabled", "autistic"),
-    "age": ("old", "young", "elderly", "teenagers"),
-}
-
-
-TERMS = frozenset(t.encode() for terms in IDENTITY_TERMS.values() for t in terms)
+#: Group terms that may be swapped for one another; a line for each language, kind and number.
+IDENTITY_TERMS = (
+    ("women", "men", "girls", "boys", "females", "males", "lesbians", "gays", "queers", "transgenders"),
+    ("woman", "man", "girl", "boy", "female", "male", "lesbian", "gay", "queer", "transgender", "nonbinary", "bisexual", "heterosexual", "homosexual"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants", "sikhs", "mormons"),
+    ("christian", "muslim", "jew", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant", "sikh", "mormon"),
+    ("blacks", "whites", "asians", "latinos", "africans", "arabs", "europeans", "natives", "immigrants", "refugees"),
+    ("black", "white", "asian", "latino", "african", "arab", "european", "indigenous", "roma", "immigrant", "refugee"),
+    ("americans", "mexicans", "germans", "russians", "indians", "turks", "poles", "italians", "canadians", "israelis"),
+    ("american", "mexican", "chinese", "german", "french", "spanish", "russian", "indian", "turkish", "polish", "italian", "japanese"),
+    ("deaf", "blind", "disabled", "autistic"),
+    ("elderly", "teenagers", "seniors", "pensioners"),
+    ("frauen", "männer", "mädchen", "jungen", "lesben", "schwule"),
+    ("frau", "mann", "lesbe", "schwuler"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer", "einwanderer", "flüchtlinge"),
+    ("amerikaner", "mexikaner", "chinesen", "deutsche", "franzosen", "spanier", "russen", "inder", "türken", "polen"),
+    ("femmes", "hommes", "filles", "garçons", "lesbiennes", "homosexuels"),
+    ("femme", "homme", "fille", "garçon", "lesbienne", "homosexuel"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("noirs", "blancs", "asiatiques", "africains", "arabes", "européens", "immigrés", "réfugiés"),
+    ("américains", "mexicains", "chinois", "allemands", "français", "espagnols", "russes", "indiens", "turcs", "polonais"),
+    ("mujeres", "hombres", "niñas", "niños", "lesbianas", "homosexuales"),
+    ("mujer", "hombre", "niña", "niño", "lesbiana", "homosexual"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"),
+    ("negros", "blancos", "asiáticos", "africanos", "árabes", "europeos", "inmigrantes", "refugiados"),
+    ("americanos", "mexicanos", "chinos", "alemanes", "franceses", "españoles", "rusos", "indios", "turcos", "polacos"),
+)
+
+#: Where each term stands: the first line that holds it.
+LINE = {t.encode(): line for line, terms in reversed(list(enumerate(IDENTITY_TERMS))) for t in terms}
+TERMS = frozenset(LINE)
 
 #: How many first bytes of a longer word are a feature besides the word.
 BEGINNINGS = (4, 5, 6, 7)
@@ -51,8 +72,8 @@ def features(words: set[bytes]) -> set[bytes]:
 class Model:
     """A weight for each word and, by length, for each beginning of a word."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
-        self.bias = bias
+    def __init__(self, weights: dict[bytes, float], bias: float, blank: bool = False):
+        self.bias, self.blank = bias, blank
         self.words = {w: v for w, v in weights.items() if not w.endswith(b"*")}
         self.begin = [(n, own) for n in BEGINNINGS if (own := {w[:-1]: v for w, v in weights.items() if w.endswith(b"*") and len(w) == n + 1})]
 
@@ -64,56 +85,65 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, steps: int = 300, l1: float = 6e-4, l2: float = 1e-4, swap: float = 1.0) -> Model:
+def swapped_copies(words: set[bytes], copies: int) -> list[set[bytes]]:
+    """The text's words with each group term swapped for the next, next but one, ... of its line, and with all of them taken out.
+
+    A swap for every other term of the longest line, ``copies`` at most.
+    """
+    named = sorted(words & TERMS)
+    if not named:
+        return []
+    rest = words - TERMS
+    out = [rest]
+    lines = [[t.encode() for t in IDENTITY_TERMS[LINE[w]]] for w in named]
+    for step in range(1, min(copies + 1, max(map(len, lines)))):
+        other = {own[(own.index(w) + step) % len(own)] for w, own in zip(named, lines, strict=True)}
+        if other != set(named):
+            out.append(rest | other)
+    return out
+
+
+def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, steps: int = 300, l1: float = 6e-4, l2: float = 1e-4, swap: float = 1.0, copies: int = 12) -> Model:
     """Proximal full-batch Adam on logistic loss, elastic net and the swap penalty.
 
-    Without rows of both labels the score is the share of label 1 (0.5 without rows).
+    The penalty is ``swap`` times the mean squared change of the linear score from the texts that
+    name a group to their copies. Without rows of both labels the score is the share of label 1 (0.5 without rows).
     """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-        return Model({}, float(np.log(p / (1 - p))))
-    group = {t.encode(): kind for kind, terms in IDENTITY_TERMS.items() for t in terms}
+        return Model({}, float(np.log(p / (1 - p))), blank=not len(y))
     # every feature is kept once; a text is the numbers of its features
     number: dict[bytes, int] = {}
-    named: list[set[bytes]] = []
-    rows = []
+    rows, changes = [], []
     for t in texts:
         words = set(plain_words(t))
-        named.append(words & group.keys())
-        rows.append(np.fromiter((number.setdefault(f, len(number)) for f in features(words)), dtype=np.int32))
+        own = features(words)
+        rows.append(np.fromiter((number.setdefault(f, len(number)) for f in own), dtype=np.int32))
+        for copy in swapped_copies(words, copies):
+            other = features(copy)
+            changes.append([(number.setdefault(f, len(number)), 1.0) for f in other - own] + [(number.setdefault(f, len(number)), -1.0) for f in own - other])
     lengths = np.array([len(r) for r in rows])
     col = np.concatenate(rows)
     frequency = np.bincount(col, minlength=len(number))
     least = 2 if len(rows) < 2000 else 4
     keep = frequency >= least
-    keep[[number[t] for t in group if t in number]] = True
+    keep[[number[t] for t in TERMS if t in number and frequency[number[t]]]] = True
     names = np.array(list(number), dtype=object)
     chosen = np.flatnonzero(keep)
     chosen = chosen[np.lexsort((names[chosen], -frequency[chosen]))][:max_features]
     vocabulary = names[chosen].tolist()
     del number, names
-    place = {w: i for i, w in enumerate(vocabulary) if w in group}
     new = np.full(len(keep), -1, dtype=np.int32)
     new[chosen] = np.arange(len(chosen))
     row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     col = new[col]
     row, col = row[col >= 0], col[col >= 0]
-    # swaps: a text with term a is worth as much with term b of its kind, and with no term
-    pairs: Counter[tuple[int, int]] = Counter()
-    alone: Counter[int] = Counter()
-    by_kind = {kind: [place[t.encode()] for t in terms if t.encode() in place] for kind, terms in IDENTITY_TERMS.items()}
-    for terms in named:
-        for term in terms:
-            if term in place:
-                alone[place[term]] += 1
-                for other in by_kind[group[term]]:
-                    if other != place[term]:
-                        pairs[(place[term], other)] += 1
-    a = np.array([p[0] for p in pairs], dtype=np.int64)
-    b = np.array([p[1] for p in pairs], dtype=np.int64)
-    weight = np.array(list(pairs.values()), dtype=np.float64) / len(rows)
-    alone_at, alone_n = np.array(list(alone), dtype=np.int64), np.array(list(alone.values()), dtype=np.float64) / len(rows)
+    # by copy: which features come (1) and go (-1); those that no text holds weigh nothing
+    copy_of = np.repeat(np.arange(len(changes)), [len(c) for c in changes]).astype(np.int64)
+    copy_col = new[np.array([i for c in changes for i, _ in c], dtype=np.int64)]
+    sign = np.array([v for c in changes for _, v in c])
+    copy_of, copy_col, sign = copy_of[copy_col >= 0], copy_col[copy_col >= 0], sign[copy_col >= 0]
 
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** 0.5
     balance /= balance.sum()
@@ -123,11 +153,9 @@ def fit(texts: list[bytes], labels: list[int], max_features: int = 1 << 17, step
         z = bias + np.bincount(row, weights=w[col], minlength=len(rows))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
         g = np.bincount(col, weights=error[row], minlength=len(w)) + l2 * w
-        if len(a):
-            change = swap * 2 * weight * (w[a] - w[b])
-            g += np.bincount(a, weights=change, minlength=len(w)) - np.bincount(b, weights=change, minlength=len(w))
-        if len(alone_at):
-            g[alone_at] += swap * 2 * alone_n * w[alone_at]
+        if len(copy_col):
+            change = np.bincount(copy_of, weights=sign * w[copy_col], minlength=len(changes))
+            g += np.bincount(copy_col, weights=sign * change[copy_of], minlength=len(w)) * (2 * swap / len(changes))
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -170,7 +198,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose text scores below ``threshold``; null and empty texts stay."""
+    """The rows, all columns kept, whose text scores below ``threshold``; null and empty texts stay.
+
+    A model that learned from no label says nothing of any text: all rows stay.
+    """
+    if model.blank:
+        return docs
     names = docs.columns
     place = names.index(text_col)
 

@@ -459,39 +459,86 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
 
 def brute_top(rows, k):
     clean = [(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in clean:
+    out = []
+    for q, a in sorted(set(clean)):
         if q % 50 == 0:
-            scores = sorted({(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in clean if i != q and len(b) == len(a)})
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in clean if i != q and len(b) == len(a))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16_384, 40])
+@pytest.mark.parametrize("block", [32_768, 40])
 def test_top_k(spark, block):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(r.normal(size=6) * (3 if i % 7 else 0.01), 2)]) for i in range(230)]
-    rows += [(300, rows[0][1]), (350, rows[0][1]), (301, rows[0][1]), (400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, rows[1][1]), (5, rows[5][1])]
+    rows += [(300, rows[0][1]), (350, rows[0][1]), (301, rows[0][1]), (400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, rows[1][1]), (5, rows[5][1]), (5, rows[5][1]), (300, rows[0][1]), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (452, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("x")).withColumn("id", F.lit("x"))
-    out = cover_tree.top_k(frame, F.col("vec_id") % 50 == 0, block=block, query_block=3)
     expected = brute_top([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5)
-    assert {tuple(x) for x in out.collect()} == expected
+    for sample in (2048, 20):
+        out = cover_tree.top_k(frame, F.col("vec_id") % 50 == 0, block=block, query_block=3, sample=sample)
+        assert sorted(tuple(x) for x in out.collect()) == expected
     few = frame.where("vec_id in (0, 1, 2)")
     assert cover_tree.top_k(few, F.col("vec_id") % 50 == 0).count() == 2
     assert cover_tree.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [1e12, -3e14]), (1, [2e12, 5e14]), (2, [1e18, 1e18]), (3, [-1e18, -1e18]), (4, [1.0, 1e30]), (50, [3e4, 1e5])]
+    out = cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    top = 2**63
+    cut = [(i, [max(-top, min(top - 1, int(np.floor(256 * x)))) / 256 for x in v]) for i, v in rows]
+    assert [(x["query_id"], x["vec_id"]) for x in out.orderBy("query_id", "rank").collect()] == [(q, i) for q, _, i, _ in brute_top(cut, 5)]
+
+
+def clusters(n, size, d, spread, seed):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(n, d)) * 900
+    return np.floor(np.vstack([c + r.normal(size=(size, d)) * spread for c in centres])).astype(np.int64)
+
+
+def test_cover_tree_invariants():
+    r = np.random.default_rng(6)
+    for x in (clusters(40, 60, 16, 20, 1), r.normal(size=(900, 3)) * 1000, np.repeat(r.normal(size=(30, 5)), 40, axis=0), r.normal(size=(2000, 64)), np.zeros((500, 4))):
+        tree = cover_tree.CoverTree(x, 8)
+        below = tree.below()
+        assert sorted(below[0].tolist()) == list(range(len(x)))
+        for node, rows in enumerate(below):
+            point = tree.x[tree.point[node]]
+            far = np.linalg.norm(tree.x[rows] - point, axis=1).max()
+            assert abs(far - tree.radius[node]) < 1e-6 and far <= 2.0 ** tree.level[node] + 1e-9 and len(rows) == tree.size[node]
+            own = tree.children[node]
+            if own:
+                assert tree.point[node] in [tree.point[c] for c in own] and all(tree.level[c] <= tree.level[node] - 1 for c in own)
+                places = tree.x[[tree.point[c] for c in own]]
+                apart = np.linalg.norm(places[:, None] - places[None], axis=2)[~np.eye(len(own), dtype=bool)]
+                assert (apart > 2.0 ** (tree.level[node] - 1)).all()
+                for c in own:  # nearest of the siblings
+                    d = np.linalg.norm(tree.x[below[c]][:, None] - places[None], axis=2)
+                    assert (d.min(axis=1) >= np.linalg.norm(tree.x[below[c]] - tree.x[tree.point[c]], axis=1) - 1e-6).all()
+    assert len(cover_tree.CoverTree(clusters(40, 60, 16, 20, 1), 8).cut(50)) >= 40
+
+
 def test_dual_trees_prune_exactly():
-    r = np.random.default_rng(8)
-    centres = r.normal(size=(12, 16)) * 900
-    x = np.floor(np.vstack([c + r.normal(size=(300, 16)) * 30 for c in centres])).astype(np.int64)
+    x = clusters(60, 300, 16, 30, 8)
     q = np.arange(0, len(x), 50)
-    place, ids, score = cover_tree.search(x[q], q, x, np.arange(len(x)), 5)
+    counts = {}
+    place, ids, score = cover_tree.search(x[q], q, x, np.arange(len(x)), 5, counts=counts)
     full = x[q] @ x.T
     full[np.arange(len(q)), q] = np.iinfo(np.int64).min
     for n in range(len(q)):
         order = np.lexsort((np.arange(len(x)), -full[n].astype(np.float64)))[:5]
         assert ids[place == n].tolist() == order.tolist() and score[place == n].tolist() == full[n][order].tolist()
+    assert counts["compared"] < 0.2 * counts["all"]
+
+
+def test_pairs_of_cells_are_skipped_before_the_shuffle(spark):
+    x = clusters(30, 100, 8, 15, 9)
+    rows = [(i, (v / 256).tolist()) for i, v in enumerate(x)]
+    counts = {}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = cover_tree.top_k(frame, F.col("vec_id") % 50 == 0, block=100, query_block=2, counts=counts)
+    assert sorted(map(tuple, out.collect())) == brute_top(rows, 5)
+    assert counts["kept"] < 0.3 * counts["all"] and counts["all"] > 400
 
 
 # 8: WARC ----------------------------------------------------------------------------------

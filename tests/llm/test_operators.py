@@ -62,7 +62,7 @@ def test_jaccard_edges(docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted({v for v in expected.values()}) and ids.count(None) == 1
 
 
-@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("block", [1024, 64, 8])
 def test_jaccard_random(spark, block):
     r = random.Random(block)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -42,6 +42,8 @@ from versotext.llm.text import id_and_text, pieces, raw_texts, release, shared_c
 
 #: A-Z to lower case; the white space of the word pattern to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
+#: Bytes of text for each bucket of the first pass.
+BUCKET_BYTES = 128 << 20
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
 
 
@@ -334,7 +336,7 @@ def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, list[b
 
 # --- the join ---------------------------------------------------------------------
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with the same set) and component_id.
 
     ``component_id`` is the smallest id reachable by links, the row's own included.
@@ -343,7 +345,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one node with several texts. Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = id_and_text(docs, id_col, text_col)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +358,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(prints, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "shingles"])
 
     nodes = own.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "uid")
+    # about half a byte is shuffled for each byte of text; a bucket is read by one task
+    size = nodes.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     possible = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text")
     sets = possible.mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
     ones = shared_checkpoint(sets.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
@@ -424,6 +428,23 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
         found = [(b + i, b + j) for b, e in zip(begin, [*begin[1:], len(g)], strict=True) if e - b > 1 for i, j in search_blocks(sets[b:e], None, percent)]
         return _edges(ids, found)
 
+    edge = "a long, b long"
+    links = small.select("task", "g", "c", "shingles").groupBy("task").applyInArrow(inside, edge)
+    large = groups.where(F.col("members") > block)
+    return links if large.isEmpty() else links.unionByName(_large_links(ones, keys, heads, large, percent, block))
+
+
+def _large_links(ones: DataFrame, keys: DataFrame, heads: DataFrame, large: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges that span the links inside the groups of ``large`` (c, g, members); ``keys`` are the short lists (c, h), ``heads`` each one's smallest class."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                found.append(linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("head")], ["c", "head"]).filter(pa.array(found, pa.bool_()))
+
     def against(group: pa.Table) -> pa.Table:
         sides = [group.filter(pc.equal(group["side"], s)) for s in (0, 1)]
         sets = [[np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()] for t in sides]
@@ -432,14 +453,29 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
             return _edges(ids, [])
         return _edges(ids, search_blocks(sets[0], sets[1] or None, percent))
 
-    edge = "a long, b long"
-    links = small.select("task", "g", "c", "shingles").groupBy("task").applyInArrow(inside, edge)
-    # a group above the block size is dealt into blocks, and each pair of blocks is a task
-    large = ones.join(groups.where(F.col("members") > block), "c").withColumn("n_blocks", F.ceil(F.col("members") / block).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
-    pairs = large.select("g", "c", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    pairs = pairs.select("g", "c", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return links.unionByName(pairs.groupBy("g", "i", "j").applyInArrow(against, edge))
+    own = keys.join(large.select("c", "g", "members"), "c")
+    # of each class the head that most of its short lists have
+    near = own.join(heads, "h").groupBy("c", "g", "members", "head").agg(F.count("*").alias("k"))
+    near = near.groupBy("c", "g", "members").agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("best"))
+    near = near.select("c", "g", "members", (-F.col("best.head")).alias("head"))
+    both = near.where("c <> head").select("c", "head").join(ones.select("c", F.col("shingles").alias("own")), "c")
+    both = both.join(ones.select(F.col("c").alias("head"), F.col("shingles").alias("other")), "head").select("c", "head", "own", "other")
+    stars = shared_checkpoint(both.mapInArrow(compare, "c long, head long"))
+    known = stars.select("c", F.lit(True).alias("is_linked"))
+    near = near.join(known, "c", "left").withColumn("is_linked", F.coalesce("is_linked", F.col("c") == F.col("head")))
+    counts = near.groupBy("head", "is_linked").agg(F.count("*").alias("n"))
+    # blocks of classes that link with one head, if they are many; of all others by their heads
+    crowd = F.col("is_linked") & (F.col("n") >= block // 4)
+    parts, dealt = F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / block)), F.pmod(F.xxhash64("head"), F.ceil(F.col("members") / block))
+    place = F.when(crowd, F.xxhash64(F.lit("linked"), "head", parts)).when(F.col("n") > block, F.xxhash64(F.lit("head"), "head", parts)).otherwise(F.xxhash64("g", dealt))
+    seats = shared_checkpoint(near.join(counts, ["head", "is_linked"]).select("c", place.alias("place"), F.when(crowd, F.col("head")).alias("root")))
+    held = keys.join(seats, "c")
+    reach = held.select("h", F.col("place").alias("other"), F.col("root").alias("root_of")).distinct()
+    # two blocks of one head have nothing left to find
+    pairs = held.join(reach, "h").where("root is null or root_of is null or root <> root_of").select("c", "place", "other").distinct()
+    pairs = pairs.select("c", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), (F.col("place") > F.col("other")).cast("int").alias("side"))
+    found = pairs.join(ones.select("c", "shingles"), "c").groupBy("i", "j").applyInArrow(against, "a long, b long")
+    return stars.select(F.col("c").alias("a"), F.col("head").alias("b")).unionByName(found)
 
 
 def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:

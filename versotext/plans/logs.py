@@ -144,7 +144,7 @@ def snapshot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("keys", "snapshot") + """
     select 'registry' as file, key || chr(9) || shape || chr(9) || target as text from keys
     union all select 'defaults', k.key || chr(9) || s.value_json from keys k join snapshot_default s using (key)
-    union all select 'resolved', key || chr(9) || 'de' || chr(9) || value_json from snapshot_de
+    union all select 'resolved', key || chr(9) || 'de' || chr(9) || value_json from snapshot_de where locale = 'de'
 """)
 def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: the key registry, the declared keys' default values and the resolved values, a line for each."""

@@ -414,7 +414,7 @@ def html_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- drift -------------------------------------------------------------------------------------------
 
-@query(sql("keys", "snapshot") + " select 'missing' as side, key from keys k where derives_from is null and not exists (select 1 from snapshot_default s where s.key = k.key)")
+@query(sql("keys", "snapshot") + " select 'missing' as side, key from keys k where derives_from is null and not exists (select 1 from snapshot_default s where s.key = k.key) union all select distinct 'orphan', key from snapshot s where not exists (select 1 from keys k where k.key = s.key)")
 def snapshot_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, U1, U3."""
     return drift.missing_and_orphans(roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir))
@@ -449,10 +449,10 @@ def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.adoption(places, snap)
 
 
-@query(sql("keys") + ", r as (select distinct 'k' || (user_id * 3) as key, event_type = 'view' as server from events where user_id % 2 = 0), x as (select k.key, bool_or(r.key is not null) as exact, k.key like 'k12%' as pre from keys k left join r using (key) group by k.key) select key, case when exact or pre then 'read' else 'unknown' end as state from x")
+@query(sql("keys") + ", r as (select distinct case when user_id % 2 = 0 then 'k' else 'z' end || (user_id * 3) as key, event_type = 'view' as server from events), x as (select k.key, bool_or(r.key is not null) as exact, k.key like 'k12%' as pre from keys k left join r using (key) group by k.key) select key, case when exact or pre then 'read' else 'unknown' end as state from x")
 def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7, F7, A12."""
-    e = table(spark, sf_dir, "events").where("user_id % 2 = 0").selectExpr("'f' as file", "'k' || (user_id * 3) as key", "cast(null as string) as prefix", "cast(null as string) as cause", "event_type = 'view' as server").distinct()
+    e = table(spark, sf_dir, "events").selectExpr("'f' as file", "case when user_id % 2 = 0 then 'k' else 'z' end || (user_id * 3) as key", "cast(null as string) as prefix", "cast(null as string) as cause", "event_type = 'view' as server").distinct()
     extra = spark.createDataFrame([("f", None, "k12", None, True), ("f", None, "k1", None, True), ("f", None, None, "dynamic", False)], "file string, key string, prefix string, cause string, server boolean")
     extra = extra.where("prefix is null or prefix <> 'k1'")
     return drift.usage(role(spark, sf_dir, "keys"), e.unionByName(extra)).select("key", "state")
@@ -568,10 +568,10 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.element_at(js.json_object(F.col("props")), F.lit("k")).alias("k"))
 
 
-@query("select doc_id, length(regexp_replace(substr(text, 1, 500), '[^' || chr(10) || ']', '', 'g')) + 1 as line from documents")
+@query("select doc_id, length(regexp_replace(text, '[^' || chr(10) || ']', '', 'g')) + 1 as line from documents")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line at offset 500."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.line_of(F.col("text"), F.lit(500)).cast("long").alias("line"))
+    """The line at the text's end."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.line_of(F.col("text"), F.length("text")).cast("long").alias("line"))
 
 
 # --- further operators ---------------------------------------------------------------------------------------
@@ -743,7 +743,7 @@ def merge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = roles.descriptor(spark, sf_dir)
     keys = roles._as(d.keys.withColumn("shape", F.lit("text")).withColumn("target", F.lit("web")), roles.KEY_DEFS)
     c = table(spark, sf_dir, "customer")
-    merges = c.where("c_custkey % 30 = 0 and c_custkey > 0").selectExpr("'k' || c_custkey as gone", "'k' || (c_custkey + 10) as survivor").join(c.selectExpr("'k' || c_custkey as survivor"), "survivor", "left_semi").select("gone", "survivor")
+    merges = c.selectExpr("'k' || c_custkey as gone", "'k' || case when c_custkey % 30 = 0 and c_custkey > 0 then c_custkey + 10 else c_custkey end as survivor").join(c.selectExpr("'k' || c_custkey as survivor"), "survivor", "left_semi").select("gone", "survivor")
     return descriptor.merge_faults(roles.Descriptor(keys, d.pages, d.templates), roles.snapshot(spark, sf_dir), merges)
 
 

@@ -12,15 +12,15 @@ from versotext.sources.files import _as
 ROLES = {
     "versions": ("events", "event_id as id, 'p' as project, 'k' || user_id as key, case when event_id % 4 = 0 then 'de' else 'default' end as locale, case when event_type = 'click' then 'web' else 'html-email' end as target, '\"' || event_type || '-' || event_id || '\"' as value_json, case when event_type = 'error' then 'draft' else 'published' end as state, (event_type <> 'error' and event_id % 9 <> 0) as is_active, ts as publish_at, 'e' || (user_id % 5) as editor, case when event_id % 7 = 0 then user_id % 20 end as changeset_id, ts as created_at"),
     "keys": ("customer", "'k' || c_custkey as key, case when c_custkey % 10 = 9 then 'color' when c_custkey % 10 = 8 then 'list' else 'text' end as shape, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'html-email' else 'web' end as target, case when c_custkey % 6 = 5 then 'k' || (c_custkey - 1) end as derives_from, case when c_custkey % 6 = 5 then 'about {v}, again {v}' end as tmpl"),
-    "snapshot_default": ("customer", "'default' as locale, 'k' || c_custkey as key, '\"' || c_name || ' of ' || c_mktsegment || '\"' as value_json"),
-    "snapshot_de": ("customer", "'de' as locale, 'k' || c_custkey as key, '\"de ' || c_name || '\"' as value_json"),
+    "snapshot_default": ("customer", "'default' as locale, case when c_custkey % 8 = 3 then 'x' else 'k' end || c_custkey as key, '\"' || c_name || ' of ' || c_mktsegment || '\"' as value_json"),
+    "snapshot_de": ("customer", "case when c_custkey % 5 = 0 then 'de' else 'fr' end as locale, 'k' || c_custkey as key, '\"de ' || c_name || '\"' as value_json"),
     "contacts": ("customer", "c_custkey as id, 'n' || c_nationkey as project, 'a' || c_custkey || '@' || lower(c_mktsegment) || '.example' as email"),
     "groups": ("nation", "'n' || n_nationkey as project, 'g' || n_regionkey as key, n_name as name, case when n_nationkey % 3 = 0 then 'closed' else 'open' end as state"),
     "memberships": ("orders", "o_orderkey as id, o_custkey as contact_id, 'g' || (o_orderkey % 5) as group_key, o_orderdate as joined_at"),
     "suppressions": ("customer", "'a' || c_custkey || '@' || lower(c_mktsegment) || '.example' as email, case when c_custkey % 2 = 0 then 'all' else 'g' || (c_custkey % 5) end as scope, case when c_custkey % 3 = 0 then 'bounce' else 'person' end as source"),
     "documents_text": ("documents", "doc_id as id, text"),
 }
-WHERE = {"snapshot_default": "c_custkey % 8 <> 3", "snapshot_de": "c_custkey % 5 = 0", "suppressions": "c_acctbal < 0", "memberships": "o_orderstatus <> 'P'"}
+WHERE = {"suppressions": "c_acctbal < 0", "memberships": "o_orderstatus <> 'P'"}
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -324,7 +324,7 @@ def resolve_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = Descriptor(_as(keys, KEY_DEFS), d.pages, d.templates)
     c = table(spark, sf_dir, "customer")
     own = c.selectExpr("c_custkey as id", "'p' as project", "'k' || c_custkey as key", "'default' as locale", "'published' as state", "true as is_active", "'\"' || c_name || '\"' as value_json")
-    over = c.where("c_custkey % 2 = 0").selectExpr("'p' as project", "'k' || c_custkey as key", "'default' as locale", "'\"over ' || c_name || '\"' as value_json")
+    over = c.selectExpr("'p' as project", "'k' || c_custkey as key", "case when c_custkey % 2 = 0 then 'default' else 'fr' end as locale", "'\"over ' || c_name || '\"' as value_json")
     mixed = resolve.masked(own, over.withColumn("id", F.lit(None).cast("long")).withColumn("is_active", F.lit(False)))
     return resolve.resolve_all(plain, roles.snapshot(spark, sf_dir), mixed, ["default"], preview=True).select("key", "value_json", "source")
 
@@ -357,14 +357,14 @@ def typed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- differences and histories ------------------------------------------------------------------------
 
 
-@query("select 'k' || c_custkey as key from customer where c_custkey % 3 = 0 union select 'd' || c_custkey from customer where c_custkey % 5 = 0 or c_custkey % 7 = 0")
+@query("select 'k' || c_custkey as key from customer where c_custkey % 3 = 0 union select 'd' || c_custkey from customer where c_custkey % 5 = 0 or c_custkey % 7 = 0 union select 'e' || c_custkey from customer where c_custkey % 7 = 0")
 def changed_key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed values, and derived keys whose resolution changed or went."""
     c = table(spark, sf_dir, "customer")
     before = c.selectExpr("'default' as locale", "'k' || c_custkey as key", "'{\"a\":1,\"b\":\"' || c_name || '\"}' as value_json")
     after = c.selectExpr("'default' as locale", "'k' || c_custkey as key", "'{\"b\":\"' || c_name || case when c_custkey % 3 = 0 then '!' else '' end || '\",\"a\":1}' as value_json")
     derived = c.selectExpr("'default' as locale", "'d' || c_custkey as key", "'\"' || c_name || '\"' as value_json")
-    later = c.where("c_custkey % 7 <> 0").selectExpr("'default' as locale", "'d' || c_custkey as key", "'\"' || c_name || case when c_custkey % 5 = 0 then '!' else '' end || '\"' as value_json")
+    later = c.selectExpr("'default' as locale", "case when c_custkey % 7 = 0 then 'e' else 'd' end || c_custkey as key", "'\"' || c_name || case when c_custkey % 5 = 0 then '!' else '' end || '\"' as value_json")
     return drift.changed_keys(before, after, derived, later)
 
 

@@ -336,7 +336,7 @@ def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, list[b
 
 # --- the join ---------------------------------------------------------------------
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with the same set) and component_id.
 
     ``component_id`` is the smallest id reachable by links, the row's own included.

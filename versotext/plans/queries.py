@@ -67,19 +67,59 @@ def resolve_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "locale", "value_json", "source", "version")
 
 
-@query(_BASE + _STORED.format(drafts="") + ", pend as (select distinct key from versions where state = 'draft' and locale = 'default'), lv as (select key, id from live where locale = 'default') select r.key, r.source, r.value_json, lv.id as live_version, pend.key is not null as draft_pending from res r left join lv on lv.key = r.key left join pend on pend.key = r.key where r.locale = 'default'")
+@query(_BASE + _STORED.format(drafts="") + """
+    ,
+    pend as (select distinct key
+    from versions
+    where state = 'draft' and locale = 'default'),
+    lv as (select key, id
+    from live
+    where locale = 'default')
+    select r.key, r.source, r.value_json, lv.id as live_version, pend.key is not null as draft_pending
+    from res r
+    left
+    join lv on lv.key = r.key
+    left
+    join pend on pend.key = r.key
+    where r.locale = 'default'
+""")
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9."""
     return resolve.listing(roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir), roles.versions(spark, sf_dir))
 
 
-@query(_BASE + _STORED.format(drafts="") + ", own_live as (select l.locale, l.key, l.value_json, l.id from live l join keys k using (key) where l.locale <> 'default' and k.shape = 'text') select 'default' as locale, key, value_json, case when source = 'active' then version end as version from res where locale = 'default' and value_json is not null union all select locale, key, value_json, id from own_live union all select s.locale, s.key, s.value_json, null from snapshot s join keys k using (key) where s.locale <> 'default' and not exists (select 1 from own_live o where o.key = s.key and o.locale = s.locale)")
+@query(_BASE + _STORED.format(drafts="") + """
+    ,
+    own_live as (select l.locale, l.key, l.value_json, l.id
+    from live l
+    join keys k using (key)
+    where l.locale <> 'default' and k.shape = 'text')
+    select 'default' as locale, key, value_json, case when source = 'active' then version end as version
+    from res
+    where locale = 'default' and value_json is not null
+    union all
+    select locale, key, value_json, id
+    from own_live
+    union all
+    select s.locale, s.key, s.value_json, null
+    from snapshot s
+    join keys k using (key)
+    where s.locale <> 'default' and not exists (select 1
+    from own_live o
+    where o.key = s.key and o.locale = s.locale)
+""")
 def pull_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundle to ship."""
     return resolve.pull(roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir), roles.versions(spark, sf_dir))[1]
 
 
-@query(sql("versions") + " select key, locale, id as version, value_json from versions where state = 'published' and is_active qualify row_number() over (partition by project, key, locale order by id desc) = 1")
+@query(sql("versions") + """
+    select key, locale, id as version, value_json
+    from versions
+    where state = 'published' and is_active
+    qualify row_number() over (partition by project, key, locale
+    order by id desc) = 1
+""")
 def latest_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1."""
     return resolve.latest_active(roles.versions(spark, sf_dir)).select("key", "locale", F.col("id").alias("version"), "value_json")
@@ -92,7 +132,15 @@ def preview_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.masked(base, role(spark, sf_dir, "snapshot_de").withColumn("value_json", F.lit('"x"'))).select("locale", "key", "value_json")
 
 
-@query(sql("snapshot", "keys") + ", c as (select k.key, s.value_json, row_number() over (partition by k.key order by case when s.locale = 'de' then 0 else 1 end) as n from keys k join snapshot s on s.key = k.key and s.locale in ('de', 'default')) select key, 'de' as locale, value_json from c where n = 1")
+@query(sql("snapshot", "keys") + """
+    ,
+    c as (select k.key, s.value_json, row_number() over (partition by k.key order by case when s.locale = 'de' then 0 else 1 end) as n
+    from keys k
+    join snapshot s on s.key = k.key and s.locale in ('de', 'default'))
+    select key, 'de' as locale, value_json
+    from c
+    where n = 1
+""")
 def locale_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12, W3."""
     bundle = roles.snapshot(spark, sf_dir).withColumn("version", F.lit(None).cast("long"))
@@ -101,14 +149,25 @@ def locale_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- versions -----------------------------------------------------------------------------
 
-@query(sql("versions") + " select id, key, last_value(case when state = 'published' then id end ignore nulls) over w as previous_id, last_value(case when state = 'published' then value_json end ignore nulls) over w as previous_value from versions window w as (partition by project, key, locale order by id rows between unbounded preceding and 1 preceding)")
+@query(sql("versions") + """
+    select id, key, last_value(case when state = 'published' then id end ignore nulls) over w as previous_id, last_value(case when state = 'published' then value_json end ignore nulls) over w as previous_value
+    from versions window w as (partition by project, key, locale
+    order by id rows between unbounded preceding and 1 preceding)
+""")
 def prior_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4, W2."""
     rows = versions.with_previous(roles.versions(spark, sf_dir), ["project", "key", "locale"], "id", "value_json", F.col("state") == "published")
     return rows.select("id", "key", "previous_id", "previous_value")
 
 
-@query("with x as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as b from events) select user_id, event_id, event_type from x where b is distinct from event_type")
+@query("""
+    with x as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as b
+    from events)
+    select user_id, event_id, event_type
+    from x
+    where b is distinct
+    from event_type
+""")
 def change_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4."""
     return versions.change_runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").select("user_id", "event_id", "event_type")
@@ -132,7 +191,10 @@ def read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.read(roles.versions(spark, sf_dir), "p", ["k1", "k2", "k40", "none"], "de", preview=True).select("id", "key", "locale", "state")
 
 
-@query(sql("versions") + " select key, locale, state as status, is_active, value_json, id as version, case when state = 'draft' then strftime(publish_at, '%Y-%m-%dT%H:%M:%S.%gZ') end as publish_at, target, case when state = 'draft' then changeset_id end as changeset_id, editor, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') as created_at from versions")
+@query(sql("versions") + """
+    select key, locale, state as status, is_active, value_json, id as version, case when state = 'draft' then strftime(publish_at, '%Y-%m-%dT%H:%M:%S.%gZ') end as publish_at, target, case when state = 'draft' then changeset_id end as changeset_id, editor, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') as created_at
+    from versions
+""")
 def api_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8, D1."""
     return versions.api_rows(roles.versions(spark, sf_dir))
@@ -144,13 +206,24 @@ def due_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.due_drafts(roles.versions(spark, sf_dir), F.to_timestamp(F.lit(NOW))).select("id", "key", "changeset_id")
 
 
-@query(sql("versions") + " select key, locale, count(*) filter (is_active) as active, count(*) filter (state = 'draft') as drafts from versions group by project, key, locale having count(*) filter (is_active) > 1 or count(*) filter (state = 'draft') > 1")
+@query(sql("versions") + """
+    select key, locale, count(*) filter (is_active) as active, count(*) filter (state = 'draft') as drafts
+    from versions
+    group by project, key, locale
+    having count(*) filter (is_active) > 1 or count(*) filter (state = 'draft') > 1
+""")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store's unique indexes would refuse."""
     return versions.unique_violations(roles.versions(spark, sf_dir)).drop("project")
 
 
-@query(sql("versions") + " select v.id, v.key, v.changeset_id, (select max(p.id) from versions p where p.key = v.key and p.locale = v.locale and p.state = 'published' and p.id < v.id) as previous_id from versions v where v.state = 'published' and v.changeset_id = 7")
+@query(sql("versions") + """
+    select v.id, v.key, v.changeset_id, (select max(p.id)
+    from versions p
+    where p.key = v.key and p.locale = v.locale and p.state = 'published' and p.id < v.id) as previous_id
+    from versions v
+    where v.state = 'published' and v.changeset_id = 7
+""")
 def change_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6, A3: a change's members with their before-image."""
     return versions.change_members(roles.versions(spark, sf_dir), 7, published=True).select("id", "key", "changeset_id", "previous_id")
@@ -164,7 +237,16 @@ def sibling_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- store transitions, set forms --------------------------------------------------------
 
-_PUBLISHED = sql("versions") + ", d as (select * from versions where state = 'draft' qualify row_number() over (partition by key, locale order by id desc) = 1), one as (select * from versions v where state <> 'draft' or exists (select 1 from d where d.id = v.id))"
+_PUBLISHED = sql("versions") + """
+    ,
+    d as (select *
+    from versions
+    where state = 'draft'
+    qualify row_number() over (partition by key, locale order by id desc) = 1),
+    one as (select *
+    from versions v
+    where state <> 'draft' or exists (select 1 from d where d.id = v.id))
+"""
 
 
 def _one_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +255,12 @@ def _one_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("state <> 'draft'").unionByName(rows.join(newest.select("id"), "id", "left_semi").select(rows.columns))
 
 
-@query(_PUBLISHED + " select o.id, o.key, case when d.id = o.id then 'published' else o.state end as state, case when d.id = o.id then true when d.id is not null then false else o.is_active end as is_active from one o left join d on d.key = o.key and d.locale = o.locale")
+@query(_PUBLISHED + """
+    select o.id, o.key, case when d.id = o.id then 'published' else o.state end as state, case when d.id = o.id then true when d.id is not null then false else o.is_active end as is_active
+    from one o
+    left
+    join d on d.key = o.key and d.locale = o.locale
+""")
 def publish_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, M8: all drafts of the project at once."""
     rows = _one_draft(spark, sf_dir)
@@ -189,7 +276,19 @@ def publish_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("state").agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"))
 
 
-@query(sql("versions", "keys", "snapshot") + ", h as (select key, bool_or(state <> 'draft') as stored, bool_or(state = 'draft') as drafted from versions where locale = 'default' group by key) select k.key, case when k.derives_from is not null then 'derived' when h.stored then 'already_stored' when h.drafted then 'has_draft' when s.value_json is null then 'no_value' else 'seeded' end as outcome from keys k left join h using (key) left join snapshot_default s using (key)")
+@query(sql("versions", "keys", "snapshot") + """
+    ,
+    h as (select key, bool_or(state <> 'draft') as stored, bool_or(state = 'draft') as drafted
+    from versions
+    where locale = 'default'
+    group by key)
+    select k.key, case when k.derives_from is not null then 'derived' when h.stored then 'already_stored' when h.drafted then 'has_draft' when s.value_json is null then 'no_value' else 'seeded' end as outcome
+    from keys k
+    left
+    join h using (key)
+    left
+    join snapshot_default s using (key)
+""")
 def seed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12."""
     d = roles.descriptor(spark, sf_dir)
@@ -234,7 +333,21 @@ def member_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.with_suppressed(rows, role(spark, sf_dir, "suppressions"), ["all", "g1"]).select("id", "email", "suppressed")
 
 
-@query(_HELD + ", a as (select email, string_agg(id || ':' || group_key, ',' order by id) as memberships from m group by email), b as (select email, string_agg(scope || ':' || source, ',' order by scope, source) as suppressions from suppressions group by email) select c.email, coalesce(a.memberships, '') as memberships, coalesce(b.suppressions, '') as suppressions from contacts c left join a using (email) left join b using (email)")
+@query(_HELD + """
+    ,
+    a as (select email, string_agg(id || ':' || group_key, ',' order by id) as memberships
+    from m
+    group by email),
+    b as (select email, string_agg(scope || ':' || source, ',' order by scope, source) as suppressions
+    from suppressions
+    group by email)
+    select c.email, coalesce(a.memberships, '') as memberships, coalesce(b.suppressions, '') as suppressions
+    from contacts c
+    left
+    join a using (email)
+    left
+    join b using (email)
+""")
 def contact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, A5."""
     out = contacts.contact_records(role(spark, sf_dir, "contacts"), role(spark, sf_dir, "memberships"), role(spark, sf_dir, "suppressions"))
@@ -249,7 +362,18 @@ def suppression_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.suppression_counts(role(spark, sf_dir, "suppressions"))
 
 
-_OUTCOMES = sql("contacts", "suppressions") + ", e as (select sha256('salt' || 'a' || c_custkey || '@' || lower(c_mktsegment) || '.example') as h from customer where c_custkey % 11 = 0), p as (select distinct c.email from contacts c join orders o on o.o_custkey = c.id where o.o_totalprice > 300000), x as (select c.email, case when exists (select 1 from e where e.h = sha256('salt' || c.email)) then 'erased' when exists (select 1 from suppressions s where s.email = c.email and s.scope = 'all') then 'suppressed' when exists (select 1 from p where p.email = c.email) then 'present' else 'joined' end as outcome from contacts c)"
+_OUTCOMES = sql("contacts", "suppressions") + """
+    ,
+    e as (select sha256('salt' || 'a' || c_custkey || '@' || lower(c_mktsegment) || '.example') as h
+    from customer
+    where c_custkey % 11 = 0),
+    p as (select distinct c.email
+    from contacts c
+    join orders o on o.o_custkey = c.id
+    where o.o_totalprice > 300000),
+    x as (select c.email, case when exists (select 1 from e where e.h = sha256('salt' || c.email)) then 'erased' when exists (select 1 from suppressions s where s.email = c.email and s.scope = 'all') then 'suppressed' when exists (select 1 from p where p.email = c.email) then 'present' else 'joined' end as outcome
+    from contacts c)
+"""
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +395,20 @@ def import_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.tally(_outcomes(spark, sf_dir))
 
 
-@query(sql("contacts", "groups") + ", j as (select c.project, c.email, 'g' || (n.n_regionkey) as group_key, o.o_orderdate as t, o.o_orderkey from orders o join contacts c on c.id = o.o_custkey join nation n on 'n' || n.n_nationkey = c.project), q as (select j.* from j join groups g on g.project = j.project and g.key = j.group_key where g.state = 'open') select project, group_key, email, min(t) as joined_at, max(t) as updated_at, count(*) > 0 as is_new from q group by project, group_key, email")
+@query(sql("contacts", "groups") + """
+    ,
+    j as (select c.project, c.email, 'g' || (n.n_regionkey) as group_key, o.o_orderdate as t, o.o_orderkey
+    from orders o
+    join contacts c on c.id = o.o_custkey
+    join nation n on 'n' || n.n_nationkey = c.project),
+    q as (select j.*
+    from j
+    join groups g on g.project = j.project and g.key = j.group_key
+    where g.state = 'open')
+    select project, group_key, email, min(t) as joined_at, max(t) as updated_at, count(*) > 0 as is_new
+    from q
+    group by project, group_key, email
+""")
 def joined_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open groups only; the first join stays, the latest properties count."""
     people = role(spark, sf_dir, "contacts")
@@ -291,7 +428,20 @@ def erased_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.erase(people, role(spark, sf_dir, "memberships"), none, people.where("id % 7 = 0"), "salt", F.to_timestamp(F.lit(NOW)))[0].select("id", "email")
 
 
-@query(sql("contacts", "suppressions") + ", a as (select email, 'all' as scope, 'import' as source from contacts where id % 4 = 0) select email, scope, source from suppressions union all select email, scope, source from a where not exists (select 1 from suppressions s where s.email = a.email and s.scope = a.scope)")
+@query(sql("contacts", "suppressions") + """
+    ,
+    a as (select email, 'all' as scope, 'import' as source
+    from contacts
+    where id % 4 = 0)
+    select email, scope, source
+    from suppressions
+    union all
+    select email, scope, source
+    from a
+    where not exists (select 1
+    from suppressions s
+    where s.email = a.email and s.scope = a.scope)
+""")
 def suppressed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert where absent."""
     stamp = F.to_timestamp(F.lit(NOW)).alias("created_at")
@@ -308,7 +458,14 @@ def over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.over_limit(rules.strings_of(d, roles.snapshot(spark, sf_dir))).select("key", "locale", F.element_at("detail", F.lit("length")).alias("length"))
 
 
-@query("with t as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as p from documents), u as (select doc_id, case when len(p) > 1 and p[-1] = '' then p[1:len(p) - 1] else p end as p from t) select doc_id, list_sum(list_transform(p, lambda x: greatest(1, ceil(length(x) / 40.0))))::integer as lines from u")
+@query("""
+    with t as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as p
+    from documents),
+    u as (select doc_id, case when len(p) > 1 and p[-1] = '' then p[1:len(p) - 1] else p end as p
+    from t)
+    select doc_id, list_sum(list_transform(p, lambda x: greatest(1, ceil(length(x) / 40.0))))::integer as lines
+    from u
+""")
 def line_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9."""
     return table(spark, sf_dir, "documents").select("doc_id", rules.estimated_lines(F.col("text"), F.lit(40)).alias("lines"))
@@ -327,21 +484,41 @@ def malformed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.malformed(d, roles.snapshot(spark, sf_dir)).join(d.keys.select("key", "shape"), "key").select("key", "locale", "shape")
 
 
-@query("with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n]+@[^ \\n]+')) as a from documents) select doc_id, a as address, lower(a) as normal, regexp_matches(lower(a), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') as valid from w")
+@query("""
+    with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n]+@[^ \\n]+')) as a
+    from documents)
+    select doc_id, a as address, lower(a) as normal, regexp_matches(lower(a), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') as valid
+    from w
+""")
 def email_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, V15."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+@[^ \\n]+"), F.lit(0))).alias("address")).withColumn("normal", tx.normal_email(F.col("address")))
     return rows.select("doc_id", "address", "normal", rules.email_fault(F.col("normal")).isNull().alias("valid"))
 
 
-@query("select o_orderkey, len(list_distinct(regexp_extract_all('Hello {{name}}, ' || o_orderpriority || ' {{ x' || (o_orderkey % 3) || ' }} {{name}}', '\\{\\{\\s*([a-zA-Z0-9_]+)\\s*\\}\\}', 1)))::integer as n, array_to_string(list_sort(list_distinct(regexp_extract_all('Hello {{name}}, ' || o_orderpriority || ' {{ x' || (o_orderkey % 3) || ' }} {{name}}', '\\{\\{\\s*([a-zA-Z0-9_]+)\\s*\\}\\}', 1))), ',') as names from orders")
+@query("""
+    select o_orderkey, len(list_distinct(regexp_extract_all('Hello {{name}}, ' || o_orderpriority || ' {{ x' || (o_orderkey % 3) || ' }} {{name}}', '\\{\\{\\s*([a-zA-Z0-9_]+)\\s*\\}\\}', 1)))::integer as n, array_to_string(list_sort(list_distinct(regexp_extract_all('Hello {{name}}, ' || o_orderpriority || ' {{ x' || (o_orderkey % 3) || ' }} {{name}}', '\\{\\{\\s*([a-zA-Z0-9_]+)\\s*\\}\\}', 1))), ',') as names
+    from orders
+""")
 def variables_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4, T4."""
     own = F.expr("'Hello {{name}}, ' || o_orderpriority || ' {{ x' || (o_orderkey % 3) || ' }} {{name}}'")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.size(tx.variables(own)).alias("n"), F.array_join(tx.vars_of(own), ",").alias("names"))
 
 
-@query("select 'class' as rule, 'error' as severity, 't' || r_regionkey as key from region where r_regionkey % 2 = 0 union all select 'class', 'warning', 't' || r_regionkey from region where r_regionkey % 2 = 0 union all select 'class', 'warning', 't' || r_regionkey || '__body' from region where r_regionkey % 2 = 1")
+@query("""
+    select 'class' as rule, 'error' as severity, 't' || r_regionkey as key
+    from region
+    where r_regionkey % 2 = 0
+    union all
+    select 'class', 'warning', 't' || r_regionkey
+    from region
+    where r_regionkey % 2 = 0
+    union all
+    select 'class', 'warning', 't' || r_regionkey || '__body'
+    from region
+    where r_regionkey % 2 = 1
+""")
 def template_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: marketing templates without link and address, promotional wording in transactional ones."""
     d = roles.descriptor(spark, sf_dir)
@@ -364,7 +541,16 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("with t as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) select title, count(*) as n, string_agg('page' || page_id, ', ' order by 'page' || page_id) as members from t where trim(title) <> '' group by title having count(*) > 1")
+@query("""
+    with t as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title
+    from pages)
+    select title, count(*) as n, string_agg('page' || page_id, ', '
+    order by 'page' || page_id) as members
+    from t
+    where trim(title) <> ''
+    group by title
+    having count(*) > 1
+""")
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, E3 over the titles of HTML pages."""
     titles = _titles(spark, sf_dir)
@@ -380,7 +566,27 @@ _SEO = _BASE + _STORED.format(drafts="") + """, p as (select 'page' || n_nationk
   from nation, (values ('default'), ('de')) t(l) where l = 'default' or n_nationkey % 3 = 0)"""
 
 
-@query(_SEO + " select 'missing-title' as rule, page, locale from p where not exists (select 1 from res r where r.key = tk and r.locale = p.locale and r.value_json is not null) union all select 'missing-description', page, locale from p where not exists (select 1 from res r where r.key = dk and r.locale = p.locale and r.value_json is not null) union all select 'missing-alt', page, locale from p where exists (select 1 from res r where r.key = ik and r.locale = p.locale and r.value_json is not null) and not exists (select 1 from res r where r.key = ak and r.locale = p.locale and r.value_json is not null)")
+@query(_SEO + """
+    select 'missing-title' as rule, page, locale
+    from p
+    where not exists (select 1
+    from res r
+    where r.key = tk and r.locale = p.locale and r.value_json is not null)
+    union all
+    select 'missing-description', page, locale
+    from p
+    where not exists (select 1
+    from res r
+    where r.key = dk and r.locale = p.locale and r.value_json is not null)
+    union all
+    select 'missing-alt', page, locale
+    from p
+    where exists (select 1
+    from res r
+    where r.key = ik and r.locale = p.locale and r.value_json is not null) and not exists (select 1
+    from res r
+    where r.key = ak and r.locale = p.locale and r.value_json is not null)
+""")
 def seo_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1, E6 over declared pages."""
     d, snap = roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir)
@@ -389,7 +595,14 @@ def seo_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seo.missing_field(f, "title", 1, s).unionByName(seo.missing_field(f, "description", 2, s)).unionByName(seo.missing_alt(f, s)).select("rule", "page", "locale")
 
 
-@query("with x as (select page_id, lower(trim(unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)))) as a from pages) select page_id, a as label, count(*) as n from x where a in ('the', 'and', 'of', 'to', 'for') group by page_id, a")
+@query("""
+    with x as (select page_id, lower(trim(unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)))) as a
+    from pages)
+    select page_id, a as label, count(*) as n
+    from x
+    where a in ('the', 'and', 'of', 'to', 'for')
+    group by page_id, a
+""")
 def anchor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 with its list as a parameter, over the links of HTML pages."""
     links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<a [^>]*>([^<]*)</a>"), F.lit(1))).alias("i", "a"))
@@ -414,13 +627,45 @@ def html_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- drift -------------------------------------------------------------------------------------------
 
-@query(sql("keys", "snapshot") + " select 'missing' as side, key from keys k where derives_from is null and not exists (select 1 from snapshot_default s where s.key = k.key) union all select distinct 'orphan', key from snapshot s where not exists (select 1 from keys k where k.key = s.key)")
+@query(sql("keys", "snapshot") + """
+    select 'missing' as side, key
+    from keys k
+    where derives_from is null and not exists (select 1
+    from snapshot_default s
+    where s.key = k.key)
+    union all
+    select distinct 'orphan', key
+    from snapshot s
+    where not exists (select 1
+    from keys k
+    where k.key = s.key)
+""")
 def snapshot_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, U1, U3."""
     return drift.missing_and_orphans(roles.descriptor(spark, sf_dir), roles.snapshot(spark, sf_dir))
 
 
-@query(sql("versions", "keys") + ", st as (select distinct key, target from versions) select 'unseeded' as kind, key, null as detail from keys k where not exists (select 1 from st where st.key = k.key) union all select distinct 'orphan', key, null from st where not exists (select 1 from keys k where k.key = st.key) union all select 'target_drift', st.key, st.target || ' -> ' || k.target from st join keys k using (key) where st.target <> k.target")
+@query(sql("versions", "keys") + """
+    ,
+    st as (select distinct key, target
+    from versions)
+    select 'unseeded' as kind, key, null as detail
+    from keys k
+    where not exists (select 1
+    from st
+    where st.key = k.key)
+    union all
+    select distinct 'orphan', key, null
+    from st
+    where not exists (select 1
+    from keys k
+    where k.key = st.key)
+    union all
+    select 'target_drift', st.key, st.target || ' -> ' || k.target
+    from st
+    join keys k using (key)
+    where st.target <> k.target
+""")
 def store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2, J7, J8."""
     return drift.store_audit(roles.descriptor(spark, sf_dir).keys, roles.versions(spark, sf_dir))
@@ -441,7 +686,15 @@ def snapshot_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.renames_in(before, before.selectExpr("locale", "case when key like '%7' then 'x' || key else key end as key", "value_json"))
 
 
-@query(sql("keys", "snapshot") + ", pl as (select 'l' || key as place, key, case when key like '%2' then 'other' else 'k' end as t from keys) select p.place, p.key, case when s.key is null then 'unadopted' when p.t = 'other' then 'diverged' else 'adopted' end as class from pl p left join snapshot_default s using (key)")
+@query(sql("keys", "snapshot") + """
+    ,
+    pl as (select 'l' || key as place, key, case when key like '%2' then 'other' else 'k' end as t
+    from keys)
+    select p.place, p.key, case when s.key is null then 'unadopted' when p.t = 'other' then 'diverged' else 'adopted' end as class
+    from pl p
+    left
+    join snapshot_default s using (key)
+""")
 def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4."""
     snap = role(spark, sf_dir, "snapshot_default")
@@ -449,7 +702,18 @@ def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.adoption(places, snap)
 
 
-@query(sql("keys") + ", r as (select distinct case when user_id % 2 = 0 then 'k' else 'z' end || (user_id * 3) as key, event_type = 'view' as server from events), x as (select k.key, bool_or(r.key is not null) as exact, k.key like 'k12%' as pre from keys k left join r using (key) group by k.key) select key, case when exact or pre then 'read' else 'unknown' end as state from x")
+@query(sql("keys") + """
+    ,
+    r as (select distinct case when user_id % 2 = 0 then 'k' else 'z' end || (user_id * 3) as key, event_type = 'view' as server
+    from events),
+    x as (select k.key, bool_or(r.key is not null) as exact, k.key like 'k12%' as pre
+    from keys k
+    left
+    join r using (key)
+    group by k.key)
+    select key, case when exact or pre then 'read' else 'unknown' end as state
+    from x
+""")
 def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7, F7, A12."""
     e = table(spark, sf_dir, "events").selectExpr("'f' as file", "case when user_id % 2 = 0 then 'k' else 'z' end || (user_id * 3) as key", "cast(null as string) as prefix", "cast(null as string) as cause", "event_type = 'view' as server").distinct()
@@ -458,21 +722,41 @@ def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.usage(role(spark, sf_dir, "keys"), e.unionByName(extra)).select("key", "state")
 
 
-@query("with t as (select l_partkey as part, l_discount * 10 as score, l_orderkey * 10 + l_linenumber as run from lineitem where l_linenumber <> 3), m as (select part, quantile_disc(score, 0.5) as median from t group by part) select t.part, m.median, min(t.run) as run from t join m on m.part = t.part and m.median = t.score group by t.part, m.median")
+@query("""
+    with t as (select l_partkey as part, l_discount * 10 as score, l_orderkey * 10 + l_linenumber as run
+    from lineitem
+    where l_linenumber <> 3),
+    m as (select part, quantile_disc(score, 0.5) as median
+    from t
+    group by part)
+    select t.part, m.median, min(t.run) as run
+    from t
+    join m on m.part = t.part and m.median = t.score
+    group by t.part, m.median
+""")
 def median_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, A11, N2."""
     runs = table(spark, sf_dir, "lineitem").selectExpr("l_partkey as part", "case when l_linenumber <> 3 then l_discount * 10 end as score", "l_orderkey * 10 + l_linenumber as run")
     return drift.median_runs(runs, ["part"]).select("part", "median", "run")
 
 
-@query("select event_id, case when event_type = 'click' then 'numeric' else 'binary' end as mode, value / 100 as score from events where event_type <> 'view' and value / 100 < case when event_type = 'click' then 0.9 else 1.0 end")
+@query("""
+    select event_id, case when event_type = 'click' then 'numeric' else 'binary' end as mode, value / 100 as score
+    from events
+    where event_type <> 'view' and value / 100 < case when event_type = 'click' then 0.9 else 1.0 end
+""")
 def failing_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G14."""
     audits = table(spark, sf_dir, "events").selectExpr("event_id", "case event_type when 'click' then 'numeric' when 'view' then 'manual' else 'binary' end as mode", "value / 100 as score")
     return drift.failing_audits(audits)
 
 
-@query("with s as (select * from (select event_id, case when event_id % 3 = 0 then 'approved' else 'proposed' end as state from events)) select event_id, case when event_id % 5 = 0 and state = 'proposed' then 'approved' else state end as state from s")
+@query("""
+    with s as (select *
+    from (select event_id, case when event_id % 3 = 0 then 'approved' else 'proposed' end as state from events))
+    select event_id, case when event_id % 5 = 0 and state = 'proposed' then 'approved' else state end as state
+    from s
+""")
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M21."""
     s = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.when(F.col("event_id") % 3 == 0, "approved").otherwise("proposed").alias("state"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("by"))
@@ -496,14 +780,26 @@ def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.by_entries(role(spark, sf_dir, "keys"), entries).select("key")
 
 
-@query(sql("keys") + ", p(prefix) as (values ('k'), ('k1'), ('k12'), ('k9')), x as (select k.key, p.prefix, row_number() over (partition by k.key order by length(p.prefix) desc) as n from keys k left join p on starts_with(k.key, p.prefix)) select key, prefix from x where n = 1")
+@query(sql("keys") + """
+    , p(prefix) as (values ('k'), ('k1'), ('k12'), ('k9')),
+    x as (select k.key, p.prefix, row_number() over (partition by k.key order by length(p.prefix) desc) as n
+    from keys k
+    left
+    join p on starts_with(k.key, p.prefix))
+    select key, prefix
+    from x
+    where n = 1
+""")
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7."""
     prefixes = spark.createDataFrame([("k",), ("k1",), ("k12",), ("k9",)], "prefix string")
     return descriptor.longest_prefix(role(spark, sf_dir, "keys"), prefixes)
 
 
-@query(sql("keys") + " select case when key like '%5' then 'new_' || key else key end as key, case when derives_from like '%5' then 'new_' || derives_from else derives_from end as derives_from from keys")
+@query(sql("keys") + """
+    select case when key like '%5' then 'new_' || key else key end as key, case when derives_from like '%5' then 'new_' || derives_from else derives_from end as derives_from
+    from keys
+""")
 def renamed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derivations follow."""
     d = roles.descriptor(spark, sf_dir)
@@ -511,7 +807,34 @@ def renamed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.rename_keys(d, roles.snapshot(spark, sf_dir), names)[0].keys.select("key", "derives_from")
 
 
-@query("select 'slot' as kind, 't' || r_regionkey as holder, 't' || r_regionkey || '__' || s as missing from region, (values ('subject'), ('body')) x(s) union all select 'seo', 'page' || n_nationkey, 'k' || v from nation, unnest([n_nationkey * 3, case when n_nationkey % 4 <> 0 then n_nationkey * 3 + 1 end, case when n_nationkey % 2 = 0 then n_nationkey + 50 end, case when n_nationkey % 6 = 0 then n_nationkey + 60 end]) u(v) where v is not null and not exists (select 1 from customer c where c.c_custkey = v) union all select 'page', 'k' || c_custkey, 'page' || length('k' || c_custkey) from customer where not exists (select 1 from nation where n_nationkey = length('k' || c_custkey)) union all select 'json_ld', 'page' || n_nationkey, 'k' || n_nationkey from nation where not exists (select 1 from customer c where c.c_custkey = n_nationkey) union all select 'derives_from', 'k' || c_custkey, 'k' || (c_custkey - 1) from customer c where c_custkey % 6 = 5 and not exists (select 1 from customer x where x.c_custkey = c.c_custkey - 1)")
+@query("""
+    select 'slot' as kind, 't' || r_regionkey as holder, 't' || r_regionkey || '__' || s as missing
+    from region, (values ('subject'), ('body')) x(s)
+    union all
+    select 'seo', 'page' || n_nationkey, 'k' || v
+    from nation, unnest([n_nationkey * 3, case when n_nationkey % 4 <> 0 then n_nationkey * 3 + 1 end, case when n_nationkey % 2 = 0 then n_nationkey + 50 end, case when n_nationkey % 6 = 0 then n_nationkey + 60 end]) u(v)
+    where v is not null and not exists (select 1
+    from customer c
+    where c.c_custkey = v)
+    union all
+    select 'page', 'k' || c_custkey, 'page' || length('k' || c_custkey)
+    from customer
+    where not exists (select 1
+    from nation
+    where n_nationkey = length('k' || c_custkey))
+    union all
+    select 'json_ld', 'page' || n_nationkey, 'k' || n_nationkey
+    from nation
+    where not exists (select 1
+    from customer c
+    where c.c_custkey = n_nationkey)
+    union all
+    select 'derives_from', 'k' || c_custkey, 'k' || (c_custkey - 1)
+    from customer c
+    where c_custkey % 6 = 5 and not exists (select 1
+    from customer x
+    where x.c_custkey = c.c_custkey - 1)
+""")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6."""
     return drift.referential_faults(roles.descriptor(spark, sf_dir))
@@ -541,7 +864,17 @@ def near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.near_windows(short, role(spark, sf_dir, "documents_text"))
 
 
-@query("select event_id, event_type || '_' || (row_number() over (partition by event_type order by event_id) - 1) as name from events qualify row_number() over (partition by event_type order by event_id) > 1 union all select event_id, event_type from events qualify row_number() over (partition by event_type order by event_id) = 1")
+@query("""
+    select event_id, event_type || '_' || (row_number() over (partition by event_type order by event_id) - 1) as name
+    from events
+    qualify row_number() over (partition by event_type
+    order by event_id) > 1
+    union all
+    select event_id, event_type
+    from events
+    qualify row_number() over (partition by event_type
+    order by event_id) = 1
+""")
 def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, A15 with nothing taken."""
     places = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("base"))
@@ -576,7 +909,14 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- further operators ---------------------------------------------------------------------------------------
 
-@query("with u as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) as p from pages), c as (select page_id, regexp_replace(p, '^/+|/+$', '', 'g') as p from u) select page_id, case when p = '' then 0 else len(string_split(regexp_replace(p, '/+', '/', 'g'), '/')) end::integer as depth from c")
+@query("""
+    with u as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) as p
+    from pages),
+    c as (select page_id, regexp_replace(p, '^/+|/+$', '', 'g') as p
+    from u)
+    select page_id, case when p = '' then 0 else len(string_split(regexp_replace(p, '/+', '/', 'g'), '/')) end::integer as depth
+    from c
+""")
 def route_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O7."""
     return table(spark, sf_dir, "pages").select("page_id", tx.route_depth(F.coalesce(tx.path_of(F.col("url")), F.lit(""))).alias("depth"))
@@ -625,7 +965,22 @@ def uncarried_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.uncarried(role(spark, sf_dir, "keys"), marked)
 
 
-@query("with p as (select n_name as page, '/' || n_nationkey as route from nation), f as (select 'f' || s_suppkey as path, '/' || (s_nationkey * 2) as route from supplier) select p.page, p.route, f.path from p left join f using (route) union all select null, f.route, f.path from f where not exists (select 1 from p where p.route = f.route)")
+@query("""
+    with p as (select n_name as page, '/' || n_nationkey as route
+    from nation),
+    f as (select 'f' || s_suppkey as path, '/' || (s_nationkey * 2) as route
+    from supplier)
+    select p.page, p.route, f.path
+    from p
+    left
+    join f using (route)
+    union all
+    select null, f.route, f.path
+    from f
+    where not exists (select 1
+    from p
+    where p.route = f.route)
+""")
 def auditable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12."""
     pages = table(spark, sf_dir, "nation").selectExpr("n_name as page", "'/' || n_nationkey as route")
@@ -653,7 +1008,19 @@ def sibling_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.with_siblings(roles.descriptor(spark, sf_dir), keys)
 
 
-@query("select c_custkey as el_id, 'k' || c_custkey as key from customer where c_custkey % 2 = 0 union all select c_custkey, 'hello' from customer where c_custkey % 2 = 1 union all select c_custkey, 'loose' from customer where c_custkey % 3 = 0 and c_custkey % 2 = 1")
+@query("""
+    select c_custkey as el_id, 'k' || c_custkey as key
+    from customer
+    where c_custkey % 2 = 0
+    union all
+    select c_custkey, 'hello'
+    from customer
+    where c_custkey % 2 = 1
+    union all
+    select c_custkey, 'loose'
+    from customer
+    where c_custkey % 3 = 0 and c_custkey % 2 = 1
+""")
 def text_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts by equi-join, values with variables by first word."""
     shown = F.expr("case when c_custkey % 2 = 0 then c_name when c_custkey % 3 = 0 then 'Hello  ' || c_custkey || ' end' else ' Hello ' || c_custkey end")
@@ -663,7 +1030,12 @@ def text_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.census(elements, values.unionByName(extra))
 
 
-@query("select r_name as doc, n_name || ' page' as key, n_name as source, '{v} — the whole office of it' as tmpl from nation join region on r_regionkey = n_regionkey where length(n_name || ' head office in town') >= 12")
+@query("""
+    select r_name as doc, n_name || ' page' as key, n_name as source, '{v} — the whole office of it' as tmpl
+    from nation
+    join region on r_regionkey = n_regionkey
+    where length(n_name || ' head office in town') >= 12
+""")
 def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text that holds another whole one."""
     n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.expr("r_regionkey = n_regionkey"))
@@ -678,7 +1050,10 @@ def single_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.only_in_one(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "text"))
 
 
-@query("select c_custkey, 'a' || c_name || 'b c' as plain, '{' || c_mktsegment || '} {{x}}' as single_in, '{{' || c_mktsegment || '}} {{x}}' as doubled, upper(substr(lower(c_mktsegment), 1, 1)) || substr(lower(c_mktsegment), 2) || ' title' as label, c_custkey % 2 = 0 as is_copy from customer")
+@query("""
+    select c_custkey, 'a' || c_name || 'b c' as plain, '{' || c_mktsegment || '} {{x}}' as single_in, '{{' || c_mktsegment || '}} {{x}}' as doubled, upper(substr(lower(c_mktsegment), 1, 1)) || substr(lower(c_mktsegment), 2) || ' title' as label, c_custkey % 2 = 0 as is_copy
+    from customer
+""")
 def markup_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2, T5, T9, T13, T17."""
     c = table(spark, sf_dir, "customer")
@@ -712,7 +1087,16 @@ def head_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", seo.head_limit(own).alias("bound"))
 
 
-@query(sql("keys") + " select rule, key from (select 'construct' as rule, key from keys where target = 'html-email' and shape = 'text' and key like '%2' union all select 'requires', key from keys where shape = 'text' and key like '%3')")
+@query(sql("keys") + """
+    select rule, key
+    from (select 'construct' as rule, key
+    from keys
+    where target = 'html-email' and shape = 'text' and key like '%2'
+    union all
+    select 'requires', key
+    from keys
+    where shape = 'text' and key like '%3')
+""")
 def markup_and_requires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup in email copy, and required variables a text lost."""
     d = roles.descriptor(spark, sf_dir)
@@ -729,7 +1113,11 @@ def contact_smell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.contact_smell(table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), F.lit("default").alias("locale"), value.alias("value_json"))).select("key", "fields")
 
 
-@query("select event_id as row_id, case when event_id % 5 = 0 then 'email' when event_id % 5 = 1 then 'date' when event_id % 5 = 2 then 'future' when event_id % 5 = 3 then 'date' end as fault from events where event_id % 5 <> 4")
+@query("""
+    select event_id as row_id, case when event_id % 5 = 0 then 'email' when event_id % 5 = 1 then 'date' when event_id % 5 = 2 then 'future' when event_id % 5 = 3 then 'date' end as fault
+    from events
+    where event_id % 5 <> 4
+""")
 def import_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses, days that don't exist, dates without a zone, dates to come."""
     email = F.expr("case when event_id % 5 = 0 then 'no address' else 'a@b.example' end")
@@ -737,7 +1125,12 @@ def import_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.import_faults(table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), email.alias("email"), at.alias("at")), "2030-01-01 00:00:00", "at")
 
 
-@query(sql("keys") + " select 'k' || c_custkey as gone, 'k' || (c_custkey + 10) as survivor, 'values' as reason from customer where c_custkey % 30 = 0 and c_custkey + 10 <= (select max(c_custkey) from customer) and c_custkey > 0")
+@query(sql("keys") + """
+    select 'k' || c_custkey as gone, 'k' || (c_custkey + 10) as survivor, 'values' as reason
+    from customer
+    where c_custkey % 30 = 0 and c_custkey + 10 <= (select max(c_custkey)
+    from customer) and c_custkey > 0
+""")
 def merge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges that must be refused."""
     d = roles.descriptor(spark, sf_dir)
@@ -763,7 +1156,11 @@ def imported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptor.import_rows(table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), entry.alias("entry_json")), placeholders=True)
 
 
-@query(sql("snapshot") + " select key, value_json, sha256(value_json) as source_hash, case when key like '%1' then 'approved' else 'proposed' end as state from snapshot_default where key in ('k11', 'k12', 'k110')")
+@query(sql("snapshot") + """
+    select key, value_json, sha256(value_json) as source_hash, case when key like '%1' then 'approved' else 'proposed' end as state
+    from snapshot_default
+    where key in ('k11', 'k12', 'k110')
+""")
 def generated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: filtered values with their hash and approval."""
     from versotext.sources import sinks

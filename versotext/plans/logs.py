@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versotext.lineage import shared_folder
-from versotext.operators import html, store
+from versotext.operators import html, resolve, store
 from versotext.operators import text as texts
 from versotext.plans import roles
 from versotext.plans.queries import query, table
 from versotext.plans.roles import role, sql
-from versotext.schema import CHANGESETS, VERSIONS
+from versotext.schema import CHANGESETS, KEY_DEFS, VERSIONS, Descriptor
 from versotext.sources import files, sinks
 from versotext.sources.files import _as
 
@@ -271,3 +271,12 @@ def element_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1, H4: a document for each page: its elements, what is above them, and what can't be paired."""
     e = html.elements(table(spark, sf_dir, "pages").select("page_id", F.expr(_TREE).alias("html")))
     return e.select("page_id", "el_id", "parent_id", "tag", "line", "fault", F.element_at("attrs", F.lit("id")).alias("id"), F.array_join("ancestors", ",").alias("above"))
+
+
+@query(sql("snapshot", "keys") + " select k.key, l.locale, coalesce(s.value_json, d.value_json) as value_json, 'snapshot' as source from keys k cross join (select unnest(['default', 'de']) as locale) l left join snapshot s on s.key = k.key and s.locale = l.locale left join snapshot d on d.key = k.key and d.locale = 'default'")
+def snapshot_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project without a store reads what was committed."""
+    d = roles.descriptor(spark, sf_dir)
+    plain = Descriptor(_as(d.keys.withColumn("derives_from", F.lit(None).cast("string")), KEY_DEFS), d.pages, d.templates)
+    versions, _ = files.empty_store(spark)
+    return resolve.resolve_all(plain, roles.snapshot(spark, sf_dir), versions, ["default", "de"]).select("key", "locale", "value_json", "source")

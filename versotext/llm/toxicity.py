@@ -36,23 +36,19 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled", "autistic"),
     ("elderly", "teenagers", "seniors", "pensioners"),
     ("frauen", "männer", "mädchen", "jungen", "lesben", "schwule"),
-    ("frau", "mann", "lesbe", "schwuler"),
     ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
-    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"),
     ("schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer", "einwanderer", "flüchtlinge"),
-    ("amerikaner", "mexikaner", "chinesen", "deutsche", "franzosen", "spanier", "russen", "inder", "türken", "polen"),
+    ("amerikaner", "mexikaner", "chinesen", "deutsche", "franzosen", "spanier", "russen", "türken", "polen"),
     ("femmes", "hommes", "filles", "garçons", "lesbiennes", "homosexuels"),
     ("femme", "homme", "fille", "garçon", "lesbienne", "homosexuel"),
     ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
-    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"),
     ("noirs", "blancs", "asiatiques", "africains", "arabes", "européens", "immigrés", "réfugiés"),
-    ("américains", "mexicains", "chinois", "allemands", "français", "espagnols", "russes", "indiens", "turcs", "polonais"),
+    ("américains", "mexicains", "chinois", "allemands", "français", "espagnols", "russes", "turcs", "polonais"),
     ("mujeres", "hombres", "niñas", "niños", "lesbianas", "homosexuales"),
     ("mujer", "hombre", "niña", "niño", "lesbiana", "homosexual"),
     ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
-    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"),
     ("negros", "blancos", "asiáticos", "africanos", "árabes", "europeos", "inmigrantes", "refugiados"),
-    ("americanos", "mexicanos", "chinos", "alemanes", "franceses", "españoles", "rusos", "indios", "turcos", "polacos"),
+    ("americanos", "mexicanos", "chinos", "alemanes", "franceses", "españoles", "rusos", "turcos", "polacos"),
 )
 
 #: Where each term stands: the first line that holds it.

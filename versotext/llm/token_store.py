@@ -32,6 +32,10 @@ from versotext.llm.text import gather, id_and_text, pieces
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIQIIB")
+SLOTS = 1 << 20
+#: Ids that are read from a shard at a time.
+RANGE = 1 << 17
+ODD = (-7046029254386353131, -4417276706812531889, 1609587929392839161, -8796714831421723037)
 
 
 # --- Re-Pair -----------------------------------------------------------------
@@ -41,31 +45,42 @@ def compress(ids: np.ndarray, alphabet: int, least: int = 24, per_round: int = 4
 
     A round counts all neighbouring pairs and gives a nonterminal to each of the
     ``per_round`` most frequent that occur ``least`` times or more; where two of them
-    share an id, the left one of a run wins. Rounds go on until no pair occurs so often;
+    share an id, the left one of a run wins. Pairs are counted in slots, without sorting. Rounds go on until no pair occurs so often;
     each makes the sequence shorter.
     """
     s = np.array(ids, dtype=np.int64)  # a copy: it is changed in place
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = alphabet
+    turn = 0
     while len(s) > least:
         keys = (s[:-1] << 32) | s[1:]
         # a pair as frequent as asked for falls in a slot at least as frequent: count the slots first
-        slots = ((keys * np.int64(-7046029254386353131)) >> np.int64(44)) & np.int64((1 << 20) - 1)
-        busy = np.bincount(slots, minlength=1 << 20) >= least
-        at = np.flatnonzero(busy[slots])
+        slots = ((keys * np.int64(ODD[turn % len(ODD)])) >> np.int64(44)) & np.int64(SLOTS - 1)
+        at = np.flatnonzero((np.bincount(slots, minlength=SLOTS) >= least)[slots])
+        turn += 1
         if not len(at):
             break
-        own = keys[at]
-        pairs, which, counts = np.unique(own, return_inverse=True, return_counts=True)
+        # of the pairs that share a slot one is counted in this round; the rounds' slots differ
+        own, slot = keys[at], slots[at]
+        one = np.empty(SLOTS, dtype=np.int64)
+        one[slot] = own
+        counted = one[slot] == own
+        counts = np.bincount(slot[counted], minlength=SLOTS)
         good = np.flatnonzero(counts >= least)
-        if not len(good):
-            break
+        if len(good):
+            at, slot = at[counted], slot[counted]
+        else:  # none was counted, but one may share its slot: now all are
+            pairs, slot, counts = np.unique(own, return_inverse=True, return_counts=True)
+            one = pairs
+            good = np.flatnonzero(counts >= least)
+            if not len(good):
+                break
         if len(good) > per_round:
             good = np.sort(good[np.argsort(-counts[good], kind="stable")[:per_round]])
-        symbol = np.full(len(pairs), -1, dtype=np.int64)
+        symbol = np.full(len(one), -1, dtype=np.int64)
         symbol[good] = following + np.arange(len(good))
-        new = symbol[which]
+        new = symbol[slot]
         hit = new >= 0
         at, new = at[hit], new[hit]
         # neighbouring hits overlap: of each run of hits keep the first, third, ...
@@ -77,8 +92,8 @@ def compress(ids: np.ndarray, alphabet: int, least: int = 24, per_round: int = 4
         alive = np.ones(len(s), dtype=bool)
         alive[at + 1] = False
         s = s[alive]
-        left.append(pairs[good] >> 32)
-        right.append(pairs[good] & 0xFFFFFFFF)
+        left.append(one[good] >> 32)
+        right.append(one[good] & 0xFFFFFFFF)
         following += len(good)
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
     b = np.concatenate(right) if right else np.zeros(0, np.int64)
@@ -187,7 +202,8 @@ class Encoder:
         self.spaced[""], self.bare[""] = 4, 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        # the fast form gives the same ids without places in the text
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def _keep(self, known: dict[str, int], words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         begin = len(self.starts) - 1
@@ -294,7 +310,9 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
     Rows are dealt to ``files`` ranges of ids (the session's shuffle partitions if
     None); a shard ends after the document that brings it to ``shard_tokens`` ids. Rows
-    with a null id come first; rows with equal ids follow each other, ordered by text.
+    with a null id come first; rows with equal ids follow each other in the order of a hash of their
+    text, and may be dealt to several ranges, so that very many of them are no single task's. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -335,17 +353,47 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if doc_ids:
             yield close()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(path)
 
 
-def read_token_store(spark: SparkSession, path: str, want_ids: bool = False) -> DataFrame:
-    """Documents of a store: doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, the ids themselves."""
+def _ranges(stops: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents that hold about ``size`` ids, one document at least."""
+    begin = 0
+    while begin < len(stops):
+        end = int(np.searchsorted(stops, (stops[begin - 1] if begin else 0) + size, side="right"))
+        end = max(end, begin + 1)
+        yield begin, end
+        begin = end
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The shards with ``first``, the number of ids before each."""
     shards = spark.read.parquet(path)
     # a part knows where its shards begin; only the parts' totals, one row for each file, are summed up here
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    rows = shards.join(F.broadcast(before), "part").withColumn("first", F.col("part_start") + F.col("first_in_part"))
+    return shards.join(F.broadcast(before), "part").withColumn("first", F.col("part_start") + F.col("first_in_part"))
+
+
+def read_ids(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
+    """``at`` and ``id`` of the ids ``begin`` to ``end`` (not included) of the whole store: other shards aren't opened, other ids not expanded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, blob in zip(batch.column("first").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                shard = Shard(blob)
+                b, e = max(begin - first, 0), min(end - first, shard.n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + b, first + e)), pa.array(shard.read(b, e))], ["at", "id"])
+
+    near = _placed(spark, path).where((F.col("first") < end) & (F.col("first") + F.col("n_tokens") > begin))
+    return near.select("first", "ids").mapInArrow(run, "at long, id long")
+
+
+def read_token_store(spark: SparkSession, path: str, want_ids: bool = False) -> DataFrame:
+    """Documents of a store: doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, the ids themselves."""
+    rows = _placed(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,14 +402,18 @@ def read_token_store(spark: SparkSession, path: str, want_ids: bool = False) ->
                 raw = batch.column("doc_ids")[i].as_py()
                 present, numbers = np.frombuffer(raw, np.uint8, n).astype(bool), np.frombuffer(raw, "<i8", n, n)
                 sizes = np.frombuffer(batch.column("sizes")[i].as_py(), "<u8").astype(np.int64)
-                ids = Shard(batch.column("ids")[i].as_py()).all().astype("<u4")
-                stops = np.cumsum(sizes)
-                view = memoryview(ids.tobytes())
-                crc = [zlib.crc32(view[4 * b : 4 * e]) for b, e in zip(stops - sizes, stops, strict=True)]
-                columns = [pa.array(numbers, pa.int64(), mask=~present), pa.array(first + stops - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
-                if want_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(ids.astype(np.int32), pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+                shard, stops = Shard(batch.column("ids")[i].as_py()), np.cumsum(sizes)
+                # as many documents at a time as hold about RANGE ids
+                for b, e in _ranges(stops, RANGE):
+                    base = int(stops[b - 1]) if b else 0
+                    ids = shard.read(base, int(stops[e - 1])).astype("<u4")
+                    ends = stops[b:e] - base
+                    view = memoryview(ids.tobytes())
+                    crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(ends - sizes[b:e], ends, strict=True)]
+                    columns = [pa.array(numbers[b:e], pa.int64(), mask=~present[b:e]), pa.array(first + stops[b:e] - sizes[b:e], pa.int64()), pa.array(sizes[b:e], pa.int64()), pa.array(crc, pa.int64())]
+                    if want_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32), pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if want_ids else "")
     return rows.select("n_docs", "first", "doc_ids", "sizes", "ids").mapInArrow(run, schema)

@@ -123,14 +123,18 @@ def test_token_store_round_trip(spark, docs, no_docs, shard):
     path = f"{ensure_checkpoint_dir(spark)}/store-{shard}"
     token_store.write_token_store(docs, path, BPE, 2, shard_tokens=shard)
     out = [r.asDict() for r in token_store.read_token_store(spark, path, want_ids=True).collect()]
-    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("place")).collect()
+    rows = sorted(((r["doc_id"], r["text"], r["place"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     out.sort(key=lambda r: r["start"])
     start = 0
-    for (i, text), r in zip(rows, out, strict=True):
+    for (i, text, _), r in zip(rows, out, strict=True):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (i, start, len(ids), ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    flat = [t for r in out for t in r["ids"]]
+    for b, e in ((0, 5), (start // 3, start // 2), (start - 7, start + 50), (9, 9)):
+        assert [(x["at"], x["id"]) for x in token_store.read_ids(spark, path, b, e).orderBy("at").collect()] == list(enumerate(flat))[b:e]
     token_store.write_token_store(no_docs, path, BPE, 2)
     assert token_store.read_token_store(spark, path).collect() == []
 
@@ -185,6 +189,19 @@ def test_repair_goes_on_until_no_pair_is_frequent():
 # 3: decontamination ------------------------------------------------------------------
 
 
+def test_token_store_splits_rows_without_an_id(spark):
+    """Very many rows that share an id, or have none, are dealt to several ranges; the order stays that of the ids."""
+    rows = spark.range(4000).selectExpr("if(id < 3000, cast(null as long), if(id < 3900, 7, id)) as doc_id", "concat('text ', id) as text")
+    path = f"{ensure_checkpoint_dir(spark)}/store-nulls"
+    token_store.write_token_store(rows, path, BPE, 2, files=8)
+    parts = spark.read.parquet(path).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) >= 6 and max(r["n"] for r in parts) < 1500
+    out = token_store.read_token_store(spark, path).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in out]
+    assert ids == sorted(ids) and ids.count(-1) == 3000 and ids.count(7) == 900
+    assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1].tolist()]
+
+
 @pytest.mark.parametrize("inline,small", [(4096, 200_000), (0, 200_000), (0, 0)])
 def test_decontamination(spark, inline, small):
     r = random.Random(9)
@@ -201,7 +218,7 @@ def test_decontamination(spark, inline, small):
         texts.append((i, "\t".join(words)))
     texts += [(100, None), (101, ""), (None, items[0][1]), (1, texts[1][1])]
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    out = {(x["doc_id"], x["item_id"]): (x["n_common"], x["n_item"]) for x in decontaminate.contaminated(d.withColumn("h", F.lit(1)), b, inline=inline, small=small).collect()}
+    out = {(x["doc_id"], x["item_id"]): (x["n_common"], x["n_item"]) for x in decontaminate.contaminated(d.withColumn("h", F.lit(1)), b, inline=inline, small=small, small_bytes=small).collect()}
     expected = {}
     for i, t in texts:
         for j, u in items:

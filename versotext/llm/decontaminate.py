@@ -58,7 +58,7 @@ def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return own.select("item_id", "n_item", "partition", F.slice("hashes", F.lit(1), k).alias("sketch"), "shingles")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, percent: int = 80, inline: int = 4096, small: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, percent: int = 80, inline: int = 4096, small: int = 200_000, small_bytes: int = 64 << 20) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_common`` and ``n_item`` of each document and item it holds.
 
     Null and empty texts and items hold nothing and are held nowhere; rows with a null
@@ -66,32 +66,34 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     with the most common shingles. Other columns are ignored.
 
     Up to ``inline`` sketch hashes are intersected with each document in place; above,
-    the documents' hashes are joined with them, broadcast up to ``small`` and shuffled above.
-    All three ways give the same result.
+    the documents' hashes are joined with them, broadcast up to ``small`` and shuffled above. The items'
+    shingles are broadcast up to ``small_bytes`` of text and shuffled above. All ways give the same result.
     """
     sketches = item_sketches(items, item_id, item_text, n, percent)
     # outer forms: for an inner explode the optimizer infers a filter that evaluates all of this again, for each place
     hashes = sketches.select(F.explode_outer("sketch").alias("h"), "item_id").where("h is not null")
-    size = hashes.select("h").distinct().count()
+    known = [r["h"] for r in hashes.select("h").distinct().limit(inline + 1).collect()]
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # each step is a column of its own: several references keep the optimizer from evaluating it again for each place
     hashed = own.select("doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh")).select("doc_id", "text", shingle_hashes(F.col("wh"), n).alias("hs"))
-    if size == 0:
+    if not known:
         return own.select("doc_id", F.lit(None).cast(items.schema[item_id].dataType).alias("item_id"), F.lit(0).alias("n_common"), F.lit(0).alias("n_item")).limit(0)
-    # the number of hashes was counted: small sides are broadcast, larger ones are shuffled
-    near = F.broadcast if size <= small else (lambda df: df)
-    if size <= inline:
-        known = F.array(*[F.lit(r["h"]) for r in hashes.select("h").distinct().collect()])
+    # what is broadcast was counted; anything larger is shuffled
+    near = lambda df, fits: F.broadcast(df) if fits else df
+    length = F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+    held = sketches.agg(F.sum(F.size("sketch")).alias("hashes"), F.sum(length).alias("bytes")).collect()[0]
+    if len(known) <= inline:
+        known = F.array(*map(F.lit, known))
         # the outer form: for the inner one the optimizer infers a filter that evaluates all of this twice
         hit = hashed.select("doc_id", "text", F.explode_outer(F.array_intersect("hs", known)).alias("h")).where("h is not null")
-        candidates = hit.join(near(hashes), "h").select("doc_id", "text", "item_id")
+        candidates = hit.join(near(hashes, held["hashes"] <= small), "h").select("doc_id", "text", "item_id")
     else:
-        found = hashed.select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h")).where("h is not null").join(near(hashes), "h").select("doc_id", "item_id").distinct()
+        found = hashed.select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h")).where("h is not null").join(near(hashes, held["hashes"] <= small), "h").select("doc_id", "item_id").distinct()
         candidates = own.join(found, "doc_id")
     # one row for each document and item before the texts are compared
     pairs = candidates.groupBy("doc_id", F.xxhash64("text").alias("t"), "item_id").agg(F.first("text").alias("text"))
     split = pairs.select("doc_id", "item_id", words(F.col("text")).alias("w")).select("doc_id", "item_id", shingle_texts(F.col("w"), n).alias("own"))
-    joined = split.join(near(sketches.select("item_id", "n_item", "shingles")), "item_id")
+    joined = split.join(near(sketches.select("item_id", "n_item", "shingles"), held["bytes"] <= small_bytes), "item_id")
     counted = joined.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("shingles", "own")).alias("n_common"))
     held = counted.where(F.col("n_common") * 100 >= F.col("n_item") * percent)
     return held.groupBy("doc_id", "item_id").agg(F.max("n_common").alias("n_common"), F.max("n_item").alias("n_item"))

@@ -379,6 +379,17 @@ def test_loose_patterns_meet_by_anchor(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_census_broadcasts_only_what_was_counted(spark):
+    """The planner takes all these sides for small ones, elements with a row for each word and character among them."""
+    e = spark.range(40).selectExpr("id as el_id", "case when id % 2 = 0 then 'Element ' || id else 'Hello guest ' || id || ' left' end as text")
+    v = spark.range(40).selectExpr("'k' || id as key", "case when id % 4 = 0 then 'Element ' || id when id % 4 = 1 then 'Hello {{name}} ' || id || ' left' else 'no ' || id end as text")
+    expected = {(i, f"k{i}") for i in range(40) if i % 4 < 2}
+    for small_bytes, broadcasts in ((None, 1), (0, 0)):
+        out = texts.census(e, v) if small_bytes is None else texts.census(e, v, small_bytes)
+        assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == broadcasts
+        assert {tuple(r) for r in out.collect()} == expected
+
+
 def test_numbers_of_names(spark):
     """Against the rule itself, place by place, with bases that meet each other's numbers and one very frequent base."""
     import random

@@ -143,15 +143,17 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return clean.select("text_id", F.col("phrase_id").cast("long"), "begin", F.length("phrase").alias("size")).distinct().groupBy("text_id").applyInPandas(choose, "text_id long, phrase_id long, at int")
 
 
-def census(elements: DataFrame, values: DataFrame) -> DataFrame:
+def census(elements: DataFrame, values: DataFrame, small_bytes: int = 4 << 20) -> DataFrame:
     """``el_id, key``: which value each element shows: the same collapsed text, or a value with ``{{x}}`` whose fixed parts fit.
 
     Whole texts meet by equi-join. A value with variables is tried only on elements that hold its anchor:
     its longest fixed word, without one its first fixed character; a value of nothing but variables fits any text.
+    Values with variables are broadcast up to ``small_bytes``, counted, and shuffled above. No other side is broadcast,
+    whatever the planner takes its size for: it doesn't see that an element has a row for each of its words and characters.
     """
     e = elements.select("el_id", js.collapse(F.col("text")).alias("text"))
     v = values.select("key", js.collapse(F.col("text")).alias("value"))
-    exact = e.join(v.where(~F.col("value").rlike(js.VARIABLE)), F.col("text") == F.col("value")).select("el_id", "key")
+    exact = e.join(v.where(~F.col("value").rlike(js.VARIABLE)).hint("merge"), F.col("text") == F.col("value")).select("el_id", "key")
     quoted = F.concat(F.lit("^\\Q"), F.regexp_replace(F.replace(F.col("value"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), js.VARIABLE, "\\\\E(.+)\\\\Q"), F.lit("\\E$"))
     vary = v.where(F.col("value").rlike(js.VARIABLE)).withColumn("pattern", quoted).withColumn("fixed", F.regexp_replace("value", js.VARIABLE, "\u0001"))
     words = F.filter(F.split("fixed", " "), lambda w: (w != "") & ~w.contains("\u0001"))
@@ -161,7 +163,8 @@ def census(elements: DataFrame, values: DataFrame) -> DataFrame:
     held = F.array_union(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("w"), w)), F.array_append(F.transform(F.split(F.replace("text", F.lit(" "), F.lit("")), ""), lambda c: F.concat(F.lit("c"), c)), F.lit("c")))
     # only anchors that some value has go on, with the text joined back in the row itself
     places = e.where("text <> ''").select("el_id", "text", F.explode(held).alias("anchor"))
-    fits = places.join(anchored, "anchor").where(F.expr("text rlike pattern")).select("el_id", "key")
+    size = anchored.agg(F.sum(F.lit(64) + F.octet_length("pattern") + F.octet_length("anchor") + F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)))).collect()[0][0] or 0
+    fits = places.join(F.broadcast(anchored) if size <= small_bytes else anchored.hint("merge"), "anchor").where(F.expr("text rlike pattern")).select("el_id", "key")
     return exact.unionByName(fits).distinct()
 
 

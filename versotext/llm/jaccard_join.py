@@ -361,11 +361,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # about half a byte is shuffled for each byte of text; a bucket is read by one task
     size = nodes.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    possible = nodes.join(_possible(nodes, n, percent, buckets), "uid").select(F.col("uid").alias("doc_id"), "text")
+    # the first shingles are done with before the texts of possible partners are moved
+    partners = shared_checkpoint(_possible(nodes, n, percent, buckets))
+    release(spark)
+    possible = nodes.join(partners, "uid").select(F.col("uid").alias("doc_id"), "text")
     sets = possible.mapInArrow(arrays, "doc_id long, n long, print binary, shingles binary")
     ones = shared_checkpoint(sets.groupBy("print").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    # candidate texts and first shingles are done with
-    del sets, possible
+    # candidate texts are done with
+    del sets, possible, partners
     release(spark)
     links = shared_checkpoint(_class_links(ones, percent, block))
     release(spark)
@@ -415,10 +418,12 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
     heads = keys.groupBy("h").agg(F.min("c").alias("head"))
     groups = connected_components(keys.join(heads, "h").select(F.col("c").alias("a"), F.col("head").alias("b")).where("a <> b"))
     groups = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    groups = shared_checkpoint(groups.join(groups.groupBy("g").agg(F.count("*").alias("members")), "g"))
+    groups = groups.join(groups.groupBy("g").agg(F.count("*").alias("members")), "g")
+    # the sets are joined once; what follows moves only those of the groups it is about
+    groups = shared_checkpoint(groups.join(ones.select("c", "shingles"), "c").select("c", "g", "members", "shingles"))
     # a task takes many small groups at once, about a block of sets in all
     tasks = max(1, -(-2 * groups.where(F.col("members") <= block).count() // block))
-    small = ones.join(groups.where(F.col("members") <= block), "c").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks)).cast("int"))
+    small = groups.where(F.col("members") <= block).withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks)).cast("int"))
 
     def inside(bundle: pa.Table) -> pa.Table:
         bundle = bundle.sort_by("g")
@@ -431,11 +436,11 @@ def _class_links(ones: DataFrame, percent: int, block: int) -> DataFrame:
     edge = "a long, b long"
     links = small.select("task", "g", "c", "shingles").groupBy("task").applyInArrow(inside, edge)
     large = groups.where(F.col("members") > block)
-    return links if large.isEmpty() else links.unionByName(_large_links(ones, keys, heads, large, percent, block))
+    return links if large.isEmpty() else links.unionByName(_large_links(keys, heads, large, percent, block))
 
 
-def _large_links(ones: DataFrame, keys: DataFrame, heads: DataFrame, large: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges that span the links inside the groups of ``large`` (c, g, members); ``keys`` are the short lists (c, h), ``heads`` each one's smallest class."""
+def _large_links(keys: DataFrame, heads: DataFrame, large: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges that span the links inside the groups of ``large`` (c, g, members, shingles); ``keys`` are the short lists (c, h), ``heads`` each one's smallest class."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,8 +463,8 @@ def _large_links(ones: DataFrame, keys: DataFrame, heads: DataFrame, large: Data
     near = own.join(heads, "h").groupBy("c", "g", "members", "head").agg(F.count("*").alias("k"))
     near = near.groupBy("c", "g", "members").agg(F.max(F.struct("k", (-F.col("head")).alias("head"))).alias("best"))
     near = near.select("c", "g", "members", (-F.col("best.head")).alias("head"))
-    both = near.where("c <> head").select("c", "head").join(ones.select("c", F.col("shingles").alias("own")), "c")
-    both = both.join(ones.select(F.col("c").alias("head"), F.col("shingles").alias("other")), "head").select("c", "head", "own", "other")
+    both = near.where("c <> head").select("c", "head").join(large.select("c", F.col("shingles").alias("own")), "c")
+    both = both.join(large.select(F.col("c").alias("head"), F.col("shingles").alias("other")), "head").select("c", "head", "own", "other")
     stars = shared_checkpoint(both.mapInArrow(compare, "c long, head long"))
     known = stars.select("c", F.lit(True).alias("is_linked"))
     near = near.join(known, "c", "left").withColumn("is_linked", F.coalesce("is_linked", F.col("c") == F.col("head")))
@@ -474,7 +479,7 @@ def _large_links(ones: DataFrame, keys: DataFrame, heads: DataFrame, large: Data
     # two blocks of one head have nothing left to find
     pairs = held.join(reach, "h").where("root is null or root_of is null or root <> root_of").select("c", "place", "other").distinct()
     pairs = pairs.select("c", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), (F.col("place") > F.col("other")).cast("int").alias("side"))
-    found = pairs.join(ones.select("c", "shingles"), "c").groupBy("i", "j").applyInArrow(against, "a long, b long")
+    found = pairs.join(large.select("c", "shingles"), "c").groupBy("i", "j").applyInArrow(against, "a long, b long")
     return stars.select(F.col("c").alias("a"), F.col("head").alias("b")).unionByName(found)
 
 

@@ -703,6 +703,33 @@ def plain_path(vocab, text):
     return vocab.word(sentencepiece_scan.SPACE + text.replace(" ", sentencepiece_scan.SPACE)) if text else []
 
 
+def test_search_walks_a_tree_of_pieces():
+    """The tree holds what the table does, and the search finds what one over all substrings of the table finds, without the table."""
+    vocab = sentencepiece_scan.Vocabulary(PIECES)
+    r = random.Random(9)
+    texts = ["", "a", "日本語🎉", *("".join(r.choice("etaoin shrdlu▁▁qzß0日🎉") for _ in range(r.randint(1, 60))) for _ in range(60))]
+    expected = []
+    for text in texts:
+        best, back, ids = [0] + [sentencepiece_scan.NEVER] * len(text), [0] * (len(text) + 1), [0] * (len(text) + 1)
+        for p in range(len(text)):
+            edges = [(e, *vocab.table[text[p:e]]) for e in range(p + 1, min(len(text), p + vocab.longest) + 1) if vocab.table.get(text[p:e], (-1, 0))[0] >= 0]
+            if not any(e == p + 1 for e, _, _ in edges):
+                edges.append((p + 1, -1 - ord(text[p]), vocab.unknown))
+            for e, i, score in edges:
+                if best[p] + score > best[e]:
+                    best[e], back[e], ids[e] = best[p] + score, e - p, i
+        expected.append((best, back, ids))
+    held, left = {}, [("", vocab.tree)]
+    while left:
+        head, level = left.pop()
+        for c, (i, score, following) in level.items():
+            held[head + c] = (i, score)
+            left.append((head + c, following))
+    assert held == vocab.table
+    vocab.table = {}
+    assert [vocab.search(t, len(t), [0]) for t in texts] == expected
+
+
 def test_scan_equals_whole_path():
     vocab = sentencepiece_scan.Vocabulary(PIECES)
     r = random.Random(1)

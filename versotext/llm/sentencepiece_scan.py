@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,13 @@ class Vocabulary:
         for name in list(self.table):
             for n in range(1, len(name)):
                 self.table.setdefault(name[:n], (-1, 0))
+        # the same beginnings as a tree: id, score and what goes on, by the next character
+        self.tree: dict[str, tuple[int, int, dict]] = {}
+        for name in sorted(self.table):
+            level = self.tree
+            for c in name[:-1]:
+                level = level[c][2]
+            level[name[-1]] = (*self.table[name], {})
         # two characters that no piece holds side by side are always parted
         self.joined = {n[k : k + 2] for n, (i, _) in self.table.items() if i >= 0 for k in range(len(n) - 1)}
         # a word may be encoded apart if no piece goes on after a space
@@ -82,27 +90,25 @@ class Vocabulary:
         size = len(text)
         best = entry[: size + 1] + [NEVER] * (size + 1 - len(entry))
         back, ids = [0] * (size + 1), [0] * (size + 1)
-        get, unknown = self.table.get, self.unknown
+        first, unknown = self.tree.get, self.unknown
         for p in range(n):
             here = best[p]
             if here == NEVER:
                 continue
             e = p + 1
-            single = False
-            found = get(text[p:e])
+            found = first(text[p])
+            if found is None or found[0] < 0:
+                # no piece by itself
+                if here + unknown > best[e]:
+                    best[e], back[e], ids[e] = here + unknown, 1, -1 - ord(text[p])
             while found is not None:
-                i, score = found
-                if i >= 0:
-                    if e == p + 1:
-                        single = True
-                    if here + score > best[e]:
-                        best[e], back[e], ids[e] = here + score, e - p, i
-                e += 1
-                if e > size:
+                i, score, following = found
+                if i >= 0 and here + score > best[e]:
+                    best[e], back[e], ids[e] = here + score, e - p, i
+                if e == size:
                     break
-                found = get(text[p:e])
-            if not single and here + unknown > best[p + 1]:
-                best[p + 1], back[p + 1], ids[p + 1] = here + unknown, 1, -1 - ord(text[p])
+                found = following.get(text[e])
+                e += 1
         return best, back, ids
 
     def trace(self, back, ids, end: int) -> tuple[list[int], int]:
@@ -240,7 +246,7 @@ class Words(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.vocabulary.word(text), dtype=np.int32).tobytes()
+        return array("i", self.vocabulary.word(text)).tobytes()
 
 
 _loaded: dict[str, Vocabulary] = {}

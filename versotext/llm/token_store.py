@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from versotext.llm.text import gather, id_and_text, pieces
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIQIIB")
-SLOTS = 1 << 20
+#: Pairs are counted in 2 ** SLOT_BITS slots at most.
+SLOT_BITS = 20
 #: Ids that are read from a shard at a time.
 RANGE = 1 << 17
 ODD = (-7046029254386353131, -4417276706812531889, 1609587929392839161, -8796714831421723037)
@@ -43,55 +45,65 @@ ODD = (-7046029254386353131, -4417276706812531889, 1609587929392839161, -8796714
 def compress(ids: np.ndarray, alphabet: int, least: int = 24, per_round: int = 4096) -> bytes:
     """The shard blob of ``ids``.
 
-    A round counts all neighbouring pairs and gives a nonterminal to each of the
+    A round counts neighbouring pairs and gives a nonterminal to each of the
     ``per_round`` most frequent that occur ``least`` times or more; where two of them
     share an id, the left one of a run wins. Pairs are counted in slots, without sorting. Rounds go on until no pair occurs so often;
-    each makes the sequence shorter.
+    each makes the sequence shorter. A pair only becomes rarer after the round that made its newer symbol, so
+    places whose pair was too rare once are not counted again.
     """
-    s = np.array(ids, dtype=np.int64)  # a copy: it is changed in place
+    s = np.array(ids, dtype=np.int32 if alphabet + len(ids) < 1 << 31 else np.int64)  # a copy: it is changed in place
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = alphabet
     turn = 0
-    while len(s) > least:
-        keys = (s[:-1] << 32) | s[1:]
+    live = np.ones(len(s), dtype=bool)  # places whose pair with the next one may be frequent
+    live[-1:] = False
+    while True:
+        at = np.flatnonzero(live)
+        if len(at) < least:
+            break
+        keys = (s[:-1].astype(np.int64) << 32) | s[1:] if not turn else (s[at].astype(np.int64) << 32) | s[at + 1]
         # a pair as frequent as asked for falls in a slot at least as frequent: count the slots first
-        slots = ((keys * np.int64(ODD[turn % len(ODD)])) >> np.int64(44)) & np.int64(SLOTS - 1)
-        at = np.flatnonzero((np.bincount(slots, minlength=SLOTS) >= least)[slots])
+        bits = min(SLOT_BITS, max(10, len(at).bit_length()))
+        slots = ((keys * np.int64(ODD[turn % len(ODD)])) >> np.int64(64 - bits)) & np.int64((1 << bits) - 1)
         turn += 1
-        if not len(at):
-            break
+        often = np.bincount(slots, minlength=1 << bits) >= least
         # of the pairs that share a slot one is counted in this round; the rounds' slots differ
-        own, slot = keys[at], slots[at]
-        one = np.empty(SLOTS, dtype=np.int64)
-        one[slot] = own
-        counted = one[slot] == own
-        counts = np.bincount(slot[counted], minlength=SLOTS)
+        one = np.empty(1 << bits, dtype=np.int64)
+        one[slots] = keys
+        counted = one[slots] == keys
+        counts = np.bincount(np.where(counted, slots, 1 << bits), minlength=1 << bits)[: 1 << bits]
+        live[at] = often[slots] & ~(counted & (counts < least)[slots])
         good = np.flatnonzero(counts >= least)
-        if len(good):
-            at, slot = at[counted], slot[counted]
-        else:  # none was counted, but one may share its slot: now all are
-            pairs, slot, counts = np.unique(own, return_inverse=True, return_counts=True)
-            one = pairs
+        if not len(good):  # none was counted, but one may share its slot: now all are
+            at, keys = at[often[slots]], keys[often[slots]]
+            one, slots, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            counted = np.ones(len(keys), dtype=bool)
             good = np.flatnonzero(counts >= least)
             if not len(good):
                 break
         if len(good) > per_round:
             good = np.sort(good[np.argsort(-counts[good], kind="stable")[:per_round]])
-        symbol = np.full(len(one), -1, dtype=np.int64)
+        symbol = np.full(len(one), -1, dtype=s.dtype)
         symbol[good] = following + np.arange(len(good))
-        new = symbol[slot]
-        hit = new >= 0
+        new = symbol[slots]
+        hit = np.flatnonzero(counted & (new >= 0))
         at, new = at[hit], new[hit]
         # neighbouring hits overlap: of each run of hits keep the first, third, ...
-        run = np.concatenate(([0], np.cumsum(np.diff(at) != 1)))
-        begin = np.flatnonzero(np.concatenate(([True], np.diff(run) != 0)))
-        keep = (np.arange(len(at)) - begin[run]) % 2 == 0
+        places = np.arange(len(at))
+        begin = np.where(np.diff(at, prepend=-2) == 1, 0, places)
+        keep = np.flatnonzero((places - np.maximum.accumulate(begin)) & 1 == 0)
         at, new = at[keep], new[keep]
         s[at] = new
         alive = np.ones(len(s), dtype=bool)
         alive[at + 1] = False
-        s = s[alive]
+        alive = np.flatnonzero(alive)
+        s, live = s[alive], live[alive]
+        # the new symbols' pairs, with what is before and after them
+        at -= places[: len(at)]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        live[-1] = False
         left.append(one[good] >> 32)
         right.append(one[good] & 0xFFFFFFFF)
         following += len(good)
@@ -135,15 +147,29 @@ class Shard:
         self.lengths = np.frombuffer(blob, "<u4", rules, at).astype(np.int64)
         self.symbols = np.frombuffer(blob, kind, symbols, at + 4 * rules).astype(np.int64)
         self._ends: np.ndarray | None = None
+        self._runs: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expand(self, s: np.ndarray) -> np.ndarray:
-        while len(s) and (big := s >= self.alphabet).any():
-            out = np.repeat(s, 1 + big)
-            at = (np.cumsum(1 + big) - (1 + big))[big]
-            rule = s[big] - self.alphabet
-            out[at], out[at + 1] = self.a[rule], self.b[rule]
-            s = out
-        return s
+        """The ids that the symbols stand for: of few symbols only their rules are expanded, else all rules once."""
+        if self._runs is None and len(s) <= len(self.a):
+            while len(s) and (big := s >= self.alphabet).any():
+                out = np.repeat(s, 1 + big)
+                at = (np.cumsum(1 + big) - (1 + big))[big]
+                rule = s[big] - self.alphabet
+                out[at], out[at + 1] = self.a[rule], self.b[rule]
+                s = out
+            return s
+        if not len(self.a):
+            return s
+        if self._runs is None:
+            # the ids of each symbol one after another: a round's rules hold a twelfth of the shard's ids at most, by the default ``least``
+            flat, starts = np.arange(self.alphabet), np.arange(self.alphabet + 1)
+            for part in _levels(self.a, self.b, self.alphabet):
+                pairs = np.stack((self.a[part], self.b[part]), axis=1).reshape(-1)
+                flat = np.concatenate((flat, gather(flat, starts, pairs)))
+                starts = np.concatenate((starts, starts[-1] + np.cumsum(self.lengths[part])))
+            self._runs = flat, starts
+        return gather(*self._runs, s)
 
     def all(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -184,7 +210,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # these or an added token, in one pass
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join((self.ODD, *("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added)))
         self.kind = np.uint16 if self.alphabet <= 1 << 16 else np.uint32
         # tokens that begin with a space, or are a line feed: in a row of words parted by one of them these part the words
         self.begins = np.zeros(self.alphabet, dtype=bool)
@@ -202,8 +230,11 @@ class Encoder:
         self.spaced[""], self.bare[""] = 4, 0
 
     def _ids(self, text: str) -> np.ndarray:
+        return self._all_ids([text])
+
+    def _all_ids(self, texts: list[str]) -> np.ndarray:
         # the fast form gives the same ids without places in the text
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+        return np.concatenate([np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _keep(self, known: dict[str, int], words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         begin = len(self.starts) - 1
@@ -215,13 +246,16 @@ class Encoder:
         lead = " " if spaced else ""
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids = self._ids(lead + (lead or "\n").join(part))
+            # the library takes longer for a word the longer the text is
+            rows = [part[i : i + 200] for i in range(0, len(part), 200)]
             if spaced:
+                ids = self._all_ids([" " + " ".join(row) for row in rows])
                 edges = np.flatnonzero(self.begins[ids])
                 sizes = np.diff(np.append(edges, len(ids)))
             else:
+                ids = self._all_ids(["\n".join(row) + "\n" for row in rows])
                 edges = np.flatnonzero(self.feeds[ids])
-                sizes = np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1
+                sizes = np.diff(np.concatenate(([-1], edges))) - 1
                 ids = ids[~self.feeds[ids]]
             if len(sizes) != len(part) or not sizes.all():  # a tokenizer of another kind: one call for each word
                 each = [self._ids(lead + w) for w in part]
@@ -229,22 +263,27 @@ class Encoder:
             self._keep(known, part, ids, sizes)
 
     def _places(self, known: dict[str, int], words: list[str], spaced: bool) -> np.ndarray:
-        new = [w for w in words if w not in known]
-        if not spaced and (odd := [w for w in new if w[0].isspace() or w[-1].isspace()]):
-            for w in odd:
-                one = self._ids(w)
-                self._keep(known, [w], one, np.array([len(one)]))
-            new = [w for w in new if w not in known]
-        self._learn(known, list(dict.fromkeys(new)), spaced)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        """Where the ids of the words, which are distinct, begin in ``starts``."""
+        places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            begin = len(self.starts) - 1
+            odd = np.zeros(len(new), dtype=bool)
+            if not spaced:
+                odd[:] = [w[0].isspace() or w[-1].isspace() for w in new]
+            for i in np.flatnonzero(odd).tolist():
+                one = self._ids(new[i])
+                self._keep(known, [new[i]], one, np.array([len(one)]))
+            self._learn(known, [new[i] for i in np.flatnonzero(~odd).tolist()] if odd.any() else new, spaced)
+            # places are given in the order of learning
+            places[np.concatenate((missing[odd], missing[~odd]))] = begin + np.arange(len(new))
+        return places
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, an end id after each text, and the number for each text."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, self.ODD)
-        for added in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, added))
-        odd = odd.to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._plain(texts, end_id)
         ids, counts = self._plain(texts.filter(pa.array(~odd)), end_id)
@@ -261,35 +300,49 @@ class Encoder:
         offsets = np.asarray(split.offsets).astype(np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
-        codes, names = np.asarray(coded.indices), coded.dictionary
+        names = coded.dictionary
+        # codes of words after a space are places in ``names``; those of other words, and of a text's end, follow
+        codes = np.array(coded.indices)
+        feed = pc.index(names, "\x01").as_py()
+        # the first word of a text and of a line has no space before it
+        bare = np.concatenate((offsets[:-1], np.flatnonzero(codes == feed) + 1))
+        bare_names, bare_codes = np.unique(codes[bare], return_inverse=True)
+        codes[bare] = len(names) + bare_codes
+        used = np.bincount(codes, minlength=len(names))[: len(names)] > 0
+        if feed >= 0:
+            used[feed] = False
         # a word's ending mark is a piece by itself
         marked = pc.match_substring_regex(names, r"\p{L}[,.]$")
-        cores = pc.if_else(marked, pc.utf8_slice_codeunits(names, 0, -1), names)
-        mark = np.where(marked.to_numpy(zero_copy_only=False), np.where(pc.ends_with(names, ",").to_numpy(zero_copy_only=False), 2, 3), -1)
-        feed = pc.equal(names, "\x01").to_numpy(zero_copy_only=False)[codes]
-        # the first word of a text and of a line has no space before it
-        bare = np.zeros(len(codes), dtype=bool)
-        bare[offsets[:-1]] = True
-        bare[1:] |= feed[:-1]
-        at = np.ones(len(codes), dtype=np.int64)
-        for known, own, spaced in ((self.bare, bare & ~feed, False), (self.spaced, ~bare & ~feed, True)):
-            used = np.flatnonzero(np.bincount(codes[own], minlength=len(names)))
-            place_of = np.zeros(len(names), dtype=np.int64)
-            place_of[used] = self._places(known, cores.take(pa.array(used)).to_pylist(), spaced)
-            at[own] = place_of[codes[own]]
-        second = np.where(feed, -1, mark[codes])
-        width = 1 + (second >= 0)
-        counts = np.add.reduceat(width, offsets[:-1])
-        # an end piece after each text
-        end = len(self.starts) - 1
-        pieces_at = np.full(int(width.sum()) + len(texts), end, dtype=np.int64)
-        place = np.cumsum(width) - width + np.repeat(np.arange(len(texts)), np.diff(offsets))
-        pieces_at[place] = at
-        pieces_at[place[second >= 0] + 1] = second[second >= 0]
+        cores = pc.if_else(marked, pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
+        core_codes, cores = np.asarray(cores.indices), cores.dictionary
+        mark = np.where(marked.to_numpy(zero_copy_only=False), np.where(pc.ends_with(names, ",").to_numpy(zero_copy_only=False), 2, 3), 0)
+        end = len(names) + len(bare_names)
+        # two pieces for each code, the second one empty without a mark
+        pieces_at = np.zeros((end + 1, 2), dtype=np.int64)
+        for known, own, rows, spaced in ((self.bare, bare_names, slice(len(names), end), False), (self.spaced, np.flatnonzero(used), np.flatnonzero(used), True)):
+            wanted = np.zeros(len(cores), dtype=bool)
+            wanted[core_codes[own]] = True
+            place_of = np.zeros(len(cores), dtype=np.int64)
+            place_of[wanted] = self._places(known, cores.filter(pa.array(wanted)).to_numpy(zero_copy_only=False).tolist(), spaced)
+            pieces_at[rows, 0] = place_of[core_codes[own]]
+            pieces_at[rows, 1] = mark[own]
+        if feed >= 0:
+            pieces_at[feed, 0] = 1
+        pieces_at[end, 0] = len(self.starts) - 1
+        # the ids of each code as a binary value: taking these by the codes sets all ids one after another
         starts = np.append(self.starts, self.starts[-1] + 1)
-        flat = np.append(self.ids, self.kind(end_id))
-        sizes = np.add.reduceat(starts[pieces_at + 1] - starts[pieces_at], np.concatenate(([0], np.cumsum(counts + 1)[:-1])))
-        return gather(flat, starts, pieces_at), sizes
+        flat = gather(np.append(self.ids, self.kind(end_id)), starts, pieces_at.reshape(-1))
+        sizes = (starts[pieces_at + 1] - starts[pieces_at]).sum(axis=1)
+        ends = np.concatenate(([0], np.cumsum(sizes))) * flat.itemsize
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end + 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        last = offsets[1:] + np.arange(len(texts))
+        every = np.full(len(codes) + len(texts), end, dtype=codes.dtype)
+        inner = np.ones(len(every), dtype=bool)
+        inner[last] = False
+        every[inner] = codes
+        taken = values.take(pa.array(every))
+        stops = np.frombuffer(taken.buffers()[1], np.int64, len(every) + 1)[last + 1] // flat.itemsize
+        return np.frombuffer(taken.buffers()[2], self.kind, int(stops[-1])), np.diff(stops, prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
